@@ -57,7 +57,7 @@ def separator(sep: str | None) -> str:
 
 
 def _table(grid: Grid, head: str, line: Column) -> DataFrame:
-    top = grid.rows.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("line_no"), F.lit(head).alias("line"))
+    top = grid.rows.sparkSession.range(0, 1, 1, 1).select(F.lit(0).cast("bigint").alias("line_no"), F.lit(head).alias("line"))
     return top.unionByName(grid.rows.select((F.col("y") + 1).alias("line_no"), line.alias("line")))
 
 
@@ -175,7 +175,7 @@ def document_lines(grid: Grid) -> DataFrame:
     triple = F.transform("values", lambda n, x: F.format_string("[%d,%d,%d]", x, F.col("y"), n))
 
     def fixed(section: int, text: str) -> DataFrame:
-        return spark.range(1).select(F.lit(section).alias("section"), F.col("id").alias("y"), F.lit(text).alias("line"))
+        return spark.range(0, 1, 1, 1).select(F.lit(section).alias("section"), F.col("id").alias("y"), F.lit(text).alias("line"))
 
     def each(section: int, text: Column) -> DataFrame:
         return grid.rows.select(F.lit(section).alias("section"), "y", F.concat(comma, text).alias("line"))

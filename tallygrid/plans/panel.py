@@ -22,7 +22,7 @@ def _pairs(model: Model, pairs: Sequence[Pair]) -> DataFrame:
     items = [F.struct(F.lit(i).cast("bigint").alias("y"), F.lit(network).cast("bigint").alias("red_id"),
                       F.lit(variable).cast("bigint").alias("var_id"), F.lit(label).alias("label"))
              for i, (network, variable, label) in enumerate(pairs)]
-    return model.spark.range(1).select(F.inline(F.array(*items)))
+    return model.spark.range(0, 1, 1, 1).select(F.inline(F.array(*items)))
 
 
 def panel(model: Model, pairs: Sequence[Pair], start=None, end=None, dt="1 month", now=None) -> DataFrame:

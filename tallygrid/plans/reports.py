@@ -48,16 +48,19 @@ class ReportSet:
         Both come from one pass over the rows.
         """
         sep = separator(sep)
-        pieces = F.array(*[
-            F.struct(F.lit(p.name).alias("period"), F.lit(p.first + 1).alias("first"), F.lit(p.count).alias("count"),
-                     F.lit(text_head(self.axis, p.first, p.count, self.kind)).alias("text"),
-                     F.lit(csv_head(self.axis, p.first, p.count, self.kind, sep)).alias("table"))
+        spans = F.array(*[
+            F.struct(F.lit(p.name).alias("period"), F.lit(p.first + 1).alias("first"), F.lit(p.count).alias("count"))
             for p in self.periods])
-        opened = self.rows.select("*", F.explode(pieces).alias("p")).withColumn(
+        opened = self.rows.select("*", F.explode(spans).alias("p")).withColumn(
             "part", F.slice("values", F.col("p.first"), F.col("p.count")))
         both = _formats(text_line(F.col("part"), self.kind, "label"), csv_line(F.col("part"), sep, "code"))
         body = opened.select(F.col("p.period").alias("period"), (F.col("y") + 1).alias("line_no"), both)
-        heads = self.rows.sparkSession.range(1).select(F.inline(pieces)).select(
+        tops = F.array(*[
+            F.struct(F.lit(p.name).alias("period"),
+                     F.lit(text_head(self.axis, p.first, p.count, self.kind)).alias("text"),
+                     F.lit(csv_head(self.axis, p.first, p.count, self.kind, sep)).alias("table"))
+            for p in self.periods])
+        heads = self.rows.sparkSession.range(0, 1, 1, 1).select(F.inline(tops)).select(
             "period", F.lit(0).cast("bigint").alias("line_no"), _formats(F.col("text"), F.col("table")))
         return heads.unionByName(body).select("period", "f.suffix", "line_no", "f.line")
 
