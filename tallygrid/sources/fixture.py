@@ -4,32 +4,61 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .model import Model
 
+# The stored columns. Declared, they spare the job that would infer them.
+STORED = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_brand string, p_type string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
 # Codes of the mapping.
-EVENT_VARS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
-SCENES = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5, "STANDARD": 6}
-FLAG_VARS = {"A": 1, "N": 2, "R": 3}
-STATUS_PROCS = {"F": 1, "O": 2}
+EVENT_VAR = ("case event_type when 'click' then 1L when 'error' then 2L when 'purchase' then 3L when 'signup' then 4L "
+             "when 'view' then 5L end")
+SCENE = ("case p_type when 'ECONOMY' then 1L when 'LARGE' then 2L when 'MEDIUM' then 3L when 'PROMO' then 4L "
+         "when 'SMALL' then 5L when 'STANDARD' then 6L end")
+FLAG_VAR = "case l_returnflag when 'A' then 1L when 'N' then 2L when 'R' then 3L end"
+STATUS_PROC = "case l_linestatus when 'F' then 1L when 'O' then 2L end"
 PANEL_PAIRS = [
     (1, 1, "africa click"), (1, 2, "africa error"), (2, 1, "america click"), (3, 5, "asia view"),
     (4, 4, "europe signup"),
 ]
 
-
-def _coded(column: str, codes: dict[str, int]) -> Column:
-    chain = None
-    for text, code in codes.items():
-        test, value = F.col(column) == text, F.lit(code).cast("bigint")
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
-    return chain
-
-
-def _long(column: str | Column) -> Column:
-    return (F.col(column) if isinstance(column, str) else column).cast("bigint")
+EVENT_PROC = f"case when {EVENT_VAR} = 4 then 2L else 1L end"
+REGION_CODE = "lower(replace(r_name, ' ', '_'))"
+BRAND = "cast(substring_index(p_brand, '#', -1) as bigint)"
+AREAL_ID = "((area_id * 100 + fuentes_id) * 10 + var_id) * 10 + proc_id"
+RASTER_ID = "(fuentes_id * 10 + escena_id) * 10 + var_id"
+
+# One stored table, its columns; distinct rows where marked.
+PROJECTIONS = {
+    "redes": ("region", ["cast(r_regionkey + 1 as bigint) id", f"{REGION_CODE} tabla_id", "r_name nombre"]),
+    "observaciones": ("events", ["event_id id", f"user_id * 10 + {EVENT_VAR} series_id", "ts timestart"]),
+    "valores_num": ("events", ["event_id obs_id", "value valor"]),
+    "areas_pluvio": ("supplier", ["s_suppkey unid", "s_name nombre", "s_acctbal > 0 activar",
+                                  "s_nationkey % 5 <> 0 mostrar"]),
+    "calibrados_grupos": ("region", ["cast(r_regionkey + 1 as bigint) id", "r_name nombre"]),
+    "calibrados": ("nation", ["cast(n_nationkey + 1 as bigint) id", "n_name nombre",
+                              "cast(n_regionkey + 1 as bigint) grupo_id", "cast(1 + n_nationkey % 4 as bigint) model_id",
+                              "n_nationkey % 6 <> 0 activar"]),
+}
+DISTINCT = {
+    "series": ("events", ["user_id", "event_type"], [
+        f"user_id * 10 + {EVENT_VAR} id", "user_id estacion_id", f"{EVENT_VAR} var_id", f"{EVENT_PROC} proc_id",
+        "1 + user_id % 3 unit_id"]),
+    "var": ("events", ["event_type"], [f"{EVENT_VAR} id", "event_type var", "initcap(event_type) nombre"]),
+    "procedimiento": ("events", [f"{EVENT_PROC} id"], ["id", "'procedure ' || id nombre"]),
+    "unidades": ("events", ["1 + user_id % 3 id"], ["id", "'unit ' || id nombre", "'u' || id abrev"]),
+    "fuentes": ("part", ["p_brand"], [f"{BRAND} id", "p_brand nombre"]),
+}
 
 
 def fixture(spark: SparkSession, directory: str) -> Model:
@@ -37,118 +66,55 @@ def fixture(spark: SparkSession, directory: str) -> Model:
 
     @cache
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{directory}/{name}.parquet")
-
-    code_of_region = F.lower(F.replace(F.col("r_name"), F.lit(" "), F.lit("_")))
-    event_var = _coded("event_type", EVENT_VARS)
-    event_proc = F.when(event_var == 4, 2).otherwise(1).cast("bigint")
-    brand = _long(F.substring_index("p_brand", "#", -1))
-
-    def redes():
-        return read("region").select(_long(F.col("r_regionkey") + 1).alias("id"), code_of_region.alias("tabla_id"),
-                                     F.col("r_name").alias("nombre"))
-
-    def estaciones():
-        regions = read("region").select("r_regionkey", code_of_region.alias("tabla"))
-        nations = read("nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
-        key = F.col("c_custkey")
-        return read("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
-            key.alias("unid"), (key + 1000).alias("id"),
-            F.when(key % 10 != 3, F.substring("c_name", 10, 9)).alias("id_externo"),
-            F.concat("c_mktsegment", F.lit(" "), "c_name").alias("nombre"), "tabla",
-            (F.col("c_acctbal") >= 0).alias("habilitar"),
-            F.when(key % 41 != 7, key % 23 != 5).alias("has_obs"))
-
-    def series():
-        return read("events").select("user_id", "event_type").distinct().select(
-            (F.col("user_id") * 10 + event_var).alias("id"), F.col("user_id").alias("estacion_id"),
-            event_var.alias("var_id"), event_proc.alias("proc_id"), (1 + F.col("user_id") % 3).alias("unit_id"))
-
-    def observaciones():
-        return read("events").select(F.col("event_id").alias("id"),
-                                     (F.col("user_id") * 10 + event_var).alias("series_id"),
-                                     F.col("ts").alias("timestart"))
-
-    def valores_num():
-        return read("events").select(F.col("event_id").alias("obs_id"), F.col("value").alias("valor"))
-
-    def var():
-        return read("events").select("event_type").distinct().select(
-            event_var.alias("id"), F.col("event_type").alias("var"), F.initcap("event_type").alias("nombre"))
-
-    def procedimiento():
-        ids = read("events").select(event_proc.alias("id")).distinct()
-        return ids.select("id", F.concat(F.lit("procedure "), F.col("id").cast("string")).alias("nombre"))
-
-    def unidades():
-        ids = read("events").select((1 + F.col("user_id") % 3).alias("id")).distinct()
-        text = F.col("id").cast("string")
-        return ids.select("id", F.concat(F.lit("unit "), text).alias("nombre"), F.concat(F.lit("u"), text).alias("abrev"))
-
-    def fuentes():
-        return read("part").select("p_brand").distinct().select(brand.alias("id"), F.col("p_brand").alias("nombre"))
-
-    def areas_pluvio():
-        return read("supplier").select(F.col("s_suppkey").alias("unid"), F.col("s_name").alias("nombre"),
-                                       (F.col("s_acctbal") > 0).alias("activar"),
-                                       (F.col("s_nationkey") % 5 != 0).alias("mostrar"))
-
-    def lines() -> DataFrame:
-        parts = read("part").select("p_partkey", brand.alias("fuentes_id"), _coded("p_type", SCENES).alias("escena_id"))
-        return read("lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-            "l_orderkey", "l_linenumber", "fuentes_id", "escena_id", F.col("l_suppkey").alias("area_id"),
-            _coded("l_returnflag", FLAG_VARS).alias("var_id"), _coded("l_linestatus", STATUS_PROCS).alias("proc_id"),
-            F.col("l_shipdate").alias("timestart"))
-
-    areal_id = ((F.col("area_id") * 100 + F.col("fuentes_id")) * 10 + F.col("var_id")) * 10 + F.col("proc_id")
-    rast_id = (F.col("fuentes_id") * 10 + F.col("escena_id")) * 10 + F.col("var_id")
-
-    def series_areal():
-        keys = ("area_id", "fuentes_id", "var_id", "proc_id")
-        return lines().select(*keys).distinct().select(
-            areal_id.alias("id"), *keys, (1 + F.col("area_id") % 3).alias("unit_id"))
-
-    def series_rast():
-        keys = ("escena_id", "fuentes_id", "var_id")
-        one = F.lit(1).cast("bigint")
-        return lines().select(*keys).distinct().select(rast_id.alias("id"), *keys, one.alias("proc_id"),
-                                                       one.alias("unit_id"))
-
-    def calibrados_grupos():
-        return read("region").select(_long(F.col("r_regionkey") + 1).alias("id"), F.col("r_name").alias("nombre"))
-
-    def calibrados():
-        key = F.col("n_nationkey")
-        return read("nation").select(_long(key + 1).alias("id"), F.col("n_name").alias("nombre"),
-                                     _long(F.col("n_regionkey") + 1).alias("grupo_id"),
-                                     _long(1 + key % 4).alias("model_id"), (key % 6 != 0).alias("activar"))
-
-    def corridas():
-        noon = F.when(F.col("o_orderpriority") == "5-LOW", F.expr("interval '12' hour")).otherwise(
-            F.expr("interval '0' hour"))
-        owners = read("customer").select("c_custkey", _long(F.col("c_nationkey") + 1).alias("cal_id"))
-        return read("orders").join(owners, F.col("o_custkey") == F.col("c_custkey")).select(
-            F.col("o_orderkey").alias("id"), "cal_id", (F.col("o_orderdate") + noon).alias("date"))
-
-    def pronosticos():
-        return read("lineitem").where(F.col("l_linenumber") % 3 == 0).select(
-            F.col("l_orderkey").alias("cor_id"),
-            (F.col("l_suppkey") * 10 + 1 + F.col("l_linenumber") % 5).alias("series_id"),
-            F.col("l_shipdate").alias("timestart"))
-
-    def forecasts(rest: int, series_id: Column):
-        return lines().where(F.col("l_linenumber") % 3 == rest).select(
-            F.col("l_orderkey").alias("cor_id"), series_id.alias("series_id"), "timestart")
-
-    tables = {
-        "redes": redes, "estaciones": estaciones, "series": series, "observaciones": observaciones,
-        "valores_num": valores_num, "var": var, "procedimiento": procedimiento, "unidades": unidades,
-        "fuentes": fuentes, "areas_pluvio": areas_pluvio, "series_areal": series_areal,
-        "observaciones_areal": lambda: lines().select(areal_id.alias("series_id"), "timestart"),
-        "series_rast": series_rast,
-        "observaciones_rast": lambda: lines().select(rast_id.alias("series_id"), "timestart"),
-        "calibrados_grupos": calibrados_grupos, "calibrados": calibrados, "corridas": corridas,
-        "pronosticos": pronosticos, "pronosticos_areal": lambda: forecasts(1, areal_id),
-        "pronosticos_rast": lambda: forecasts(2, rast_id),
+        return spark.read.schema(STORED[name]).parquet(f"{directory}/{name}.parquet")
+
+    def stations() -> DataFrame:
+        regions = read("region").selectExpr("r_regionkey n_regionkey", f"{REGION_CODE} tabla")
+        nations = read("nation").join(regions, "n_regionkey").selectExpr("n_nationkey c_nationkey", "tabla")
+        return read("customer").join(nations, "c_nationkey").selectExpr(
+            "c_custkey unid", "c_custkey + 1000 id",
+            "case when c_custkey % 10 <> 3 then substring(c_name, 10, 9) end id_externo",
+            "c_mktsegment || ' ' || c_name nombre", "tabla", "c_acctbal >= 0 habilitar",
+            "case when c_custkey % 41 <> 7 then c_custkey % 23 <> 5 end has_obs")
+
+    def lines(*columns: str, where: str = "true") -> DataFrame:
+        parts = read("part").selectExpr("p_partkey l_partkey", f"{BRAND} fuentes_id", f"{SCENE} escena_id")
+        return read("lineitem").where(where).join(parts, "l_partkey").selectExpr(
+            "l_orderkey cor_id", "l_suppkey area_id", "fuentes_id", "escena_id", f"{FLAG_VAR} var_id",
+            f"{STATUS_PROC} proc_id", "l_shipdate timestart").selectExpr(*columns)
+
+    def runs() -> DataFrame:
+        owners = read("customer").selectExpr("c_custkey o_custkey", "cast(c_nationkey + 1 as bigint) cal_id")
+        return read("orders").join(owners, "o_custkey").selectExpr(
+            "o_orderkey id", "cal_id",
+            "o_orderdate + make_dt_interval(0, if(o_orderpriority = '5-LOW', 12, 0)) date")
+
+    def point_forecasts() -> DataFrame:
+        return read("lineitem").where("l_linenumber % 3 = 0").selectExpr(
+            "l_orderkey cor_id", "l_suppkey * 10 + 1 + l_linenumber % 5 series_id", "l_shipdate timestart")
+
+    joined = {
+        "estaciones": stations,
+        "series_areal": lambda: lines("area_id", "fuentes_id", "var_id", "proc_id").distinct().selectExpr(
+            f"{AREAL_ID} id", "area_id", "fuentes_id", "var_id", "proc_id", "1 + area_id % 3 unit_id"),
+        "observaciones_areal": lambda: lines(f"{AREAL_ID} series_id", "timestart"),
+        "series_rast": lambda: lines("escena_id", "fuentes_id", "var_id").distinct().selectExpr(
+            f"{RASTER_ID} id", "escena_id", "fuentes_id", "var_id", "1L proc_id", "1L unit_id"),
+        "observaciones_rast": lambda: lines(f"{RASTER_ID} series_id", "timestart"),
+        "corridas": runs,
+        "pronosticos": point_forecasts,
+        "pronosticos_areal": lambda: lines("cor_id", f"{AREAL_ID} series_id", "timestart", where="l_linenumber % 3 = 1"),
+        "pronosticos_rast": lambda: lines("cor_id", f"{RASTER_ID} series_id", "timestart", where="l_linenumber % 3 = 2"),
     }
-    return Model(spark, lambda name: tables[name]())
+
+    @cache
+    def table(name: str) -> DataFrame:
+        if name in PROJECTIONS:
+            stored, columns = PROJECTIONS[name]
+            return read(stored).selectExpr(*columns)
+        if name in DISTINCT:
+            stored, keys, columns = DISTINCT[name]
+            return read(stored).selectExpr(*keys).distinct().selectExpr(*columns)
+        return joined[name]()
+
+    return Model(spark, table)

@@ -31,15 +31,16 @@ class Model:
         """The declared columns, in the declared types."""
         frame = self._load(name)
         types = dict(frame.dtypes)
+        declared = {field.name: field.dataType for field in SCHEMAS[name]}
+        if {c: t.simpleString() for c, t in declared.items()} == types:
+            return frame
         columns = []
-        for field in SCHEMAS[name]:
-            if field.name not in types and field.name in OPTIONAL:
-                columns.append(F.lit(None).cast(field.dataType).alias(field.name))
-            elif types.get(field.name) == field.dataType.simpleString():
-                columns.append(F.col(field.name))
+        for column, kind in declared.items():
+            if column not in types and column in OPTIONAL:
+                columns.append(F.lit(None).cast(kind).alias(column))
             else:
-                columns.append(F.col(field.name).cast(field.dataType).alias(field.name))
-        extra = [c for c in (self.day_column, QUALIFIER) if c and c in types and c not in SCHEMAS[name].names]
+                columns.append(F.col(column).cast(kind).alias(column))
+        extra = [c for c in (self.day_column, QUALIFIER) if c in types and c not in declared]
         return frame.select(*columns, *extra)
 
     def between(self, name: str, low: datetime, high: datetime, closed: bool = False,
@@ -48,7 +49,7 @@ class Model:
         facts = self.table(name)
         time = F.col(column)
         facts = facts.where((time >= ntz(low)) & ((time <= ntz(high)) if closed else (time < ntz(high))))
-        if self.day_column in facts.columns:
+        if self.day_column and self.day_column in facts.columns:
             facts = facts.where(F.col(self.day_column).between(F.lit(low.date()), F.lit(high.date())))
         return facts
 
