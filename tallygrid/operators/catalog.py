@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Spec, per_table
 from ..sources.model import Model
 from ..sources.schema import KINDS, Kind, kind_of
-from .forecasts import coverage, last_coverage
+from .forecasts import LAST_COVERAGE, newest_runs, spans
 from .tally import where
 
 _UNSAFE = re.compile(r"[';\s]")
@@ -96,55 +96,54 @@ def picker_label(frame: DataFrame, code: str | None = None) -> DataFrame:
     return frame.withColumn("label", text)
 
 
+NAMED_COLUMNS = (
+    "tipo", "id", "estacion_id", "area_id", "escena_id", "var_id", "proc_id", "unit_id", "fuentes_id",
+    "estacion_nombre", "fuentes_nombre", "var_var", "var_nombre", "var_timeSupport", "proc_nombre", "unit_nombre",
+    "unit_abrev",
+)
+# Columns that a kind of series does not have.
+ABSENT = {
+    "puntual": {"area_id": "bigint", "escena_id": "bigint", "fuentes_id": "bigint", "fuentes_nombre": "string"},
+    "areal": {"estacion_id": "bigint", "escena_id": "bigint", "tabla": "string"},
+    "raster": {"estacion_id": "bigint", "area_id": "bigint", "tabla": "string", "estacion_nombre": "string"},
+}
+
+
 def _named(model: Model, kind: Kind) -> DataFrame:
-    """The series of one kind with the names of their place, source, variable, procedure and unit."""
-    none = F.lit(None)
+    """The series of one kind with the names of their place, source, variable, procedure and unit, and their network."""
     named = model.table(kind.series)
     if kind.tipo == "puntual":
-        place = model.table("estaciones").select(F.col("unid").alias("estacion_id"), F.col("nombre").alias("estacion_nombre"))
-        named = named.join(place, "estacion_id", "left")
-        named = named.withColumns({"fuentes_id": none.cast("bigint"), "fuentes_nombre": none.cast("string")})
+        stations = model.table("estaciones").selectExpr("unid estacion_id", "nombre estacion_nombre", "tabla")
+        named = named.join(stations, "estacion_id", "left")
     else:
-        source = model.table("fuentes").select(F.col("id").alias("fuentes_id"), F.col("nombre").alias("fuentes_nombre"))
-        named = named.join(source, "fuentes_id", "left")
+        origins = model.table("fuentes").selectExpr("id fuentes_id", "nombre fuentes_nombre")
+        named = named.join(origins, "fuentes_id", "left")
     if kind.tipo == "areal":
-        place = model.table("areas_pluvio").select(F.col("unid").alias("area_id"), F.col("nombre").alias("estacion_nombre"))
-        named = named.join(place, "area_id", "left")
-    if kind.tipo == "raster":
-        named = named.withColumn("estacion_nombre", none.cast("string"))
-    places = {k.place: none.cast("bigint") for k in KINDS.values() if k is not kind}
-    variable = model.table("var").select(F.col("id").alias("var_id"), F.col("var").alias("var_var"), F.col("nombre").alias("var_nombre"))
-    procedure = model.table("procedimiento").select(F.col("id").alias("proc_id"), F.col("nombre").alias("proc_nombre"))
-    unit = model.table("unidades").select(F.col("id").alias("unit_id"), F.col("nombre").alias("unit_nombre"), F.col("abrev").alias("unit_abrev"))
-    return named.withColumns(places).join(variable, "var_id", "left").join(procedure, "proc_id", "left").join(
-        unit, "unit_id", "left").select(
-        F.lit(kind.tipo).alias("tipo"), "id", "estacion_id", "area_id", "escena_id", "var_id", "proc_id", "unit_id",
-        "fuentes_id", "estacion_nombre", "fuentes_nombre", "var_var", "var_nombre",
-        none.cast("string").alias("var_timeSupport"), "proc_nombre", "unit_nombre", "unit_abrev")
+        areas = model.table("areas_pluvio").selectExpr("unid area_id", "nombre estacion_nombre")
+        named = named.join(areas, "area_id", "left")
+    variable = model.table("var").selectExpr("id var_id", "var var_var", "nombre var_nombre")
+    procedure = model.table("procedimiento").selectExpr("id proc_id", "nombre proc_nombre")
+    unit = model.table("unidades").selectExpr("id unit_id", "nombre unit_nombre", "abrev unit_abrev")
+    named = named.join(variable, "var_id", "left").join(procedure, "proc_id", "left").join(unit, "unit_id", "left")
+    absent = [f"cast(null as {kind_of_column}) {name}" for name, kind_of_column in ABSENT[kind.tipo].items()]
+    return named.selectExpr("*", f"'{kind.tipo}' tipo", "cast(null as string) var_timeSupport", *absent)
 
 
 def named_series(model: Model, kinds: list[Kind] | None = None) -> DataFrame:
     """Series of all kinds in one frame, with names."""
-    return reduce(DataFrame.unionByName, [_named(model, kind) for kind in kinds or KINDS.values()])
-
-
-def series_table_of(tipo: Column) -> Column:
-    """The series table of a kind."""
-    found = F.when(tipo == "areal", "series_areal").when(tipo == "raster", "series_rast")
-    return found.otherwise("series")
+    parts = [_named(model, kind).select(*NAMED_COLUMNS) for kind in kinds or KINDS.values()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _covered(model: Model, kind: Kind, count: str | None, conditions: dict, named: bool) -> DataFrame:
-    """The coverage rows that pass the filter, joined to their series; runs without any drop out."""
-    spans = (last_coverage if count == "pronosticos" else coverage)(model, [kind])
-    spans = spans.select("series_id", "series_table", "tabla", "cor_id", "begin_date", "end_date", "count", "qualifiers")
-    if named:
-        series = named_series(model, [kind]).withColumn("series_table", series_table_of(F.col("tipo")))
-    else:
-        places = {k.place: F.lit(None).cast("bigint") for k in KINDS.values() if k is not kind}
-        series = model.table(kind.series).withColumns(places).withColumn("series_table", F.lit(kind.series))
-    series = series.withColumnRenamed("id", "series_id")
-    return where(spans.join(series, ["series_id", "series_table"]), conditions.get("covered"))
+    """The coverage of one kind, joined to its series, that passes the filter; runs without any drop out."""
+    runs = None
+    if count == "pronosticos":
+        runs = (model.table(LAST_COVERAGE).select("cor_id").distinct() if LAST_COVERAGE in model.stored_views
+                else newest_runs(model))
+    series = _named(model, kind) if named else model.table(kind.series)
+    found = spans(model, kind, runs).join(series.withColumnRenamed("id", "series_id"), "series_id")
+    return where(found.withColumn("series_table", F.lit(kind.series)), conditions.get("covered"))
 
 
 def _calibrations(model: Model, conditions: dict) -> DataFrame:
@@ -155,9 +154,9 @@ def _calibrations(model: Model, conditions: dict) -> DataFrame:
 def _conditions(filter: dict | None) -> tuple[Kind, dict]:
     values = dict(filter or {})
     kind = kind_of(values.pop("tipo", None))
-    if kind.tipo != "puntual" and "estacion_id" in values:
-        # For areas and scenes a request may name the place in the station's field.
-        values.setdefault(kind.place, values.pop("estacion_id"))
+    # For areas and scenes a request may name the place in the station's field. Places of other kinds do not apply.
+    places = {k.place: values.pop(k.place, None) for k in KINDS.values()}
+    values[kind.place] = places[kind.place] if places[kind.place] is not None else places["estacion_id"]
     return kind, per_table(CALIBRATION_FILTERS, values)
 
 

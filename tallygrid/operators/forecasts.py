@@ -53,37 +53,48 @@ def newest_runs(model: Model, condition: Column | None = None) -> DataFrame:
 
 def _series_attributes(model: Model, kind: Kind) -> DataFrame:
     series = model.table(kind.series)
-    none = F.lit(None)
     if kind.tipo != "puntual":
-        return series.select(F.col("id").alias("series_id"), none.cast("bigint").alias("estacion_id"),
-                             none.cast("string").alias("tabla"), "var_id")
-    stations = model.table("estaciones").select(F.col("unid").alias("estacion_id"), "tabla")
-    return series.join(stations, "estacion_id", "left").select(
-        F.col("id").alias("series_id"), "estacion_id", "tabla", "var_id")
+        return series.selectExpr("id series_id", "cast(null as bigint) estacion_id", "cast(null as string) tabla", "var_id")
+    stations = model.table("estaciones").selectExpr("unid estacion_id", "tabla")
+    return series.join(stations, "estacion_id", "left").selectExpr("id series_id", "estacion_id", "tabla", "var_id")
 
 
-def coverage(model: Model, kinds: list[Kind] | None = None, runs: DataFrame | None = None) -> DataFrame:
-    """First and last instant and count of the forecasts of each series and run, of the given kinds and runs only.
+def _of_runs(facts: DataFrame, runs: DataFrame | None) -> DataFrame:
+    """The rows of the given runs. This join precedes every aggregation, so that other forecasts drop out in the
+    scan stage."""
+    return facts if runs is None else facts.join(runs.select("cor_id"), "cor_id", "left_semi")
 
-    Runs, when given, are joined before the aggregation, so that other forecasts drop out in the scan stage.
-    """
+
+def spans(model: Model, kind: Kind, runs: DataFrame | None = None) -> DataFrame:
+    """(series_id, cor_id, begin_date, end_date, count, qualifiers) of the forecasts of one kind."""
+    if COVERAGE in model.stored_views:
+        stored = model.table(COVERAGE).where(F.col("series_table") == kind.series)
+        return _of_runs(stored, runs).select("series_id", "cor_id", "begin_date", "end_date", "count", "qualifiers")
+    facts = _of_runs(model.table(kind.forecasts), runs)
+    qualified = QUALIFIER in facts.columns
+    texts = [F.array_sort(F.collect_set(QUALIFIER)).alias("qualifiers")] if qualified else []
+    found = facts.groupBy("series_id", "cor_id").agg(
+        F.min("timestart").alias("begin_date"), F.max("timestart").alias("end_date"),
+        F.count(F.lit(1)).alias("count"), *texts)
+    return found if qualified else found.withColumn("qualifiers", F.expr("cast(array() as array<string>)"))
+
+
+def covered_pairs(model: Model, kind: Kind, runs: DataFrame | None = None) -> DataFrame:
+    """(series_id, cor_id) of the coverage, without its attributes."""
+    if COVERAGE in model.stored_views:
+        return spans(model, kind, runs).select("series_id", "cor_id")
+    return _of_runs(model.table(kind.forecasts), runs).select("series_id", "cor_id").distinct()
+
+
+def coverage(model: Model, kinds: list[Kind] | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """First and last instant and count of the forecasts of each series and run, of the given kinds and runs only."""
     kinds = kinds or list(KINDS.values())
     if COVERAGE in model.stored_views:
-        stored = model.table(COVERAGE).where(F.col("series_table").isin([k.series for k in kinds]))
-        return stored if runs is None else stored.join(runs.select("cor_id"), "cor_id", "left_semi")
-    parts = []
-    for kind in kinds:
-        facts = model.table(kind.forecasts)
-        if runs is not None:
-            facts = facts.join(runs.select("cor_id"), "cor_id", "left_semi")
-        texts = F.array_sort(F.collect_set(QUALIFIER)) if QUALIFIER in facts.columns else F.array().cast("array<string>")
-        spans = facts.groupBy("series_id", "cor_id").agg(
-            F.min("timestart").alias("begin_date"), F.max("timestart").alias("end_date"),
-            F.count(F.lit(1)).alias("count"), *([texts.alias("qualifiers")] if QUALIFIER in facts.columns else []))
-        if QUALIFIER not in facts.columns:
-            spans = spans.withColumn("qualifiers", texts)
-        parts.append(spans.join(_series_attributes(model, kind), "series_id", "left").withColumn(
-            "series_table", F.lit(kind.series)))
+        return _of_runs(model.table(COVERAGE).where(F.col("series_table").isin([k.series for k in kinds])), runs)
+    parts = [
+        spans(model, kind, runs).join(_series_attributes(model, kind), "series_id", "left").withColumn(
+            "series_table", F.lit(kind.series))
+        for kind in kinds]
     return reduce(DataFrame.unionByName, parts).select(*SCHEMAS[COVERAGE].names)
 
 
@@ -100,6 +111,18 @@ def _specs(kind: Kind, run_filters: dict) -> dict:
     return {**SERIES_FILTERS, **run_filters, **PLACE_FILTERS[kind.tipo]}
 
 
+def _run_weights(model: Model, kind: Kind, condition: Column | None) -> DataFrame:
+    """(cor_id, cal_id, covered): the newest runs and the number of series that each covers."""
+    if LAST_COVERAGE in model.stored_views:
+        last = last_coverage(model, [kind], condition).groupBy("cor_id", "cal_id").agg(F.count(F.lit(1)).alias("covered"))
+    else:
+        runs = newest_runs(model, condition)
+        covered = covered_pairs(model, kind, runs).groupBy("cor_id").agg(F.count(F.lit(1)).alias("covered"))
+        last = covered.join(runs.select("cor_id", "cal_id"), "cor_id")
+    # There is one row for each newest run, so the calibrations bound it.
+    return broadcast_if(last, model.table("calibrados"))
+
+
 def value_counts(model: Model, kind: Kind, axis: Axis, values: dict, keys: list[str],
                  dedupe: bool = False) -> DataFrame:
     """(keys…, x, n) of forecast values of the newest runs.
@@ -108,12 +131,9 @@ def value_counts(model: Model, kind: Kind, axis: Axis, values: dict, keys: list[
     ``cor_id``, ``series_id``.
     """
     conditions = per_table(_specs(kind, VALUE_FILTERS), values, kind.series)
-    last = last_coverage(model, [kind], conditions.get(LAST_COVERAGE))
-    weights = last.groupBy("cor_id", "cal_id").agg(F.count(F.lit(1)).alias("covered"))
+    weights = _run_weights(model, kind, conditions.get(LAST_COVERAGE))
     if dedupe:
         weights = weights.withColumn("covered", F.lit(1).cast("bigint"))
-    # One row for each newest run: the calibrations bound it.
-    weights = broadcast_if(weights, model.table("calibrados"))
     facts = model.between(kind.forecasts, axis.start, axis.stop)
     facts = facts.select("cor_id", "series_id", axis.bucket(F.col("timestart")).alias("x"))
     hits = facts.join(weights, "cor_id").groupBy("cor_id", "cal_id", "series_id", "x").agg(
@@ -130,11 +150,11 @@ def run_counts(model: Model, kind: Kind, axis: Axis, values: dict, keys: list[st
     groups = where(model.table("calibrados"), conditions.get("calibrados")).select(F.col("id").alias("cal_id"))
     runs = runs.join(groups, "cal_id").select(F.col("id").alias("cor_id"), "cal_id",
                                               axis.bucket(F.col("date")).alias("x"))
-    dated = model.table("corridas").where(F.col("date").isNotNull())
-    if fits(dated):
+    if fits(model.table("corridas")):
         runs = F.broadcast(runs)
         pairs = covered_pairs(model, kind, runs)
     else:
+        # Too many runs to broadcast: the forecasts shrink to their distinct pairs before they meet the runs.
         pairs = covered_pairs(model, kind)
     chosen, _ = members(model, kind, conditions)
     hits = pairs.join(chosen.select("series_id"), "series_id").join(runs, "cor_id")
@@ -143,16 +163,6 @@ def run_counts(model: Model, kind: Kind, axis: Axis, values: dict, keys: list[st
     return hits.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
 
 
-def covered_pairs(model: Model, kind: Kind, runs: DataFrame | None = None) -> DataFrame:
-    """(series_id, cor_id) of the coverage, without its attributes."""
-    if COVERAGE in model.stored_views:
-        return coverage(model, [kind], runs).select("series_id", "cor_id")
-    facts = model.table(kind.forecasts).select("series_id", "cor_id")
-    if runs is not None:
-        facts = facts.join(runs.select("cor_id"), "cor_id", "left_semi")
-    return facts.distinct()
-
-
 def forecast_density(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=None, tipo: str | None = None,
                      count: str = "pronosticos", dedupe: bool = False, distinct_runs: bool = False,
                      now=None) -> DataFrame:
