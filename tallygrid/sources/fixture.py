@@ -36,6 +36,8 @@ EVENT_PROC = f"case when {EVENT_VAR} = 4 then 2L else 1L end"
 REGION_CODE = "lower(replace(r_name, ' ', '_'))"
 BRAND = "cast(substring_index(p_brand, '#', -1) as bigint)"
 AREAL_ID = "((area_id * 100 + fuentes_id) * 10 + var_id) * 10 + proc_id"
+# The one procedure and unit of raster series; a bare literal would turn joins on it into nested loops.
+ONE = "case when escena_id > 0 then 1L end"
 RASTER_ID = "(fuentes_id * 10 + escena_id) * 10 + var_id"
 
 # One stored table, its columns; distinct rows where marked.
@@ -99,7 +101,7 @@ def fixture(spark: SparkSession, directory: str) -> Model:
             f"{AREAL_ID} id", "area_id", "fuentes_id", "var_id", "proc_id", "1 + area_id % 3 unit_id"),
         "observaciones_areal": lambda: lines(f"{AREAL_ID} series_id", "timestart"),
         "series_rast": lambda: lines("escena_id", "fuentes_id", "var_id").distinct().selectExpr(
-            f"{RASTER_ID} id", "escena_id", "fuentes_id", "var_id", "1L proc_id", "1L unit_id"),
+            f"{RASTER_ID} id", "escena_id", "fuentes_id", "var_id", f"{ONE} proc_id", f"{ONE} unit_id"),
         "observaciones_rast": lambda: lines(f"{RASTER_ID} series_id", "timestart"),
         "corridas": runs,
         "pronosticos": point_forecasts,

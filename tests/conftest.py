@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import sys
 from contextlib import contextmanager
+from functools import cache
 
 import pytest
 from pyspark.sql import types as T
@@ -56,6 +57,7 @@ def model_of(spark):
     """A model over rows given as tuples, in the order of the declared columns; tables not given are empty."""
 
     def build(_extra=None, stored_views=(), day_column=None, **tables) -> Model:
+        @cache
         def load(name):
             schema = T.StructType(list(SCHEMAS[name]) + list((_extra or {}).get(name, [])))
             return spark.createDataFrame(tables.get(name, []), schema)
