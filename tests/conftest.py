@@ -20,7 +20,7 @@ THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 @pytest.fixture(scope="session")
 def spark():
     found = session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": "3", "spark.default.parallelism": "2", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     found.sparkContext.setLogLevel("ERROR")
     yield found
     found.stop()

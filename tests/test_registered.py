@@ -24,7 +24,11 @@ def test_entry_has_rows(spark):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_its_sql(spark, connection, name):
-    assert check(QUERIES[name](spark, DIRECTORY), connection, ORACLES[name]) == ""
+    frame = QUERIES[name](spark, DIRECTORY)
+    assert check(frame, connection, ORACLES[name]) == ""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert node not in plan
 
 
 LARGE = (
