@@ -527,7 +527,7 @@ def _reports() -> dict[str, str]:
         "report_set_daily_5h": _set([(day_name(d), in_day(_csv("%H:%M", ","), d, "5 hours", only)) for d in days]),
         "level_export": query(levels),
         "level_export_lines": query(f"""SELECT codigo_de_estacion || ',' || codigo_de_variable || ',' || fecha || ',' || hora
-            || ',' || minuto || ',' || valor line FROM ({levels})"""),
+            || ',' || minuto || ',' || regexp_replace(CAST(valor AS VARCHAR), '\\.0$', '') line FROM ({levels})"""),
     }
 
 

@@ -74,3 +74,15 @@ def hour_label(t: Column) -> Column:
 def date_label(value: datetime, period: str | None) -> str:
     """Column head in a report: day of a month, time of a day, month of a year, else the whole date."""
     return value.strftime({"mes": "%d", "dia": "%H:%M", "anio": "%m"}.get(period, "%Y-%m-%d"))
+
+
+def number_text(value: Column) -> Column:
+    """The shortest decimal text of a double, as ``3``, ``6.55`` or ``1e-7``; powers of ten from 1e21 and below 1e-6."""
+    size, text = F.abs(value), value.cast("string")
+
+    def plain(precise: str) -> Column:
+        return F.regexp_replace(text.cast(precise).cast("string"), r"\.?0+$", "")
+
+    power = F.regexp_replace(F.regexp_replace(text, r"\.0E|E", "e"), r"e(\d)", "e+$1")
+    return (F.when(value == 0, "0").when((size >= 1e-6) & (size < 1e15), plain("decimal(38,23)"))
+            .when((size >= 1e15) & (size < 1e21), plain("decimal(38,16)")).otherwise(power))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import number_text
 from ..functions.periods import instant
 from ..functions.predicates import integer
-from ..sources.model import Model
 from ..functions.sizing import broadcast_if
+from ..sources.model import Model
 
 # The variable and procedure exported, and the code under which they go out.
 LEVEL_VARIABLE, LEVEL_PROCEDURE, LEVEL_CODE = 2, 1, 1
@@ -40,5 +41,5 @@ def levels(model: Model, estacion_id, start, end) -> DataFrame:
 
 def level_lines(rows: DataFrame) -> DataFrame:
     """(line): the export as comma-separated text, without a head."""
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
-    return rows.select(F.array_join(F.array(*fields), ",").alias("line"))
+    texts = [number_text(F.col(c)) if kind == "double" else F.col(c).cast("string") for c, kind in rows.dtypes]
+    return rows.select(F.array_join(F.array(*[F.coalesce(t, F.lit("")) for t in texts]), ",").alias("line"))

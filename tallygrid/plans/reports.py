@@ -13,8 +13,8 @@ from ..functions.axis import Axis, add_months
 from ..functions.labels import station_label
 from ..functions.periods import INTRADAY_STEP, end_of_day, instant, midnight, month_bounds, year_bounds
 from ..functions.steps import parse_step
-from ..operators.grids import DAY, MONTH, station_rows
-from ..operators.render import csv_head, csv_line, separator, text_head, text_line
+from ..operators.grids import DAY, MONTH, Grid, station_rows
+from ..operators.render import csv_head, csv_line, document_lines, separator, text_head, text_line
 from ..sources.model import Model
 
 # The file stems, labels and separator of the report files, and their encoding.
@@ -184,3 +184,8 @@ def _publish(spark, staging: str, directory: str) -> list[str]:
 def write_report_set(reports: ReportSet, directory: str) -> list[str]:
     """Write the text and CSV files of a report set in one job."""
     return write_files(reports.lines(), directory, STEMS[reports.kind])
+
+
+def write_document(grid: Grid, directory: str) -> None:
+    """Write the JSON document of a grid of any size as text parts; in order of their names they are one document."""
+    document_lines(grid).orderBy("section", "y").select("line").write.mode("overwrite").text(directory)

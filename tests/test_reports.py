@@ -1,8 +1,11 @@
+import json
 from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallygrid.functions.labels import number_text
 from tallygrid.operators import export, grids, render
 from tallygrid.plans import reports
 from tallygrid.plans.panel import panel
@@ -148,7 +151,26 @@ def test_levels(model, large, request):
     if large:
         request.getfixturevalue("nothing_fits")
     found = export.level_lines(export.levels(model, "5", "2024-01-01", "2024-01-02")).collect()
-    assert [r.line for r in found] == ["5,1,01/01/2024,7,5,1.0E-7", "5,1,01/01/2024,7,45,1.25", "5,1,02/01/2024,0,0,3.0"]
+    assert [r.line for r in found] == ["5,1,01/01/2024,7,5,1e-7", "5,1,01/01/2024,7,45,1.25", "5,1,02/01/2024,0,0,3"]
+
+
+def test_number_text(spark):
+    expected = {
+        3.0: "3", -6.55: "-6.55", 0.0: "0", -0.0: "0", 100.0: "100", 12345678.91: "12345678.91", 1e-6: "0.000001",
+        1.5e-7: "1.5e-7", 1e21: "1e+21", 123456789012345670000.0: "123456789012345670000", 0.1 + 0.2: "0.30000000000000004",
+        2251799813685248.5: "2251799813685248.5",
+    }
+    found = spark.createDataFrame([(v,) for v in expected], "v double").select("v", number_text(F.col("v")).alias("t"))
+    assert {r.v: r.t for r in found.collect()} == expected
+
+
+def test_document_files(model, tmp_path):
+    grid = grids.day_grid(model, "north", 1, "2024-01-31", "2024-02-01", use_id="ext")
+    reports.write_document(grid, str(tmp_path / "doc"))
+    parts = sorted((tmp_path / "doc").glob("part-*"))
+    found = json.loads("".join(p.read_text() for p in parts))
+    whole = json.loads(render.to_json(render.document(grid)).collect()[0][0])
+    assert {**found, "heatmap": sorted(found["heatmap"])} == whole
 
 
 @pytest.mark.parametrize("station, start, end", [

@@ -1,9 +1,11 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrid.operators import matrices, vectors
 from tallygrid.operators.tally import maximum
+from tallygrid.sources.model import parquet_model
 
 TICK = timedelta(microseconds=1)
 START, END = datetime(2024, 1, 1), datetime(2024, 1, 4)
@@ -121,10 +123,6 @@ def test_maximum_of_nothing(model_of):
 
 
 def test_day_column_prunes_partitions(spark, tmp_path, model):
-    from pyspark.sql import functions as F
-
-    from tallygrid.sources.model import parquet_model
-
     for name in ("redes", "estaciones", "series"):
         model.table(name).write.parquet(str(tmp_path / name))
     facts = model.table("observaciones").withColumn("fecha", F.to_date("timestart"))
@@ -136,6 +134,19 @@ def test_day_column_prunes_partitions(spark, tmp_path, model):
     assert "PartitionFilters: [isnotnull(fecha" in plan and "GreaterThanOrEqual(timestart,2024-01-01T00:00)" in plan
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_zoned_columns_still_reach_the_scan(spark, setting, tmp_path, model, zone):
+    for name in ("redes", "estaciones", "series"):
+        model.table(name).write.parquet(str(tmp_path / name))
+    with setting(**{"spark.sql.session.timeZone": zone}):
+        facts = model.table("observaciones").selectExpr("id", "series_id", "cast(timestart as timestamp) timestart")
+        facts.write.parquet(str(tmp_path / "observaciones"))
+        rows = vectors.obs_density(parquet_model(spark, str(tmp_path)), START, END, "1 day", {"var_id": 1})
+        assert counts(rows) == [4, 1, 2, 0]
+        assert "PushedFilters: [IsNotNull(timestart), GreaterThanOrEqual(timestart,2023-12-31" in (
+            rows._jdf.queryExecution().executedPlan().toString())
+
+
 def test_a_busy_series_shrinks_before_the_join(model, nothing_fits):
     plan = vectors.obs_density(model, START, END, "1 day", {"var_id": 1})._jdf.queryExecution().optimizedPlan().toString()
     join = plan.index("Join Inner, (series_id")
