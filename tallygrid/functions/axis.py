@@ -102,7 +102,13 @@ class Axis:
         return ntz(self.start) + seconds * F.expr("interval '1' second")
 
     def bucket(self, ts: Column) -> Column:
-        """1-based bucket of an instant that lies in ``[start, stop)``."""
+        """1-based bucket of an instant that lies in ``[start, stop)``.
+
+        It is never null, so that no join on it makes the scan compute it a second time to drop nulls.
+        """
+        return F.coalesce(self._bucket(ts), F.lit(0))
+
+    def _bucket(self, ts: Column) -> Column:
         if self.step.months:
             gap = (F.year(ts) - self.start.year) * 12 + F.month(ts) - self.start.month
             guess = _div(gap, self.step.months).cast("int")
