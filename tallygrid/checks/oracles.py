@@ -480,8 +480,34 @@ def _csv(form: str, sep: str) -> str:
                        "CAST(n AS VARCHAR)", sep)
 
 
-def _set(period_lines: list[tuple[str, str]]) -> str:
-    return " UNION ALL ".join(f"SELECT '{period}' period, line_no, line FROM ({sql})" for period, sql in period_lines)
+NETWORK = "(SELECT {} FROM redes WHERE tabla_id = 'asia')"
+VARIABLE = "(SELECT {} FROM variables WHERE id = 1)"
+NAMED = "nombre || ' (' || {} || ' [' || id || '])'"
+
+
+def title(quantity: str, last: str) -> list[str]:
+    return [f"'Cantidad de registros por {quantity}.'", f"'Red: ' || {NETWORK.format(NAMED.format('tabla_id'))} || '.'",
+            f"'Variable: ' || {VARIABLE.format(NAMED.format('var'))} || '.'", f"'{last}'", "''"]
+
+
+def header(step: str, date: str) -> list[str]:
+    return [f"'redNombre=' || {NETWORK.format('nombre')}", f"'redTabla=' || {NETWORK.format('tabla_id')}",
+            f"'redId=' || {NETWORK.format('id')}", f"'variableNombre=' || {VARIABLE.format('nombre')}",
+            f"'variableCode=' || {VARIABLE.format('var')}", f"'variableId=' || {VARIABLE.format('id')}",
+            f"'intervaloTemporal={step}'", f"'fecha={date}'", "''", "''"]
+
+
+def lines(texts: list[str]) -> str:
+    return query(" UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) line_no, {text} line" for i, text in enumerate(texts)))
+
+
+def _set(reports: list[tuple[str, list[str], str]]) -> str:
+    """Reports (period, lines above, table), each as one file holds it."""
+    return " UNION ALL ".join(
+        f"""SELECT '{period}' period, line_no, line FROM ({lines(above)})
+            UNION ALL SELECT '{period}', line_no + {len(above)}, line FROM ({table})"""
+        for period, above, table in reports)
 
 
 def _reports() -> dict[str, str]:
@@ -502,29 +528,23 @@ def _reports() -> dict[str, str]:
         FROM series s JOIN observaciones o ON s.id = o.series_id JOIN valores_num ON o.id = obs_id
         WHERE s.estacion_id = 8 AND s.var_id = 2 AND s.proc_id = 1 AND timestart >= TIMESTAMP '{JANUARY[0]}'
             AND timestart <= TIMESTAMP '{JANUARY[1]}'"""
-    network, variable = "(SELECT {} FROM redes WHERE tabla_id = 'asia')", "(SELECT {} FROM variables WHERE id = 1)"
-    named = "nombre || ' (' || {} || ' [' || id || '])'"
-    title = ["'Cantidad de registros por día.'", f"'Red: ' || {network.format(named.format('tabla_id'))} || '.'",
-             f"'Variable: ' || {variable.format(named.format('var'))} || '.'", "'Mes: 2024-01'", "''"]
-    header = [f"'redNombre=' || {network.format('nombre')}", f"'redTabla=' || {network.format('tabla_id')}",
-              f"'redId=' || {network.format('id')}", f"'variableNombre=' || {variable.format('nombre')}",
-              f"'variableCode=' || {variable.format('var')}", f"'variableId=' || {variable.format('id')}",
-              "'intervaloTemporal=diario'", "'fecha=2024-01'", "''", "''"]
-    lines = lambda texts: query(" UNION ALL ".join(
-        f"SELECT CAST({i} AS BIGINT) line_no, {text} line" for i, text in enumerate(texts)))
     return {
         "report_fwc_month": by_day(_fixed("%d", 6), *JANUARY, ext),
         "report_csv_month": by_day(_csv("%d", ","), *JANUARY, only),
         "report_fwc_range": by_day(_fixed("%Y-%m-%d", 11), *HALF, default),
         "report_fwc_year": year(2024),
         "report_csv_day": in_day(_csv("%H:%M", ";"), "2024-01-10", "3 hours", only),
-        "report_title": lines(title),
-        "report_header": lines(header),
-        "report_set_monthly": _set([(m, by_day(_fixed("%d", 6), a, b, ext)) for m, a, b in months]),
-        "report_set_monthly_csv": _set([(m, by_day(_csv("%d", ","), a, b, only)) for m, a, b in months]),
-        "report_set_yearly": _set([("2023", year(2023)), ("2024", year(2024))]),
-        "report_set_daily": _set([(day_name(d), in_day(_fixed("%H:%M", 6), d, "3 hours", ext)) for d in days]),
-        "report_set_daily_5h": _set([(day_name(d), in_day(_csv("%H:%M", ","), d, "5 hours", only)) for d in days]),
+        "report_title": lines(title("día", "Mes: 2024-01")),
+        "report_header": lines(header("diario", "2024-01")),
+        "report_set_monthly": _set([
+            (m, title("día", f"Mes: {a[:7]}"), by_day(_fixed("%d", 6), a, b, ext)) for m, a, b in months]),
+        "report_set_monthly_csv": _set([
+            (m, header("diario", a[:7]), by_day(_csv("%d", ","), a, b, only)) for m, a, b in months]),
+        "report_set_yearly": _set([(str(y), title("mes", f"Año: {y}"), year(y)) for y in (2023, 2024)]),
+        "report_set_daily": _set([
+            (day_name(d), title("intervalo", f"Día: {d}"), in_day(_fixed("%H:%M", 6), d, "3 hours", ext)) for d in days]),
+        "report_set_daily_5h": _set([
+            (day_name(d), header("05:00", d), in_day(_csv("%H:%M", ","), d, "5 hours", only)) for d in days]),
         "level_export": query(levels),
         "level_export_lines": query(f"""SELECT codigo_de_estacion || ',' || codigo_de_variable || ',' || fecha || ',' || hora
             || ',' || minuto || ',' || regexp_replace(CAST(valor AS VARCHAR), '\\.0$', '') line FROM ({levels})"""),

@@ -9,6 +9,12 @@ from dataclasses import dataclass
 SECONDS = {"second": 1, "sec": 1, "minute": 60, "min": 60, "hour": 3600, "day": 86400, "week": 604800}
 MONTHS = {"month": 1, "mon": 1, "year": 12, "yr": 12}
 
+# The steps offered for vectors and for one day.
+VECTOR_STEPS = (
+    "1 day", "2 days", "3 days", "7 days", "14 days", "1 month", "2 months", "3 months", "6 months", "1 year",
+)
+INTRADAY_STEPS = tuple(f"{minutes // 60:02d}:{minutes % 60:02d}" for minutes in range(15, 721, 15))
+
 _PART = re.compile(r"(\d+)\s*([a-z]+)")
 _CLOCK = re.compile(r"(\d{1,2}):(\d{2})(?::(\d{2}))?")
 

@@ -157,7 +157,7 @@ def run_counts(model: Model, kind: Kind, axis: Axis, values: dict, keys: list[st
         # Too many runs to broadcast: the forecasts shrink to their distinct pairs before they meet the runs.
         pairs = covered_pairs(model, kind)
     chosen, _ = members(model, kind, conditions)
-    hits = pairs.join(chosen.select("series_id"), "series_id").join(runs, "cor_id")
+    hits = pairs.join(runs, "cor_id").join(chosen.select("series_id"), "series_id")
     if distinct_runs:
         hits = hits.select(*dict.fromkeys([*keys, "cor_id", "x"])).distinct()
     return hits.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))

@@ -72,7 +72,7 @@ def csv(grid: Grid, period: str | None = None, sep: str | None = None) -> DataFr
     return _table(grid, csv_head(grid.axis, 0, grid.axis.size, period, sep), csv_line(F.col("values"), sep))
 
 
-def _metadata(model: Model, tabla, var_id) -> DataFrame:
+def metadata(model: Model, tabla, var_id) -> DataFrame:
     """One row with the first matching network and variable as structs ``red`` and ``variable``, null when unknown."""
     network = chosen(model.table("redes"), tabla, "tabla_id").select(
         F.lit("red").alias("what"), "id", "nombre", F.col("tabla_id").alias("code"))
@@ -91,9 +91,8 @@ def _numbered_lines(frame: DataFrame, lines: list[Column]) -> DataFrame:
     return listed.select(F.col("pos").cast("bigint").alias("line_no"), "line")
 
 
-def title(model: Model, tabla, var_id, period: str | None = None, value: str | None = None, start: str | None = None,
-          end: str | None = None) -> DataFrame:
-    """(line_no, line) above a fixed-width table, ending in one blank line."""
+def title_lines(period: str | None, value: Column | None, start=None, end=None) -> list[Column]:
+    """The lines above a fixed-width table, from the columns ``red`` and ``variable``; the last is blank."""
 
     def described(item: str) -> Column:
         text = F.concat(f"{item}.nombre", F.lit(" ("), f"{item}.code", F.lit(" ["), f"{item}.id", F.lit("])"))
@@ -105,15 +104,14 @@ def title(model: Model, tabla, var_id, period: str | None = None, value: str | N
         F.concat(F.lit("Variable: "), described("variable"), F.lit(".")),
     ]
     if period:
-        lines.append(F.lit(f"{TITLE_FIELD[period]}: {value}"))
+        lines.append(F.concat(F.lit(f"{TITLE_FIELD[period]}: "), value))
     else:
         lines += [F.lit(f"Inicio: {start}"), F.lit(f"Fin: {end}")]
-    return _numbered_lines(_metadata(model, tabla, var_id), [*lines, F.lit("")])
+    return [*lines, F.lit("")]
 
 
-def header(model: Model, tabla, var_id, period: str | None = None, value: str | None = None,
-           dt: str | None = None) -> DataFrame:
-    """(line_no, line) above a CSV table, ending in two blank lines."""
+def header_lines(period: str | None, value: Column | None, dt: str | None = None) -> list[Column]:
+    """The lines above a CSV table, from the columns ``red`` and ``variable``; the last two are blank."""
 
     def field(name: str, item: str, key: str) -> Column:
         return F.concat(F.lit(f"{name}="), F.coalesce(f"{item}.{key}", F.lit("")))
@@ -125,8 +123,20 @@ def header(model: Model, tabla, var_id, period: str | None = None, value: str |
     ]
     if period:
         step = HEADER_STEP.get(period, dt or INTRADAY_STEP)
-        lines += [F.lit(f"intervaloTemporal={step}"), F.lit(f"fecha={value}")]
-    return _numbered_lines(_metadata(model, tabla, var_id), [*lines, F.lit(""), F.lit("")])
+        lines += [F.lit(f"intervaloTemporal={step}"), F.concat(F.lit("fecha="), value)]
+    return [*lines, F.lit(""), F.lit("")]
+
+
+def title(model: Model, tabla, var_id, period: str | None = None, value: str | None = None, start: str | None = None,
+          end: str | None = None) -> DataFrame:
+    """(line_no, line) above a fixed-width table."""
+    return _numbered_lines(metadata(model, tabla, var_id), title_lines(period, F.lit(value), start, end))
+
+
+def header(model: Model, tabla, var_id, period: str | None = None, value: str | None = None,
+           dt: str | None = None) -> DataFrame:
+    """(line_no, line) above a CSV table."""
+    return _numbered_lines(metadata(model, tabla, var_id), header_lines(period, F.lit(value), dt))
 
 
 def stacked(*parts: DataFrame) -> DataFrame:

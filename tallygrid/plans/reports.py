@@ -14,7 +14,9 @@ from ..functions.labels import station_label
 from ..functions.periods import INTRADAY_STEP, end_of_day, instant, midnight, month_bounds, year_bounds
 from ..functions.steps import parse_step
 from ..operators.grids import DAY, MONTH, Grid, station_rows
-from ..operators.render import csv_head, csv_line, document_lines, separator, text_head, text_line
+from ..operators.render import (
+    csv_head, csv_line, document_lines, header_lines, metadata, separator, text_head, text_line, title_lines,
+)
 from ..sources.model import Model
 
 # The file stems, labels and separator of the report files, and their encoding.
@@ -28,41 +30,51 @@ FILE_LINES = 1_000_000
 
 @dataclass(frozen=True)
 class Period:
+    """One report: its name in file names, its value in titles, and its part of the axis."""
+
     name: str
+    value: str
     first: int
     count: int
 
 
 @dataclass(frozen=True)
 class ReportSet:
-    """``rows`` are ``(y, label, code, values)`` of the stations, ``values`` running over the axis of all periods."""
+    """``rows`` are ``(y, label, code, values)`` of the stations, ``values`` running over the axis of all periods, and
+    ``described`` is one row with the network and variable."""
 
     kind: str
     axis: Axis
     periods: list[Period]
     rows: DataFrame
+    described: DataFrame
+    dt: str | None = None
 
     def lines(self, sep: str = CSV_SEPARATOR) -> DataFrame:
-        """(period, suffix, line_no, line) of the fixed-width reports, ``txt``, and of the CSV reports, ``csv``.
-
-        Both come from one pass over the rows.
+        """(period, suffix, line_no, line) of the fixed-width reports, ``txt``, and of the CSV reports, ``csv``, each
+        below its title or header. Both come from one pass over the rows.
         """
-        sep = separator(sep)
+        sep, value = separator(sep), F.col("value")
+        title, header = title_lines(self.kind, value), header_lines(self.kind, value, self.dt)
         spans = F.array(*[
             F.struct(F.lit(p.name).alias("period"), F.lit(p.first + 1).alias("first"), F.lit(p.count).alias("count"))
             for p in self.periods])
         opened = self.rows.select("*", F.explode(spans).alias("p")).withColumn(
             "part", F.slice("values", F.col("p.first"), F.col("p.count")))
-        both = _formats(text_line(F.col("part"), self.kind, "label"), csv_line(F.col("part"), sep, "code"))
-        body = opened.select(F.col("p.period").alias("period"), (F.col("y") + 1).alias("line_no"), both)
+        text = text_line(F.col("part"), self.kind, "label")
+        body = opened.select(F.col("p.period").alias("period"), _formats(
+            line_no=(F.col("y") + len(title) + 1, F.col("y") + len(header) + 1),
+            line=(text, csv_line(F.col("part"), sep, "code"))))
         tops = F.array(*[
-            F.struct(F.lit(p.name).alias("period"),
+            F.struct(F.lit(p.name).alias("period"), F.lit(p.value).alias("value"),
                      F.lit(text_head(self.axis, p.first, p.count, self.kind)).alias("text"),
                      F.lit(csv_head(self.axis, p.first, p.count, self.kind, sep)).alias("table"))
             for p in self.periods])
-        heads = self.rows.sparkSession.range(0, 1, 1, 1).select(F.inline(tops)).select(
-            "period", F.lit(0).cast("bigint").alias("line_no"), _formats(F.col("text"), F.col("table")))
-        return heads.unionByName(body).select("period", "f.suffix", "line_no", "f.line")
+        heads = self.described.select("red", "variable", F.inline(tops)).select(
+            "period", _formats(lines=(F.array(*title, F.col("text")), F.array(*header, F.col("table")))))
+        heads = heads.select("period", "f.suffix", F.posexplode("f.lines").alias("line_no", "line"))
+        return heads.withColumn("line_no", F.col("line_no").cast("bigint")).unionByName(
+            body.select("period", "f.suffix", "f.line_no", "f.line"))
 
     def text_lines(self) -> DataFrame:
         """(period, line_no, line) of the fixed-width reports."""
@@ -73,21 +85,22 @@ class ReportSet:
         return self.lines(sep).where("suffix = 'csv'").drop("suffix")
 
 
-def _formats(text: Column, table: Column) -> Column:
-    return F.explode(F.array(
-        F.struct(F.lit("txt").alias("suffix"), text.alias("line")),
-        F.struct(F.lit("csv").alias("suffix"), table.alias("line")))).alias("f")
+def _formats(**columns: tuple[Column, Column]) -> Column:
+    """A struct ``f`` for each format, from pairs of the text and the CSV column."""
+    return F.explode(F.array(*[
+        F.struct(F.lit(suffix).alias("suffix"), *[pair[i].alias(name) for name, pair in columns.items()])
+        for i, suffix in enumerate(("txt", "csv"))])).alias("f")
 
 
 def _report_set(model: Model, kind: str, axis: Axis, last: datetime, periods: list[Period], period_end: Column,
-                tabla, var_id, proc_id, has_obs) -> ReportSet:
+                tabla, var_id, proc_id, has_obs, dt=None) -> ReportSet:
     facts = model.between("observaciones", axis.start, last, closed=True)
     # As in a single report, a period ends with its last full second.
     facts = facts.where(
         F.col("timestart") <= period_end.cast("timestamp_ntz") + F.expr("interval '23:59:59' hour to second"))
     rows = station_rows(model, axis, facts, tabla, var_id, proc_id, TEXT_LABELS, has_obs,
                         label=station_label(TEXT_LABELS), code=station_label(CSV_LABELS))
-    return ReportSet(kind, axis, periods, rows)
+    return ReportSet(kind, axis, periods, rows, metadata(model, tabla, var_id), dt)
 
 
 def yearly(model: Model, tabla: str, var_id: int, start, end, proc_id: int | None = None,
@@ -97,7 +110,7 @@ def yearly(model: Model, tabla: str, var_id: int, start, end, proc_id: int | Non
     if not years:
         raise ValueError("the end lies before the start")
     axis = Axis(year_bounds(years[0])[0], year_bounds(years[-1])[1], MONTH)
-    periods = [Period(f"{year:04d}", 12 * i, 12) for i, year in enumerate(years)]
+    periods = [Period(f"{year:04d}", str(year), 12 * i, 12) for i, year in enumerate(years)]
     year_end = F.make_date(F.year("timestart"), F.lit(12), F.lit(31))
     return _report_set(model, "anio", axis, axis.end, periods, year_end, tabla, var_id, proc_id, has_obs)
 
@@ -110,7 +123,7 @@ def monthly(model: Model, tabla: str, var_id: int, start, end, proc_id: int | No
     month = first
     while month <= stop:
         days = (add_months(month, 1) - month).days
-        periods.append(Period(month.strftime("%Y%m"), at, days))
+        periods.append(Period(month.strftime("%Y%m"), month.strftime("%Y-%m"), at, days))
         at, month = at + days, add_months(month, 1)
     if not periods:
         raise ValueError("the end lies before the start")
@@ -131,8 +144,9 @@ def daily(model: Model, tabla: str, var_id: int, start, end, dt=INTRADAY_STEP, p
     if days < 1:
         raise ValueError("the end lies before the start")
     each = axis.size // days
-    periods = [Period((first + timedelta(days=i)).strftime("%Y%m%d"), i * each, each) for i in range(days)]
-    return _report_set(model, "dia", axis, last, periods, F.to_date("timestart"), tabla, var_id, proc_id, has_obs)
+    dates = [first + timedelta(days=i) for i in range(days)]
+    periods = [Period(d.strftime("%Y%m%d"), d.strftime("%Y-%m-%d"), i * each, each) for i, d in enumerate(dates)]
+    return _report_set(model, "dia", axis, last, periods, F.to_date("timestart"), tabla, var_id, proc_id, has_obs, dt)
 
 
 def latin1(line: Column) -> Column:
@@ -151,12 +165,10 @@ def write_files(lines: DataFrame, directory: str, stem: str, file_lines: int = F
     name = F.concat(F.lit(f"{stem}_"), "period", number, F.lit("."), "suffix")
     staging = f"{directory}/_staging-{uuid.uuid4().hex}"
     placed = lines.select(name.alias("file"), "line_no", latin1(F.col("line")).alias("line"))
-    options = {
-        "encoding": ENCODING, "quote": "", "escape": "", "sep": "\u0001", "emptyValue": "",
-        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-    }
-    placed.repartition("file").sortWithinPartitions("file", "line_no").select("file", "line").write.partitionBy(
-        "file").options(**options).csv(staging)
+    # The text writer puts out the bytes of a string as they are, so the encoded bytes are passed as one.
+    encoded = F.encode("line", ENCODING).cast("string").alias("value")
+    placed.repartition("file").sortWithinPartitions("file", "line_no").select("file", encoded).write.partitionBy(
+        "file").text(staging)
     return _publish(lines.sparkSession, staging, directory)
 
 

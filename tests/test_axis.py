@@ -5,7 +5,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tallygrid.functions.axis import Axis, add_months
-from tallygrid.functions.steps import Step, parse_interval, parse_step
+from tallygrid.functions.steps import INTRADAY_STEPS, VECTOR_STEPS, Step, parse_interval, parse_step
 
 SECOND = timedelta(seconds=1)
 
@@ -19,6 +19,11 @@ def test_steps(text, months, seconds):
     assert parse_step(text) == Step(months, seconds)
 
 
+def test_offered_steps():
+    assert all(parse_step(text) for text in VECTOR_STEPS + INTRADAY_STEPS)
+    assert (INTRADAY_STEPS[0], INTRADAY_STEPS[-1], len(INTRADAY_STEPS)) == ("00:15", "12:00", 48)
+
+
 @pytest.mark.parametrize("text", ["", None, "0 days", "1 month 1 day", "-1 day", "a day", "day", "1 parsec", "00:00"])
 def test_bad_steps(text):
     with pytest.raises(ValueError):

@@ -91,6 +91,16 @@ def replaced(texts):
     return [t.encode("latin-1", "replace").decode("latin-1") for t in texts]
 
 
+def text_report(model, grid, period, value):
+    return replaced(lines(render.stacked(
+        render.title(model, "north", 1, period, value), render.fixed_width(grid, period)))) + [""]
+
+
+def csv_report(model, grid, period, value, dt=None):
+    return replaced(lines(render.stacked(
+        render.header(model, "north", 1, period, value, dt), render.csv(grid, period, ",")))) + [""]
+
+
 def test_monthly_files_equal_single_reports(model, tmp_path):
     made = reports.monthly(model, "north", 1, "2023-12-31", "2024-02-01")
     paths = reports.write_report_set(made, str(tmp_path))
@@ -100,28 +110,29 @@ def test_monthly_files_equal_single_reports(model, tmp_path):
         name = tmp_path / f"RepCuantMensual_{month.replace('-', '')}"
         text = grids.day_grid(model, "north", 1, month=month, use_id="ext")
         table = grids.day_grid(model, "north", 1, month=month, use_id="ext_only")
-        assert content(f"{name}.txt") == replaced(lines(render.fixed_width(text, "mes"))) + [""]
-        assert content(f"{name}.csv") == replaced(lines(render.csv(table, "mes", ","))) + [""]
+        assert content(f"{name}.txt") == text_report(model, text, "mes", month)
+        assert content(f"{name}.csv") == csv_report(model, table, "mes", month)
     # What Latin-1 lacks becomes a question mark.
-    assert content(f"{name}.txt")[1].startswith("A200 - ?ód? ") and "Ñandubay rí" in content(f"{name}.txt")[2]
+    assert content(f"{name}.txt")[6].startswith("A200 - ?ód? ") and "Ñandubay rí" in content(f"{name}.txt")[7]
     assert not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
 
 
 def test_yearly_and_daily_files(model, tmp_path):
     reports.write_report_set(reports.yearly(model, "north", 1, "2023-05-01", "2024-01-01"), str(tmp_path))
-    for year in (2023, 2024):
-        grid = grids.year_grid(model, "north", 1, year, use_id="ext")
-        assert content(tmp_path / f"RepCuantAnual_{year}.txt") == replaced(lines(render.fixed_width(grid, "anio"))) + [""]
+    for year in ("2023", "2024"):
+        grid = grids.year_grid(model, "north", 1, int(year), use_id="ext")
+        assert content(tmp_path / f"RepCuantAnual_{year}.txt") == text_report(model, grid, "anio", year)
     reports.write_report_set(reports.daily(model, "north", 1, "2023-12-31", "2024-01-02", "05:00"), str(tmp_path))
     for day in ("2023-12-31", "2024-01-01", "2024-01-02"):
         grid = grids.intraday_grid(model, "north", 1, day, "05:00", use_id="ext_only")
-        assert content(tmp_path / f"RepCuantDiario_{day.replace('-', '')}.csv") == lines(render.csv(grid, "dia", ",")) + [""]
+        path = tmp_path / f"RepCuantDiario_{day.replace('-', '')}.csv"
+        assert content(path) == csv_report(model, grid, "dia", day, "05:00")
 
 
 def test_long_reports_go_on_in_numbered_files(model, tmp_path):
     made = reports.monthly(model, "north", 1, "2024-01-01", "2024-01-31")
-    paths = reports.write_files(made.lines(), str(tmp_path), "Rep", file_lines=3)
-    assert [Path(p).name for p in paths] == ["Rep_202401.1.csv", "Rep_202401.1.txt", "Rep_202401.csv", "Rep_202401.txt"]
+    paths = reports.write_files(made.lines(), str(tmp_path), "Rep", file_lines=12)
+    assert [Path(p).name for p in paths] == ["Rep_202401.1.csv", "Rep_202401.csv", "Rep_202401.txt"]
     whole = content(tmp_path / "Rep_202401.csv")[:-1] + content(tmp_path / "Rep_202401.1.csv")[:-1]
     assert whole == [r.line for r in made.csv_lines().orderBy("line_no").collect()]
 
