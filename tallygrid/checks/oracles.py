@@ -150,7 +150,7 @@ def matrix(start, end, dt, entities: str, key: list[str], obs: str, extra: tuple
     same = " AND ".join(f"obs.{k} = e.{k}" for k in key)
     columns = ", ".join(f"e.{c}" for c in [*key, *extra, "label"])
     return query(f"""SELECT x - 1 x, e.y - 1 y, CAST(t AS VARCHAR) t, {columns}, {count} n,
-            strftime(t, '%Y-%m-%dT%H') "column"
+            strftime(t, '%Y-%m-%dT%H') AS hour
         FROM tseries CROSS JOIN entities e
         LEFT JOIN obs ON {same} AND obs.timestart >= tseries.t AND obs.timestart < tseries.t + INTERVAL '{dt}'
         GROUP BY x, t, e.y, {columns}""", **parts, tseries=series_of(start, end, dt), entities=entities, obs=obs)

@@ -18,10 +18,10 @@ from .vectors import observation_counts, station_counts
 
 def _matrix(entities: DataFrame, counts: DataFrame, key: list[str], axis: Axis, order: list[str],
             bound: DataFrame) -> DataFrame:
-    """(x, y, t, column, key…, label, n); entities are ``(key…, label)`` and ``column`` is the hour label."""
+    """(x, y, t, key…, label, n, hour); entities are ``(key…, label)`` and ``hour`` is the column label."""
     placed = numbered(entities, [F.col(c).asc_nulls_last() for c in order], bound)
     rows = fill_rows(placed, counts, key, axis)
-    return cells(rows, axis, *dict.fromkeys([*key, *order, "label"])).withColumn("column", hour_label(F.col("t")))
+    return cells(rows, axis, *dict.fromkeys([*key, *order, "label"])).withColumn("hour", hour_label(F.col("t")))
 
 
 def network_matrix(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=None, count: str = "registros",

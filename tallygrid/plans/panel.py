@@ -26,7 +26,7 @@ def _pairs(model: Model, pairs: Sequence[Pair]) -> DataFrame:
 
 
 def panel(model: Model, pairs: Sequence[Pair], start=None, end=None, dt="1 month", now=None) -> DataFrame:
-    """(x, y, t, red_id, var_id, label, n, column): the observations of each pair by month."""
+    """(x, y, t, red_id, var_id, label, n, hour): the observations of each pair by month."""
     start, end = vector_bounds(start, end, "vector", now)
     axis = Axis.of(start, end, dt)
     series = model.table("series").where(F.col("var_id").isin(sorted({variable for _, variable, _ in pairs})))
@@ -37,4 +37,4 @@ def panel(model: Model, pairs: Sequence[Pair], start=None, end=None, dt="1 month
     key = ["red_id", "var_id"]
     counts = count_members(facts, chosen.select("series_id", *key), key, series)
     rows = fill_rows(_pairs(model, pairs), counts, key, axis)
-    return cells(rows, axis, *key, "label").withColumn("column", hour_label(F.col("t")))
+    return cells(rows, axis, *key, "label").withColumn("hour", hour_label(F.col("t")))

@@ -198,4 +198,4 @@ def test_panel(model):
     rows = panel(model, pairs, "2023-12-01", "2024-03-01").orderBy("y", "x").collect()
     assert [(r.label, [q.n for q in rows[4 * i:4 * i + 4]]) for i, r in enumerate(rows[::4])] == [
         ("levels", [0, 4, 0, 0]), ("rain", [1, 4, 2, 0]), ("nowhere", [0, 0, 0, 0])]
-    assert rows[0].column == "2023-12-01T00"
+    assert rows[0].hour == "2023-12-01T00"

@@ -112,7 +112,7 @@ def test_matrix_rows_are_vectors(model, large, request):
         for i, (_, code, _) in enumerate(NETWORKS):
             assert [r.n for r in rows[4 * i:4 * i + 4]] == counts(
                 one(model, START, END, "1 day", {"var_id": 1, "tabla_id": code}))
-    assert rows[1].column == "2024-01-02T00"
+    assert rows[1].hour == "2024-01-02T00"
     busiest = maximum(matrices.network_matrix(model, START, END, "1 day", {"var_id": 1}))
     assert busiest.collect()[0].max == 3
 
