@@ -313,10 +313,10 @@ def areas(condition: str) -> str:
         WHERE fuentes_id = 3 AND activar AND mostrar AND {condition}"""
 
 
-def run_grid(bucket: str, condition: str, key: str, label: str) -> str:
+def run_grid(bucket: str, condition: str, key: str, label: str, select: str = CELLS) -> str:
     start, end = "1996-01-01", "1996-01-31"
     return query(
-        CELLS, tseries=series_of(start, end, "1 day"),
+        select, tseries=series_of(start, end, "1 day"),
         entities=f"""SELECT id entity, {label} AS label, row_number() OVER (ORDER BY {key}, id) y FROM calibrados
             JOIN (SELECT DISTINCT cal_id FROM corridas) ON id = cal_id WHERE {condition}""",
         countreg=f"""SELECT cal_id entity, t, count(date) n FROM corridas JOIN tseries ON {bucket}
@@ -330,14 +330,31 @@ NETWORK_SERIES = """SELECT redes.id entity, s.id series_id FROM series s JOIN es
     JOIN redes ON e.tabla = redes.tabla_id WHERE s.var_id = 1 AND s.proc_id = 1 AND e.habilitar AND e.has_obs"""
 
 
+def network_grid(select: str) -> str:
+    return query(
+        select, tseries=series_of(*JANUARY, "1 day"),
+        entities="""SELECT id entity, substring(nombre, 0, 12) || ' (' || id || ')' AS label,
+            row_number() OVER (ORDER BY id) y FROM redes""",
+        countreg=f"""SELECT entity, CAST(timestart AS DATE) t, count(*) n
+            FROM observaciones JOIN ({NETWORK_SERIES}) USING (series_id)
+            WHERE timestart >= TIMESTAMP '{JANUARY[0]}' AND timestart <= TIMESTAMP '{JANUARY[1]} 23:59:59'
+            GROUP BY ALL""",
+        grid="""SELECT x, y, tseries.t, e.entity, label, coalesce(n, 0) n FROM tseries CROSS JOIN entities e
+            LEFT JOIN countreg USING (t, entity)""")
+
+
+def document(names: str) -> str:
+    return f"""SELECT to_json({{'dates': (SELECT list(strftime(t, '%Y-%m-%d') ORDER BY x) FROM tseries),
+        '{names}': (SELECT list(label ORDER BY y) FROM entities),
+        'heatmap': (SELECT list([CAST(x - 1 AS INT), CAST(y - 1 AS INT), CAST(n AS INT)] ORDER BY x, y)
+            FROM grid)}})::VARCHAR heatmap"""
+
+
 def _grids() -> dict[str, str]:
     ext = stations(1, 1, "ext")
     modes = {"ext": "ext", "ext_only": "ext_only", "name": "nombre", "id": "id", "default": None}
     found = {f"grid_day_station_{name}": by_day(CELLS, *HALF, stations(1, 1, mode)) for name, mode in modes.items()}
     number, name = "lpad(CAST(id AS VARCHAR), 4, '0')", "substring(nombre, 0, 12)"
-    document = """SELECT to_json({'dates': (SELECT list(strftime(t, '%Y-%m-%d') ORDER BY x) FROM tseries),
-        'estaciones': (SELECT list(label ORDER BY y) FROM entities),
-        'heatmap': (SELECT list([CAST(x - 1 AS INT), CAST(y - 1 AS INT), CAST(n AS INT)] ORDER BY x, y) FROM grid)})::VARCHAR heatmap"""
     lines = """SELECT 0 section, CAST(0 AS BIGINT) y, '{"dates":["' || string_agg(strftime(t, '%Y-%m-%d'), '","' ORDER BY x)
             || '"],"estaciones":[' line FROM tseries
         UNION ALL SELECT 1, y - 1, CASE WHEN y > 1 THEN ',' ELSE '' END || to_json(label)::VARCHAR FROM entities
@@ -358,17 +375,9 @@ def _grids() -> dict[str, str]:
         "grid_day_runs": run_grid("date = t", "true", number, f"{number} || ' - ' || {name}"),
         "grid_day_runs_by_day": run_grid("CAST(date AS DATE) = t", "true", number, f"{number} || ' - ' || {name}"),
         "grid_day_runs_model": run_grid("date = t", "model_id = 2", "lpad(nombre, 10, '0')", name),
-        "grid_day_network": query(
-            CELLS, tseries=series_of(*JANUARY, "1 day"),
-            entities="""SELECT id entity, substring(nombre, 0, 12) || ' (' || id || ')' AS label,
-                row_number() OVER (ORDER BY id) y FROM redes""",
-            countreg=f"""SELECT entity, CAST(timestart AS DATE) t, count(*) n
-                FROM observaciones JOIN ({NETWORK_SERIES}) USING (series_id)
-                WHERE timestart >= TIMESTAMP '{JANUARY[0]}' AND timestart <= TIMESTAMP '{JANUARY[1]} 23:59:59'
-                GROUP BY ALL""",
-            grid="""SELECT x, y, tseries.t, e.entity, label, coalesce(n, 0) n FROM tseries CROSS JOIN entities e
-                LEFT JOIN countreg USING (t, entity)"""),
-        "grid_document": by_day(document, *HALF, ext),
+        "grid_day_network": network_grid(CELLS),
+        "grid_document": network_grid(document("redes")),
+        "grid_document_runs": run_grid("date = t", "true", number, f"{number} || ' - ' || {name}", document("calibrados")),
         "grid_document_lines": by_day(lines, *HALF, ext),
     }
 

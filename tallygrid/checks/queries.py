@@ -103,7 +103,8 @@ def _grids() -> dict[str, Callable[[Model], DataFrame]]:
         "grid_day_runs_by_day": lambda m: grids.run_grid(m, *JANUARY_1996, match="day").cells(),
         "grid_day_runs_model": lambda m: grids.run_grid(m, *JANUARY_1996, model_id=2, use_id=False).cells(),
         "grid_day_network": lambda m: grids.network_grid(m, 1, *JANUARY).cells(),
-        "grid_document": lambda m: render.to_json(render.document(asia(m))),
+        "grid_document": lambda m: render.to_json(render.document(grids.network_grid(m, 1, *JANUARY))),
+        "grid_document_runs": lambda m: render.to_json(render.document(grids.run_grid(m, *JANUARY_1996))),
         "grid_document_lines": lambda m: render.document_lines(asia(m)),
     }
     return found

@@ -22,11 +22,12 @@ ESTIMATED_VARIABLE, ESTIMATED_PROCEDURE, MEASURED_PROCEDURE = 4, 2, 1
 
 @dataclass(frozen=True)
 class Grid:
-    """``rows`` are ``(y, entity, label, values)``, values being the counts along the axis."""
+    """``rows`` are ``(y, entity, label, values)``, values being the counts along the axis; ``bound`` limits them."""
 
     rows: DataFrame
     axis: Axis
     names: str
+    bound: DataFrame
     timed: bool = False
 
     def cells(self) -> DataFrame:
@@ -82,7 +83,7 @@ def _station_grid(model, axis, last: datetime, tabla, var_id, proc_id, use_id, h
     facts = model.between("observaciones", axis.start, last, closed=True)
     rows = station_rows(model, axis, facts, tabla, int(var_id), proc_id, use_id, has_obs,
                         label=labels.station_label(use_id))
-    return Grid(rows, axis, "estaciones", timed)
+    return Grid(rows, axis, "estaciones", model.table("series"), timed)
 
 
 def _days(start, end, now) -> tuple[Axis, datetime]:
@@ -129,7 +130,7 @@ def area_grid(model: Model, source_id: int, start=None, end=None, var_id: int |
     facts = model.between("observaciones_areal", axis.start, last, closed=True)
     facts = facts.select("series_id", axis.bucket(F.col("timestart")).alias("x"))
     counts = count_members(facts, chosen.select("series_id", "entity"), ["entity"], series)
-    return Grid(fill_rows(placed.select("y", "entity", "label"), counts, ["entity"], axis), axis, "areas")
+    return Grid(fill_rows(placed.select("y", "entity", "label"), counts, ["entity"], axis), axis, "areas", series)
 
 
 def run_grid(model: Model, start=None, end=None, model_id: int | None = None, use_id: bool = True,
@@ -149,7 +150,7 @@ def run_grid(model: Model, start=None, end=None, model_id: int | None = None, us
     counts = runs.groupBy(F.col("cal_id").alias("entity"), axis.bucket(F.col("date")).alias("x")).agg(
         F.count(F.lit(1)).alias("n"))
     rows = fill_rows(placed.select("y", F.col("id").alias("entity"), "label"), counts, ["entity"], axis)
-    return Grid(rows, axis, "calibrados")
+    return Grid(rows, axis, "calibrados", calibrations)
 
 
 def network_grid(model: Model, var_id: int, start=None, end=None, proc_id: int | None = None, has_obs: bool = True,
@@ -166,5 +167,5 @@ def network_grid(model: Model, var_id: int, start=None, end=None, proc_id: int |
     facts = facts.select("series_id", axis.bucket(F.col("timestart")).alias("x"))
     counts = count_members(facts, chosen.select("series_id", "entity"), ["entity"], series)
     placed = numbered(networks.withColumn("label", labels.name_and_id("entity")), [F.col("entity").asc_nulls_last()],
-                      model.table("redes"))
-    return Grid(fill_rows(placed.select("y", "entity", "label"), counts, ["entity"], axis), axis, "redes")
+                      networks)
+    return Grid(fill_rows(placed.select("y", "entity", "label"), counts, ["entity"], axis), axis, "redes", networks)

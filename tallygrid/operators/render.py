@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.axis import Axis
 from ..functions.labels import date_label
 from ..functions.periods import INTRADAY_STEP
+from ..functions.sizing import fits
 from ..sources.model import Model
 from .catalog import chosen
 from .grids import Grid
@@ -151,8 +152,11 @@ def stacked(*parts: DataFrame) -> DataFrame:
 def document(grid: Grid) -> DataFrame:
     """One row ``(dates, names, heatmap)`` with 0-based ``[x, y, n]`` in order of x and y.
 
-    This is what one chart shows. Use :func:`document_lines` for a grid too large for a single value.
+    This is what one chart shows. A grid that is not known to be small is refused: :func:`document_lines` gives the
+    same document in pieces.
     """
+    if not fits(grid.bound):
+        raise ValueError("the grid may be too large for one value; use document_lines or write_document")
     items = F.array_sort(F.collect_list(F.struct("y", "label", "values")))
     whole = grid.rows.agg(items.alias("r"))
     size, none = F.lit(grid.axis.size), F.lit(None)

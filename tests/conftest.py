@@ -5,8 +5,10 @@ import sys
 from contextlib import contextmanager
 from functools import cache
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -20,7 +22,8 @@ THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 @pytest.fixture(scope="session")
 def spark():
     found = session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "3", "spark.default.parallelism": "2", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": "3", "spark.default.parallelism": "2", "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false"})
     found.sparkContext.setLogLevel("ERROR")
     yield found
     found.stop()
@@ -60,7 +63,9 @@ def model_of(spark):
         @cache
         def load(name):
             schema = T.StructType(list(SCHEMAS[name]) + list((_extra or {}).get(name, [])))
-            return spark.createDataFrame(tables.get(name, []), schema)
+            rows = [dict(zip(schema.names, row)) for row in tables.get(name, [])]
+            # An Arrow table becomes a local relation, whose size is known, unlike that of a list of rows.
+            return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(schema)), schema)
 
         return Model(spark, load, stored_views=stored_views, day_column=day_column)
 

@@ -186,6 +186,11 @@ def test_document(model):
     assert {**spread, "heatmap": sorted(spread["heatmap"])} == found
 
 
+def test_a_document_of_unknown_size_is_refused(model, nothing_fits):
+    with pytest.raises(ValueError):
+        render.document(day_grid(model))
+
+
 def test_documents_without_rows_or_days(model):
     nobody = grids.day_grid(model, "none", 1, FIRST, LAST)
     assert json.loads(render.to_json(render.document(nobody)).collect()[0][0]) == {
