@@ -3,6 +3,7 @@ and dense cross products where the library counts by arithmetic."""
 
 from __future__ import annotations
 
+from ..operators.catalog import LISTED_COLUMNS
 from .queries import TIPOS
 
 TABLES = {
@@ -32,6 +33,7 @@ TABLES = {
                 WHEN 'SMALL' THEN 5 WHEN 'STANDARD' THEN 6 END AS BIGINT) escena_id,
             CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END AS BIGINT) var_id,
             CAST(CASE l_linestatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS BIGINT) proc_id
+            , l_linestatus qualifier
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "lk": """SELECT *, ((area_id * 100 + fuentes_id) * 10 + var_id) * 10 + proc_id areal_id,
             (fuentes_id * 10 + escena_id) * 10 + var_id rast_id FROM li""",
@@ -47,21 +49,21 @@ TABLES = {
     "corridas": """SELECT o_orderkey id, CAST(c_nationkey + 1 AS BIGINT) cal_id,
             o_orderdate + CASE WHEN o_orderpriority = '5-LOW' THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END date
         FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "pronosticos": """SELECT l_orderkey cor_id, area_id * 10 + 1 + l_linenumber % 5 series_id, timestart
+    "pronosticos": """SELECT l_orderkey cor_id, area_id * 10 + 1 + l_linenumber % 5 series_id, timestart, qualifier
         FROM lk WHERE l_linenumber % 3 = 0""",
-    "pronosticos_areal": "SELECT l_orderkey cor_id, areal_id series_id, timestart FROM lk WHERE l_linenumber % 3 = 1",
-    "pronosticos_rast": "SELECT l_orderkey cor_id, rast_id series_id, timestart FROM lk WHERE l_linenumber % 3 = 2",
+    "pronosticos_areal": "SELECT l_orderkey cor_id, areal_id series_id, timestart, qualifier FROM lk WHERE l_linenumber % 3 = 1",
+    "pronosticos_rast": "SELECT l_orderkey cor_id, rast_id series_id, timestart, qualifier FROM lk WHERE l_linenumber % 3 = 2",
     "coverage": """SELECT a.series_table, a.series_id, a.cor_id, s.estacion_id, e.tabla,
-            coalesce(s.var_id, sa.var_id, sr.var_id) var_id, a.begin_date, a.end_date, a.count
+            coalesce(s.var_id, sa.var_id, sr.var_id) var_id, a.begin_date, a.end_date, a.count, a.qualifiers
         FROM (
             SELECT 'series' series_table, series_id, cor_id, min(timestart) begin_date, max(timestart) end_date,
-                count(*) count FROM pronosticos GROUP BY ALL
+                count(*) count, list_sort(list(DISTINCT qualifier)) qualifiers FROM pronosticos GROUP BY ALL
             UNION ALL
-            SELECT 'series_areal', series_id, cor_id, min(timestart), max(timestart), count(*)
-                FROM pronosticos_areal GROUP BY ALL
+            SELECT 'series_areal', series_id, cor_id, min(timestart), max(timestart), count(*),
+                list_sort(list(DISTINCT qualifier)) FROM pronosticos_areal GROUP BY ALL
             UNION ALL
-            SELECT 'series_rast', series_id, cor_id, min(timestart), max(timestart), count(*)
-                FROM pronosticos_rast GROUP BY ALL) a
+            SELECT 'series_rast', series_id, cor_id, min(timestart), max(timestart), count(*),
+                list_sort(list(DISTINCT qualifier)) FROM pronosticos_rast GROUP BY ALL) a
         LEFT JOIN series s ON a.series_table = 'series' AND a.series_id = s.id
         LEFT JOIN estaciones e ON s.estacion_id = e.unid
         LEFT JOIN series_areal sa ON a.series_table = 'series_areal' AND a.series_id = sa.id
@@ -86,7 +88,7 @@ TABLES = {
             FROM series_rast s LEFT JOIN fuentes f ON s.fuentes_id = f.id) n
         LEFT JOIN variables v ON n.var_id = v.id LEFT JOIN procedimiento p ON n.proc_id = p.id
         LEFT JOIN unidades u ON n.unit_id = u.id""",
-    "covered": """SELECT c.series_id, c.series_table, c.tabla, c.cor_id, c.begin_date, c.end_date, c.count, n.*
+    "covered": """SELECT c.series_id, c.series_table, c.tabla, c.cor_id, c.begin_date, c.end_date, c.count, c.qualifiers, n.*
             EXCLUDE (id)
         FROM coverage c JOIN named n ON c.series_id = n.id
             AND c.series_table = CASE n.tipo WHEN 'areal' THEN 'series_areal' WHEN 'raster' THEN 'series_rast' ELSE 'series' END""",
@@ -107,10 +109,11 @@ def series_of(start: str, end: str, dt: str) -> str:
     return f"SELECT t, row_number() OVER (ORDER BY t) x FROM (SELECT unnest({span}) t)"
 
 
-def vector(start, end, dt, obs: str, count: str = "count(obs.timestart)", **parts) -> str:
-    return query(f"""SELECT x, CAST(t AS VARCHAR) t, {count} n FROM tseries
-        LEFT JOIN obs ON obs.timestart >= tseries.t AND obs.timestart < tseries.t + INTERVAL '{dt}'
-        GROUP BY x, t""", **parts, tseries=series_of(start, end, dt), obs=obs)
+def vector(start, end, dt, obs: str, count: str = "count(*)", **parts) -> str:
+    """Each bucket with its count; ``count`` is over the observations of one bucket."""
+    inside = f"obs.timestart >= ticks.t AND obs.timestart < ticks.t + INTERVAL '{dt}'"
+    return query(f"SELECT x, CAST(t AS VARCHAR) t, (SELECT {count} FROM obs WHERE {inside}) n FROM ticks",
+                 **parts, ticks=series_of(start, end, dt), obs=obs)
 
 
 def point_obs(start, end, condition: str) -> str:
@@ -126,23 +129,28 @@ def other_obs(tipo, start, end, condition: str) -> str:
         WHERE o.timestart >= TIMESTAMP '{start}' AND o.timestart < TIMESTAMP '{end}' AND {condition}"""
 
 
-def forecast_obs(tipo, start, end, dt, condition: str) -> str:
+def _known(tipo: str, series: str) -> str:
+    """Whether a series exists, at a station of a known network where it has one."""
     joins = STATION_JOINS if tipo == "puntual" else ""
-    return f"""SELECT p.timestart, l.cal_id, l.cor_id, s.id series_id FROM {FORECASTS[tipo]} p
-        JOIN coverage_last l ON p.cor_id = l.cor_id
-        JOIN {SERIES_TABLES[tipo]} s ON p.series_id = s.id {joins}
-        WHERE p.timestart >= TIMESTAMP '{start}' AND p.timestart < TIMESTAMP '{end}' + INTERVAL '{dt}'
-            AND l.series_table = '{SERIES_TABLES[tipo]}' AND {condition}"""
+    return f"{series} IN (SELECT s.id FROM {SERIES_TABLES[tipo]} s{joins})"
+
+
+def forecast_obs(tipo, start, end, dt, condition: str) -> str:
+    """Forecast values in a span, once for each series that the newest run of their calibration covers."""
+    return f"""SELECT value.timestart, l.cal_id, l.cor_id, value.series_id
+        FROM coverage_last l, {FORECASTS[tipo]} value
+        WHERE value.cor_id = l.cor_id AND l.series_table = '{SERIES_TABLES[tipo]}' AND {condition}
+            AND {_known(tipo, "value.series_id")} AND value.timestart >= TIMESTAMP '{start}'
+            AND value.timestart < TIMESTAMP '{end}' + INTERVAL '{dt}'"""
 
 
 def run_obs(tipo, start, end, dt, condition: str) -> str:
-    joins = STATION_JOINS if tipo == "puntual" else ""
-    return f"""SELECT corridas.date timestart, corridas.id cor_id, corridas.cal_id FROM corridas
-        JOIN calibrados ON corridas.cal_id = calibrados.id
-        JOIN coverage c ON corridas.id = c.cor_id
-        JOIN {SERIES_TABLES[tipo]} s ON c.series_id = s.id {joins}
-        WHERE corridas.date >= TIMESTAMP '{start}' AND corridas.date < TIMESTAMP '{end}' + INTERVAL '{dt}'
-            AND c.series_table = '{SERIES_TABLES[tipo]}' AND {condition}"""
+    """Runs in a span, once for each known series that they cover."""
+    return f"""SELECT run.date timestart, run.id cor_id, run.cal_id
+        FROM coverage c, corridas run, calibrados
+        WHERE c.cor_id = run.id AND run.cal_id = calibrados.id AND c.series_table = '{SERIES_TABLES[tipo]}'
+            AND {condition} AND {_known(tipo, "c.series_id")} AND run.date >= TIMESTAMP '{start}'
+            AND run.date < TIMESTAMP '{end}' + INTERVAL '{dt}'"""
 
 
 def matrix(start, end, dt, entities: str, key: list[str], obs: str, extra: tuple = (),
@@ -151,9 +159,9 @@ def matrix(start, end, dt, entities: str, key: list[str], obs: str, extra: tuple
     columns = ", ".join(f"e.{c}" for c in [*key, *extra, "label"])
     return query(f"""SELECT x - 1 x, e.y - 1 y, CAST(t AS VARCHAR) t, {columns}, {count} n,
             strftime(t, '%Y-%m-%dT%H') AS hour
-        FROM tseries CROSS JOIN entities e
-        LEFT JOIN obs ON {same} AND obs.timestart >= tseries.t AND obs.timestart < tseries.t + INTERVAL '{dt}'
-        GROUP BY x, t, e.y, {columns}""", **parts, tseries=series_of(start, end, dt), entities=entities, obs=obs)
+        FROM ticks CROSS JOIN entities e
+        LEFT JOIN obs ON {same} AND obs.timestart >= ticks.t AND obs.timestart < ticks.t + INTERVAL '{dt}'
+        GROUP BY x, t, e.y, {columns}""", **parts, ticks=series_of(start, end, dt), entities=entities, obs=obs)
 
 
 JANUARY = ("2024-01-01", "2024-01-31")
@@ -182,6 +190,11 @@ def _vectors() -> dict[str, str]:
             *ALL_YEARS, "1 year", f"""SELECT p.timestart FROM pronosticos p JOIN series s ON p.series_id = s.id {STATION_JOINS}
                 WHERE p.cor_id IN (SELECT l.cor_id FROM coverage_last l WHERE l.series_table = 'series' AND {GROUPS})
                     AND p.timestart >= TIMESTAMP '{ALL_YEARS[0]}'"""),
+        "request_forecast_areal": vector(*ALL_YEARS, "1 year", forecast_obs("areal", *ALL_YEARS, "1 year", GROUPS)),
+        "request_runs_raster": vector(
+            *YEAR, "1 month", run_obs("raster", *YEAR, "1 month", "calibrados.grupo_id = 2")),
+        "obs_density_open_period": vector(
+            "2023-12-20", "2024-01-20 15:30:00", "1 day", point_obs("2023-12-20", "2024-01-20 15:30:00", "s.var_id = 1")),
         "run_density_distinct": vector(*YEAR, "1 month", run_obs("puntual", *YEAR, "1 month", "calibrados.grupo_id = 2"),
                                        "count(DISTINCT obs.cor_id)"),
         "vector_arrays": query(f"""SELECT to_json({{'values': list(n ORDER BY x), 'timestamps': list(t ORDER BY x)}})::VARCHAR
@@ -261,11 +274,11 @@ STATION_KEYS = {
     None: "lpad(CAST(unid AS VARCHAR), 5, '0')",
 }
 STATION_LABELS = {
-    "ext": "substring(coalesce(id_externo, CAST(unid AS VARCHAR)), 0, 9) || ' - ' || substring(nombre, 0, 12)",
+    "ext": "left(coalesce(id_externo, CAST(unid AS VARCHAR)), 8) || ' - ' || left(nombre, 11)",
     "ext_only": "coalesce(id_externo, CAST(unid AS VARCHAR))",
-    "nombre": "substring(coalesce(nombre, CAST(unid AS VARCHAR)), 0, 16)",
-    "id": "substring(coalesce(CAST(estaciones.id AS VARCHAR), CAST(unid AS VARCHAR)), 0, 16)",
-    None: "substring(nombre, 0, 12) || ' (' || unid || ')'",
+    "nombre": "left(coalesce(nombre, CAST(unid AS VARCHAR)), 15)",
+    "id": "left(CAST(coalesce(estaciones.id, unid) AS VARCHAR), 15)",
+    None: "left(nombre, 11) || ' (' || unid || ')'",
 }
 CELLS = "SELECT x - 1 x, y - 1 y, CAST(t AS VARCHAR) t, entity, label, n FROM grid"
 
@@ -283,23 +296,26 @@ def stations(var_id: int, proc_id: int, use_id, has_obs: bool = True) -> str:
 def grid(select: str, start, end, last, dt, entities: str, observed: str = "observaciones", bucket: str | None = None,
          time: str = "timestart") -> str:
     """A dense grid; ``bucket`` is the condition that puts an observation into the bucket t."""
-    bucket = bucket or f"o.timestart >= tseries.t AND o.timestart < tseries.t + INTERVAL '{dt}'"
+    bucket = bucket or f"o.at >= ticks.t AND o.at < ticks.t + INTERVAL '{dt}'"
     return query(
-        select, tseries=series_of(start, end, dt), entities=entities,
-        subobs=f"""SELECT o.{time} timestart, e.entity FROM {observed} o JOIN entities e USING (series_id)
-            WHERE o.{time} >= TIMESTAMP '{start}' AND o.{time} <= TIMESTAMP '{last}'""",
-        countreg=f"SELECT entity, t, count(o.timestart) n FROM subobs o JOIN tseries ON {bucket} GROUP BY entity, t",
-        grid="""SELECT x, y, tseries.t, e.entity, label, coalesce(n, 0) n FROM tseries CROSS JOIN entities e
-            LEFT JOIN countreg USING (t, entity)""")
+        select, ticks=series_of(start, end, dt), entities=entities,
+        seen=f"""SELECT entity, o.{time} AS "at" FROM {observed} o, entities
+            WHERE o.series_id = entities.series_id AND o.{time} BETWEEN TIMESTAMP '{start}' AND TIMESTAMP '{last}'""",
+        grid=_dense(f"SELECT count(*) FROM seen o WHERE o.entity = e.entity AND {bucket}"))
+
+
+def _dense(count: str) -> str:
+    """Every entity and bucket with its count, a subquery on both."""
+    return f"SELECT x, y, ticks.t, e.entity, label, ({count}) n FROM ticks, entities e"
 
 
 def by_day(select: str, start, end, entities: str, observed: str = "observaciones") -> str:
-    return grid(select, start, end, f"{end} 23:59:59", "1 day", entities, observed, "CAST(o.timestart AS DATE) = tseries.t")
+    return grid(select, start, end, f"{end} 23:59:59", "1 day", entities, observed, "CAST(o.at AS DATE) = ticks.t")
 
 
 def by_month(select: str, entities: str) -> str:
     return grid(select, "2024-01-01", "2024-12-31 23:59:59", "2024-12-31 23:59:59", "1 month", entities,
-                bucket="extract(month FROM o.timestart) = extract(month FROM tseries.t)")
+                bucket="extract(month FROM o.at) = extract(month FROM ticks.t)")
 
 
 def in_day(select: str, day: str, dt: str, entities: str) -> str:
@@ -307,7 +323,7 @@ def in_day(select: str, day: str, dt: str, entities: str) -> str:
 
 
 def areas(condition: str) -> str:
-    return f"""SELECT area_id entity, series_areal.id series_id, substring(nombre, 0, 12) || ' (' || area_id || ')' AS label,
+    return f"""SELECT area_id entity, series_areal.id series_id, left(nombre, 11) || ' (' || area_id || ')' AS label,
             row_number() OVER (ORDER BY area_id, series_areal.id) y
         FROM series_areal JOIN areas_pluvio ON area_id = unid
         WHERE fuentes_id = 3 AND activar AND mostrar AND {condition}"""
@@ -316,13 +332,11 @@ def areas(condition: str) -> str:
 def run_grid(bucket: str, condition: str, key: str, label: str, select: str = CELLS) -> str:
     start, end = "1996-01-01", "1996-01-31"
     return query(
-        select, tseries=series_of(start, end, "1 day"),
+        select, ticks=series_of(start, end, "1 day"),
         entities=f"""SELECT id entity, {label} AS label, row_number() OVER (ORDER BY {key}, id) y FROM calibrados
-            JOIN (SELECT DISTINCT cal_id FROM corridas) ON id = cal_id WHERE {condition}""",
-        countreg=f"""SELECT cal_id entity, t, count(date) n FROM corridas JOIN tseries ON {bucket}
-            WHERE date >= TIMESTAMP '{start}' AND date <= TIMESTAMP '{end} 23:59:59' GROUP BY cal_id, t""",
-        grid="""SELECT x, y, tseries.t, e.entity, label, coalesce(n, 0) n FROM tseries CROSS JOIN entities e
-            LEFT JOIN countreg USING (t, entity)""")
+            WHERE id IN (SELECT cal_id FROM corridas) AND {condition}""",
+        grid=_dense(f"""SELECT count(*) FROM corridas WHERE cal_id = e.entity AND {bucket}
+            AND date BETWEEN TIMESTAMP '{start}' AND TIMESTAMP '{end} 23:59:59'"""))
 
 
 HALF = ("2024-01-01", "2024-01-15")
@@ -332,33 +346,32 @@ NETWORK_SERIES = """SELECT redes.id entity, s.id series_id FROM series s JOIN es
 
 def network_grid(select: str) -> str:
     return query(
-        select, tseries=series_of(*JANUARY, "1 day"),
-        entities="""SELECT id entity, substring(nombre, 0, 12) || ' (' || id || ')' AS label,
+        select, ticks=series_of(*JANUARY, "1 day"),
+        entities="""SELECT id entity, left(nombre, 11) || ' (' || id || ')' AS label,
             row_number() OVER (ORDER BY id) y FROM redes""",
-        countreg=f"""SELECT entity, CAST(timestart AS DATE) t, count(*) n
-            FROM observaciones JOIN ({NETWORK_SERIES}) USING (series_id)
-            WHERE timestart >= TIMESTAMP '{JANUARY[0]}' AND timestart <= TIMESTAMP '{JANUARY[1]} 23:59:59'
-            GROUP BY ALL""",
-        grid="""SELECT x, y, tseries.t, e.entity, label, coalesce(n, 0) n FROM tseries CROSS JOIN entities e
-            LEFT JOIN countreg USING (t, entity)""")
+        seen=f"""SELECT entity, CAST(timestart AS DATE) AS day FROM observaciones JOIN ({NETWORK_SERIES}) USING (series_id)
+            WHERE timestart BETWEEN TIMESTAMP '{JANUARY[0]}' AND TIMESTAMP '{JANUARY[1]} 23:59:59'""",
+        grid=_dense("SELECT count(*) FROM seen o WHERE o.entity = e.entity AND o.day = ticks.t"))
 
 
-def document(names: str) -> str:
-    return f"""SELECT to_json({{'dates': (SELECT list(strftime(t, '%Y-%m-%d') ORDER BY x) FROM tseries),
-        '{names}': (SELECT list(label ORDER BY y) FROM entities),
-        'heatmap': (SELECT list([CAST(x - 1 AS INT), CAST(y - 1 AS INT), CAST(n AS INT)] ORDER BY x, y)
-            FROM grid)}})::VARCHAR heatmap"""
+def document(names: str, entities: int = 1000) -> str:
+    """The grid in pieces of so many entities."""
+    return f"""SELECT piece, to_json({{'dates': (SELECT list(strftime(t, '%Y-%m-%d') ORDER BY x) FROM ticks),
+        '{names}': (SELECT list(label ORDER BY y) FROM entities WHERE (y - 1) // {entities} = piece),
+        'cells': (SELECT list([CAST(x - 1 AS INT), CAST(y - 1 AS INT), CAST(n AS INT)] ORDER BY x, y)
+            FROM grid WHERE (y - 1) // {entities} = piece)}})::VARCHAR cells
+        FROM (SELECT DISTINCT (y - 1) // {entities} AS piece FROM entities)"""
 
 
 def _grids() -> dict[str, str]:
     ext = stations(1, 1, "ext")
     modes = {"ext": "ext", "ext_only": "ext_only", "name": "nombre", "id": "id", "default": None}
     found = {f"grid_day_station_{name}": by_day(CELLS, *HALF, stations(1, 1, mode)) for name, mode in modes.items()}
-    number, name = "lpad(CAST(id AS VARCHAR), 4, '0')", "substring(nombre, 0, 12)"
+    number, name = "lpad(CAST(id AS VARCHAR), 4, '0')", "left(nombre, 11)"
     lines = """SELECT 0 section, CAST(0 AS BIGINT) y, '{"dates":["' || string_agg(strftime(t, '%Y-%m-%d'), '","' ORDER BY x)
-            || '"],"estaciones":[' line FROM tseries
+            || '"],"estaciones":[' line FROM ticks
         UNION ALL SELECT 1, y - 1, CASE WHEN y > 1 THEN ',' ELSE '' END || to_json(label)::VARCHAR FROM entities
-        UNION ALL SELECT 2, 0, '],"heatmap":['
+        UNION ALL SELECT 2, 0, '],"cells":['
         UNION ALL SELECT 3, y - 1, CASE WHEN y > 1 THEN ',' ELSE '' END
             || string_agg('[' || (x - 1) || ',' || (y - 1) || ',' || n || ']', ',' ORDER BY x) FROM grid GROUP BY y
         UNION ALL SELECT 4, 0, ']}'"""
@@ -378,6 +391,8 @@ def _grids() -> dict[str, str]:
         "grid_day_network": network_grid(CELLS),
         "grid_document": network_grid(document("redes")),
         "grid_document_runs": run_grid("date = t", "true", number, f"{number} || ' - ' || {name}", document("calibrados")),
+        "grid_document_station": by_day(document("estaciones", 10), *HALF, ext),
+        "grid_document_area": by_day(document("areas", 8), "1996-03-01", "1996-03-31", areas("true"), "observaciones_areal"),
         "grid_document_lines": by_day(lines, *HALF, ext),
     }
 
@@ -417,6 +432,13 @@ def _filters() -> dict[str, str]:
         "filter_number_list": value("valor IN (CAST(6.55 AS DOUBLE), CAST(1.63 AS DOUBLE))"),
         "filter_untyped": station("unid IN (3, 30)"),
     }
+    found["filter_interval"] = query("""SELECT cor_id, series_id FROM pronosticos p JOIN corridas c ON p.cor_id = c.id
+        WHERE p.timestart - c.date = INTERVAL 3 DAY""")
+    found["filter_case_insensitive"] = station("lower(tabla) = 'europe'")
+    found["filter_required"] = station("unid IN (3, 30)")
+    for field in ("microseconds", "milliseconds", "second", "minute"):
+        found[f"filter_date_{field}"] = query(f"""SELECT id FROM observaciones
+            WHERE date_trunc('{field}', timestart) = date_trunc('{field}', TIMESTAMP '2024-01-01 00:00:07')""")
     moment = "TIMESTAMP '1998-08-05 12:34:56'"
     for field in ("hour", "day", "week", "month", "quarter", "year", "decade"):
         found[f"filter_date_{field}"] = run(f"date_trunc('{field}', date) = date_trunc('{field}', {moment})")
@@ -431,9 +453,11 @@ def _catalog() -> dict[str, str]:
         JOIN variables v ON s.var_id = v.id"""
     columns = """calibrados.id, calibrados.nombre, covered.series_id, covered.series_table, covered.estacion_id,
         covered.tabla, covered.var_id, covered.cor_id, CAST(covered.begin_date AS VARCHAR) begin_date,
-        CAST(covered.end_date AS VARCHAR) end_date, covered.count, covered.tipo, covered.proc_id, covered.unit_id,
+        CAST(covered.end_date AS VARCHAR) end_date, covered.count, array_to_string(covered.qualifiers, ',') qualifiers, covered.tipo, covered.proc_id, covered.unit_id,
         covered.fuentes_id, covered.estacion_nombre, covered.fuentes_nombre, covered.var_var, covered.var_nombre,
         covered."var_timeSupport", covered.proc_nombre, covered.unit_nombre, covered.unit_abrev"""
+    listed = ", ".join(
+        f"'{c}': CAST({c} AS VARCHAR)" if c in ("begin_date", "end_date") else f"""'{c}': covered."{c}\"""" for c in LISTED_COLUMNS)
     joined = f"""FROM calibrados JOIN corridas ON corridas.cal_id = calibrados.id
         JOIN covered ON covered.cor_id = corridas.id WHERE calibrados.activar AND {_overlap(YEAR)}"""
     found = {
@@ -454,18 +478,17 @@ def _catalog() -> dict[str, str]:
             "SELECT *, nombre || '(' || tabla_id || '[' || id || '])' AS label FROM redes"),
         "catalog_source_labels": query("SELECT *, nombre || ' (' || id || ')' AS label FROM fuentes"),
         "forecast_coverage": query("""SELECT * REPLACE (CAST(begin_date AS VARCHAR) AS begin_date,
-            CAST(end_date AS VARCHAR) AS end_date) FROM coverage"""),
+            CAST(end_date AS VARCHAR) AS end_date, array_to_string(qualifiers, ',') AS qualifiers) FROM coverage"""),
         "forecast_coverage_last": query("""SELECT * REPLACE (CAST(begin_date AS VARCHAR) AS begin_date,
-            CAST(end_date AS VARCHAR) AS end_date, CAST(forecast_date AS VARCHAR) AS forecast_date) FROM coverage_last"""),
+            CAST(end_date AS VARCHAR) AS end_date, CAST(forecast_date AS VARCHAR) AS forecast_date,
+            array_to_string(qualifiers, ',') AS qualifiers) FROM coverage_last"""),
         "series_named": query("SELECT * FROM named"),
         "calibrations_last": query(calibration_ids(None, "puntual", "last", "calibrados.grupo_id IN (1, 2, 3)")),
         "calibrations_filtered": query(
             calibration_ids(YEAR, "puntual", "all", "covered.var_id = 2 AND covered.unit_id = 1")),
-        "calibrations_nested": query(f"""SELECT calibrados.id, calibrados.nombre, CAST(0 AS BIGINT) part,
-                to_json(list({{'series_table': series_table, 'series_id': series_id, 'cor_id': cor_id,
-                    'begin_date': CAST(begin_date AS VARCHAR), 'count': count, 'estacion_nombre': estacion_nombre}}
-                    ORDER BY series_table, series_id, cor_id))::VARCHAR series
-            {joined} AND covered.tipo = 'puntual' AND {_last('last')} GROUP BY calibrados.id, calibrados.nombre"""),
+        "calibrations_nested": query(f"""SELECT calibrados.id, calibrados.nombre, series_table, series_id // 1000 part,
+                to_json(list({{{listed}}} ORDER BY series_id, cor_id))::VARCHAR series
+            {joined} AND covered.tipo = 'puntual' AND {_last('last')} GROUP BY ALL"""),
     }
     for name, tipo in TIPOS.items():
         found[f"calibrations_{name}"] = query(calibration_ids(YEAR, tipo, "all"))
@@ -474,8 +497,8 @@ def _catalog() -> dict[str, str]:
 
 
 def table_lines(head: str, date: str, label: str, number: str, sep: str = "") -> str:
-    """Lines of a report over grid and tseries."""
-    return f"""SELECT CAST(0 AS BIGINT) line_no, {head} || string_agg({date}, '{sep}' ORDER BY x) line FROM tseries
+    """Lines of a report over grid and ticks."""
+    return f"""SELECT CAST(0 AS BIGINT) line_no, {head} || string_agg({date}, '{sep}' ORDER BY x) line FROM ticks
         UNION ALL SELECT y, {label} || string_agg({number}, '{sep}' ORDER BY x) FROM grid GROUP BY y, label"""
 
 
@@ -529,7 +552,7 @@ def _reports() -> dict[str, str]:
     def year(number: int) -> str:
         first, last = f"{number}-01-01", f"{number}-12-31 23:59:59"
         return grid(_fixed("%m", 6), first, last, last, "1 month", ext,
-                    bucket="extract(month FROM o.timestart) = extract(month FROM tseries.t)")
+                    bucket="extract(month FROM o.at) = extract(month FROM ticks.t)")
 
     levels = f"""SELECT s.estacion_id codigo_de_estacion, CAST(1 AS BIGINT) codigo_de_variable,
             strftime(o.timestart, '%d/%m/%Y') fecha, extract(hour FROM timestart) hora,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import NOT_NULL, Spec, per_table
@@ -50,6 +51,12 @@ def _vectors() -> dict[str, Callable[[Model], DataFrame]]:
         "raster_density_series": lambda m: vectors.raster_density(m, *ALL_YEARS, "6 months", {"series_id": 321}),
         "prono_density_dedupe": lambda m: forecasts.forecast_density(
             m, *ALL_YEARS, "1 year", ALL_GROUPS, dedupe=True),
+        "request_forecast_areal": lambda m: forecasts.forecast_density(
+            m, *ALL_YEARS, "1 year", {**ALL_GROUPS, "tipo": "areal"}),
+        "request_runs_raster": lambda m: forecasts.forecast_density(
+            m, *YEAR_1996, "1 month", {"cal_grupo_id": 2, "tipo": "rast", "count": "corridas"}),
+        "obs_density_open_period": lambda m: vectors.obs_density(
+            m, None, None, "1 day", {"var_id": 1}, now=datetime(2024, 1, 20, 15, 30)),
         "run_density_distinct": lambda m: forecasts.forecast_density(
             m, *YEAR_1996, "1 month", {"cal_grupo_id": 2}, count="corridas", distinct_runs=True),
         "vector_arrays": lambda m: render.to_json(vectors.as_arrays(
@@ -103,8 +110,10 @@ def _grids() -> dict[str, Callable[[Model], DataFrame]]:
         "grid_day_runs_by_day": lambda m: grids.run_grid(m, *JANUARY_1996, match="day").cells(),
         "grid_day_runs_model": lambda m: grids.run_grid(m, *JANUARY_1996, model_id=2, use_id=False).cells(),
         "grid_day_network": lambda m: grids.network_grid(m, 1, *JANUARY).cells(),
-        "grid_document": lambda m: render.to_json(render.document(grids.network_grid(m, 1, *JANUARY))),
-        "grid_document_runs": lambda m: render.to_json(render.document(grids.run_grid(m, *JANUARY_1996))),
+        "grid_document": lambda m: render.document_json(grids.network_grid(m, 1, *JANUARY)),
+        "grid_document_runs": lambda m: render.document_json(grids.run_grid(m, *JANUARY_1996)),
+        "grid_document_station": lambda m: render.document_json(asia(m), 10),
+        "grid_document_area": lambda m: render.document_json(grids.area_grid(m, 3, *MARCH_1996), 8),
         "grid_document_lines": lambda m: render.document_lines(asia(m)),
     }
     return found
@@ -153,6 +162,16 @@ def _filters() -> dict[str, Callable[[Model], DataFrame]]:
         "filter_number_list": on("valores_num", "valor", "obs_id", Spec("float"), ["6.55 m", "x", 1.63]),
         "filter_untyped": station("unid", Spec(), [3, 30]),
     }
+    found["filter_interval"] = lambda m: m.table("pronosticos").join(
+        m.table("corridas").select(F.col("id").alias("cor_id"), "date"), "cor_id").withColumn(
+        "lead", F.col("timestart") - F.col("date")).where(
+        per_table({"lead": Spec("interval")}, {"lead": "3 days"})[""]).select("cor_id", "series_id")
+    found["filter_case_insensitive"] = station("tabla", Spec("string", case_insensitive=True), "EUROPE")
+    found["filter_required"] = lambda m: m.table("estaciones").where(per_table(
+        {"unid": Spec("integer", required=True), "habilitar": Spec("boolean")}, {"unid": [3, 30], "habilitar": None})[""]).select("unid")
+    for field in ("microseconds", "milliseconds", "second", "minute"):
+        found[f"filter_date_{field}"] = on(
+            "observaciones", "timestart", "id", Spec("date", trunc=field), "2024-01-01T00:00:07")
     for field in ("hour", "day", "week", "month", "quarter", "year", "decade", "century", "millennium"):
         found[f"filter_date_{field}"] = run("date", Spec("date", trunc=field), "1998-08-05T12:34:56")
     return found
@@ -176,8 +195,8 @@ def _catalog() -> dict[str, Callable[[Model], DataFrame]]:
         "catalog_raster_series_by_id": lambda m: catalog.raster_series(m, 321),
         "catalog_network_labels": lambda m: catalog.picker_label(catalog.networks(m), "tabla_id"),
         "catalog_source_labels": lambda m: catalog.picker_label(catalog.sources(m)),
-        "forecast_coverage": lambda m: forecasts.coverage(m).drop("qualifiers"),
-        "forecast_coverage_last": lambda m: forecasts.last_coverage(m).drop("qualifiers"),
+        "forecast_coverage": lambda m: _listed(forecasts.coverage(m)),
+        "forecast_coverage_last": lambda m: _listed(forecasts.last_coverage(m)),
         "series_named": catalog.named_series,
         "calibrations_last": lambda m: catalog.calibrations(m, {"cal_grupo_id": [1, 2, 3]}, "pronosticos"),
         "calibrations_filtered": lambda m: catalog.calibrations(m, {**overlap, "var_id": 2, "unit_id": 1}),
@@ -185,17 +204,24 @@ def _catalog() -> dict[str, Callable[[Model], DataFrame]]:
     }
     for name, tipo in TIPOS.items():
         found[f"calibrations_{name}"] = lambda m, tipo=tipo: catalog.calibrations(m, {**overlap, "tipo": tipo})
-        found[f"calibrations_series_{name}"] = lambda m, tipo=tipo: catalog.calibration_series(
-            m, {**overlap, "tipo": tipo}).drop("qualifiers")
+        found[f"calibrations_series_{name}"] = lambda m, tipo=tipo: _listed(catalog.calibration_series(
+            m, {**overlap, "tipo": tipo}))
     return found
 
 
+def _listed(rows: DataFrame) -> DataFrame:
+    """Lists as text, which compares alike in every engine."""
+    return rows.withColumn("qualifiers", F.array_join("qualifiers", ","))
+
+
 def _nested(rows: DataFrame) -> DataFrame:
-    item = lambda s: F.struct(s["series_table"].alias("series_table"), s["series_id"].alias("series_id"),
-                              s["cor_id"].alias("cor_id"), s["begin_date"].cast("string").alias("begin_date"),
-                              s["count"].alias("count"), s["estacion_nombre"].alias("estacion_nombre"))
+    def item(series: Column) -> Column:
+        return F.struct(*[
+            (series[c].cast("string") if c in ("begin_date", "end_date") else series[c]).alias(c)
+            for c in catalog.LISTED_COLUMNS])
+
     text = F.to_json(F.transform("series", item), {"ignoreNullFields": "false"})
-    return rows.select("id", "nombre", "part", text.alias("series"))
+    return rows.select("id", "nombre", "series_table", "part", text.alias("series"))
 
 
 def _reports() -> dict[str, Callable[[Model], DataFrame]]:

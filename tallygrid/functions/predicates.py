@@ -30,6 +30,9 @@ MONTH_SECONDS = 30 * 86400
 RANGE_KEYS = ("timestart", "timeend", "dt")
 
 _INTEGER = re.compile(r"\s*([+-]?\d+)")
+_YEAR_MONTH = r"^interval '(-?)(\d+)-(\d+)' year to month$"
+_DAY_TIME = r"^interval '(-?)(\d+) (\d+):(\d+):(\d+(?:\.\d+)?)' day to second$"
+_CLOCK = r"([+-]?)(\d{1,2}):(\d{2})(?::(\d{2}))?$"
 _FLOAT = re.compile(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)")
 
 
@@ -74,13 +77,13 @@ def clean_filter(query: dict[str, Any], keep_range: bool = False) -> dict[str, A
 def require_any(specs: dict[str, Spec], values: dict[str, Any]) -> None:
     """At least one known filter with a truthy value; 0 does not count as one."""
     if not any(values.get(key) for key in specs):
-        raise ValueError("Missing at least one filter: " + ", ".join(specs))
+        raise ValueError("give one of these filters: " + ", ".join(specs))
 
 
 def trunc_span(field: str, value: datetime) -> tuple[datetime, datetime]:
     """``[first, after)`` of the unit of time around value."""
     if field not in TRUNC_FIELDS:
-        raise ValueError(f"Invalid date_trunc field: {field}")
+        raise ValueError(f"no unit of time to cut to: {field!r}")
     if field in ("microseconds", "milliseconds"):
         size = 1 if field == "microseconds" else 1000
         first = value.replace(microsecond=value.microsecond // size * size)
@@ -111,17 +114,28 @@ def trunc_span(field: str, value: datetime) -> tuple[datetime, datetime]:
 
 
 def interval_seconds(column: Column) -> Column:
-    """Length in seconds of interval text such as ``1 day`` or ``03:00:00``, a month being 30 days."""
+    """Length in seconds of an interval column or of text such as ``1 day``, ``-2 months`` or ``1 day 03:00:00``, a month
+    being 30 days; null where the text cannot be read. Signs count."""
     text = F.lower(F.trim(column.cast("string")))
-    total = F.lit(0).cast("bigint")
+
+    def group(pattern: str, i: int) -> Column:
+        found = F.regexp_extract(text, pattern, i)
+        return F.when(found != "", found.cast("decimal(38,6)")).otherwise(F.lit(0))
+
+    def signed(pattern: str, size: Column) -> Column:
+        return F.when(text.rlike(pattern), F.when(F.regexp_extract(text, pattern, 1) == "-", -size).otherwise(size))
+
+    # As Spark writes its two interval types.
+    years = signed(_YEAR_MONTH, (group(_YEAR_MONTH, 2) * 12 + group(_YEAR_MONTH, 3)) * MONTH_SECONDS)
+    days = signed(_DAY_TIME, sum(
+        (group(_DAY_TIME, i) * size for i, size in ((3, 3600), (4, 60), (5, 1))), group(_DAY_TIME, 2) * 86400))
     units = {**SECONDS, **{unit: months * MONTH_SECONDS for unit, months in MONTHS.items()}}
-    for unit, seconds in units.items():
-        amount = F.regexp_extract(text, rf"(\d+)\s*{unit}s?(?![a-z])", 1)
-        total = total + F.when(amount != "", amount.cast("bigint") * seconds).otherwise(0)
-    for group, seconds in ((1, 3600), (2, 60), (3, 1)):
-        amount = F.regexp_extract(text, r"(\d{1,2}):(\d{2})(?::(\d{2}))?", group)
-        total = total + F.when(amount != "", amount.cast("bigint") * seconds).otherwise(0)
-    return F.when(column.isNotNull(), total)
+    plain = sum((group(rf"([+-]?\d+)\s*{unit}s?(?![a-z])", 1) * size for unit, size in units.items()), F.lit(0))
+    clock = group(_CLOCK, 2) * 3600 + group(_CLOCK, 3) * 60 + group(_CLOCK, 4)
+    plain = plain + F.when(F.regexp_extract(text, _CLOCK, 1) == "-", -clock).otherwise(clock)
+    names = "|".join(sorted(units, key=len, reverse=True))
+    readable = text.rlike(rf"^(?=.)(?:[+-]?\d+\s*(?:{names})s?(?![a-z])\s*)*(?:[+-]?\d{{1,2}}:\d{{2}}(?::\d{{2}})?)?$")
+    return F.coalesce(years, days, F.when(readable, plain))
 
 
 def _items(value) -> list:
@@ -135,7 +149,7 @@ def _is_list(value) -> bool:
 def _one_or_many(column: Column, value, values: list, what: str) -> Column:
     values = [v for v in values if v is not None]
     if not values:
-        raise ValueError(f"Invalid {what}: {value}")
+        raise ValueError(f"not of type {what}: {value!r}")
     return column.isin(values) if _is_list(value) else column == F.lit(values[0])
 
 
@@ -145,7 +159,7 @@ def _string(column: Column, value, spec: Spec) -> Column:
         return fold(column) == fold(F.lit(str(value)))
     values = [str(v) for v in value if v is not None and str(v) != ""]
     if not values:
-        raise ValueError("Empty or invalid string array")
+        raise ValueError("a list of texts without any text")
     return fold(column).isin([v.lower() for v in values] if spec.case_insensitive else values)
 
 
@@ -154,14 +168,14 @@ def _range(column: Column, value) -> Column:
         return column == _needed_number(value)
     ends = list(value)
     if len(ends) < 2:
-        raise ValueError("numeric_interval needs at least 2 values")
+        raise ValueError("a range of numbers has two ends")
     return (column >= _needed_number(ends[0])) & (column <= _needed_number(ends[1]))
 
 
 def _needed_number(value) -> Column:
     found = number(value)
     if found is None:
-        raise ValueError(f"Invalid float: {value}")
+        raise ValueError(f"not a number: {value!r}")
     return F.lit(found)
 
 
@@ -177,7 +191,7 @@ def _near(column: Column, value) -> Column:
     try:
         lon, lat = (float(v) for v in value)
     except (TypeError, ValueError) as error:
-        raise ValueError("Invalid geometry object") from error
+        raise ValueError("a place is a pair of numbers, longitude and latitude") from error
     return F.hypot(column["lon"] - F.lit(lon), column["lat"] - F.lit(lat)) < NEAR_DEGREES
 
 
@@ -244,10 +258,10 @@ def per_table(specs: dict[str, Spec], values: dict[str, Any], default_table: str
             continue
         if value is None:
             if spec.required:
-                errors.append(f"Missing value for required filter {key}")
+                errors.append(f"{key} must be given")
             continue
         if _unsafe(value):
-            errors.append("Invalid filter value")
+            errors.append(f"characters that are not allowed in {key}")
             continue
         try:
             condition = _condition(column, spec, value)
@@ -257,7 +271,7 @@ def per_table(specs: dict[str, Spec], values: dict[str, Any], default_table: str
         if condition is not None:
             found.setdefault(table, []).append(condition)
     if errors:
-        raise ValueError("Invalid filter:\n" + "\n".join(errors))
+        raise ValueError("the filter cannot be used:\n" + "\n".join(errors))
     return {table: reduce(lambda a, b: a & b, conditions) for table, conditions in found.items()}
 
 

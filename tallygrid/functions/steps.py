@@ -56,7 +56,7 @@ def parse_step(text: str | Step) -> Step:
     if isinstance(text, Step):
         return text
     if not text:
-        raise ValueError("Missing or bad parameter: dt")
+        raise ValueError("a step is needed")
     months, seconds = parse_interval(text)
     if (months > 0) == (seconds > 0):
         raise ValueError(f"step must be whole months or a fixed span above zero: {text!r}")

@@ -9,32 +9,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Spec, per_table
+from ..functions.sizing import broadcast_if
 from ..sources.model import Model
 from ..sources.schema import KINDS, Kind, kind_of
 from .forecasts import LAST_COVERAGE, newest_runs, spans
 from .tally import where
 
 _UNSAFE = re.compile(r"[';\s]")
-# Members of one list of nested series.
-LIST_LENGTH = 10_000
+# Series ids of one list of nested series.
+IDS_PER_LIST = 1000
 
 CALIBRATION_FILTERS = {
     "cal_grupo_id": Spec("integer", "calibrados", "grupo_id"),
     "cal_id": Spec("integer", "calibrados", "id"),
-    "series_id": Spec("integer", "covered"),
-    "var_id": Spec("integer", "covered"),
-    "unit_id": Spec("integer", "covered"),
+    "series_id": Spec("integer", "series"),
+    "var_id": Spec("integer", "series"),
+    "unit_id": Spec("integer", "series"),
     "timestart": Spec("timestart", "covered", "end_date"),
     "timeend": Spec("timeend", "covered", "begin_date"),
-    "estacion_id": Spec("integer", "covered"),
-    "area_id": Spec("integer", "covered"),
-    "escena_id": Spec("integer", "covered"),
+    "estacion_id": Spec("integer", "series"),
+    "area_id": Spec("integer", "series"),
+    "escena_id": Spec("integer", "series"),
 }
 SERIES_COLUMNS = (
     "series_id", "series_table", "estacion_id", "tabla", "var_id", "cor_id", "begin_date", "end_date", "count",
     "qualifiers", "tipo", "proc_id", "unit_id", "fuentes_id", "estacion_nombre", "fuentes_nombre", "var_var",
     "var_nombre", "var_timeSupport", "proc_nombre", "unit_nombre", "unit_abrev",
 )
+# The same, in the order of nested series.
+LISTED_COLUMNS = ("series_table", "series_id", "cor_id", *[
+    c for c in SERIES_COLUMNS if c not in ("series_table", "series_id", "cor_id")])
 
 
 def chosen(frame: DataFrame, wanted, code: str | None = None) -> DataFrame:
@@ -135,15 +139,30 @@ def named_series(model: Model, kinds: list[Kind] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _covered(model: Model, kind: Kind, count: str | None, conditions: dict, named: bool) -> DataFrame:
-    """The coverage of one kind, joined to its series, that passes the filter; runs without any drop out."""
-    runs = None
-    if count == "pronosticos":
-        runs = (model.table(LAST_COVERAGE).select("cor_id").distinct() if LAST_COVERAGE in model.stored_views
-                else newest_runs(model))
+def _runs(model: Model, count: str | None, conditions: dict) -> DataFrame:
+    """(cor_id, cal_id): the runs, or newest runs, of the active calibrations that pass the filter."""
+    active = _calibrations(model, conditions)
+    if count != "pronosticos":
+        runs = model.table("corridas").select(F.col("id").alias("cor_id"), "cal_id")
+    elif LAST_COVERAGE in model.stored_views:
+        runs = model.table(LAST_COVERAGE).select("cor_id", "cal_id").distinct()
+    else:
+        runs = newest_runs(model).select("cor_id", "cal_id")
+    return runs.join(broadcast_if(active.select("cal_id"), model.table("calibrados")), "cal_id", "left_semi")
+
+
+def _covered(model: Model, kind: Kind, runs: DataFrame, conditions: dict, named: bool) -> DataFrame:
+    """The coverage of one kind in the given runs, joined to its series, that passes the filter; runs without any drop
+    out. Only forecasts of these runs and of the series that pass are aggregated."""
     series = _named(model, kind) if named else model.table(kind.series)
-    found = spans(model, kind, runs).join(series.withColumnRenamed("id", "series_id"), "series_id")
-    return where(found.withColumn("series_table", F.lit(kind.series)), conditions.get("covered"))
+    series = where(series.withColumnRenamed("id", "series_id"), conditions.get("series"))
+    wanted = None
+    if "series" in conditions:
+        own = where(model.table(kind.series).withColumnRenamed("id", "series_id"), conditions["series"])
+        wanted = broadcast_if(own.select("series_id"), model.table(kind.series))
+    found = spans(model, kind, runs, wanted)
+    found = where(found, conditions.get("covered")).join(series, "series_id")
+    return found.withColumn("series_table", F.lit(kind.series))
 
 
 def _calibrations(model: Model, conditions: dict) -> DataFrame:
@@ -163,9 +182,9 @@ def _conditions(filter: dict | None) -> tuple[Kind, dict]:
 def calibration_rows(model: Model, filter: dict | None = None, count: str | None = None) -> DataFrame:
     """(id, nombre): active calibrations with a run that has matching forecast series, in no order."""
     kind, conditions = _conditions(filter)
-    runs = _covered(model, kind, count, conditions, named=False).select("cor_id").distinct()
-    owners = model.table("corridas").select(F.col("id").alias("cor_id"), "cal_id")
-    found = runs.join(owners, "cor_id").select("cal_id").distinct()
+    runs = _runs(model, count, conditions)
+    with_any = _covered(model, kind, runs, conditions, named=False).select("cor_id").distinct()
+    found = with_any.join(runs, "cor_id").select("cal_id").distinct()
     return _calibrations(model, conditions).join(found, "cal_id", "left_semi").select(
         F.col("cal_id").alias("id"), "nombre")
 
@@ -174,26 +193,25 @@ def calibration_series(model: Model, filter: dict | None = None, count: str | No
                        named: bool = True) -> DataFrame:
     """(id, nombre, series columns…): one row for each calibration, run and matching forecast series."""
     kind, conditions = _conditions(filter)
-    covered = _covered(model, kind, count, conditions, named)
-    owners = model.table("corridas").select(F.col("id").alias("cor_id"), "cal_id")
-    owners = owners.join(_calibrations(model, conditions), "cal_id")
+    runs = _runs(model, count, conditions)
+    covered = _covered(model, kind, runs, conditions, named)
+    owners = runs.join(broadcast_if(_calibrations(model, conditions), model.table("calibrados")), "cal_id")
     columns = SERIES_COLUMNS if named else ("series_id", "series_table", "cor_id")
     return covered.join(owners, "cor_id").select(F.col("cal_id").alias("id"), "nombre", *columns)
 
 
 def calibrations(model: Model, filter: dict | None = None, count: str | None = None, get_series: bool = False,
-                 list_length: int = LIST_LENGTH) -> DataFrame:
+                 ids_per_list: int = IDS_PER_LIST) -> DataFrame:
     """Active calibrations with matching forecasts; with ``get_series`` also their series as lists of structs.
 
-    A calibration with up to ``list_length`` series has one list, in part 0. A longer one is spread by hash over as
-    many parts as keep its lists near that length.
+    The lists ``(id, nombre, series_table, part, series)`` hold the runs of so many series ids each: ``part`` is the id
+    divided by ``ids_per_list``. One after the other in order of id, table and part, a calibration's lists are its series in
+    order of table, series and run, however many there are.
     """
     if not get_series:
         return calibration_rows(model, filter, count).orderBy("id")
     rows = calibration_series(model, filter, count)
-    parts = rows.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / list_length).alias("parts"))
-    spread = rows.join(parts, "id").withColumn(
-        "part", F.pmod(F.xxhash64("series_table", "series_id", "cor_id"), F.col("parts")))
-    order = ("series_table", "series_id", "cor_id")
-    item = F.struct(*order, *[c for c in SERIES_COLUMNS if c not in order])
-    return spread.groupBy("id", "nombre", "part").agg(F.array_sort(F.collect_list(item)).alias("series")).orderBy("id", "part")
+    part = F.floor(F.col("series_id") / ids_per_list).cast("bigint").alias("part")
+    lists = rows.groupBy("id", "nombre", "series_table", part).agg(
+        F.array_sort(F.collect_list(F.struct(*LISTED_COLUMNS))).alias("series"))
+    return lists.orderBy("id", "series_table", "part")

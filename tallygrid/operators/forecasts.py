@@ -17,6 +17,8 @@ from .tally import vector, where
 from .vectors import members
 
 COVERAGE, LAST_COVERAGE = "series_prono_date_range", "series_prono_date_range_last"
+# What forecast vectors and matrices count, the first by default.
+COUNTS = ("pronosticos", "corridas")
 SERIES_FILTERS = {
     "var_id": Spec("integer"),
     "unit_id": Spec("integer"),
@@ -65,12 +67,16 @@ def _of_runs(facts: DataFrame, runs: DataFrame | None) -> DataFrame:
     return facts if runs is None else facts.join(runs.select("cor_id"), "cor_id", "left_semi")
 
 
-def spans(model: Model, kind: Kind, runs: DataFrame | None = None) -> DataFrame:
-    """(series_id, cor_id, begin_date, end_date, count, qualifiers) of the forecasts of one kind."""
-    if COVERAGE in model.stored_views:
-        stored = model.table(COVERAGE).where(F.col("series_table") == kind.series)
-        return _of_runs(stored, runs).select("series_id", "cor_id", "begin_date", "end_date", "count", "qualifiers")
-    facts = _of_runs(model.table(kind.forecasts), runs)
+def spans(model: Model, kind: Kind, runs: DataFrame | None = None, series: DataFrame | None = None) -> DataFrame:
+    """(series_id, cor_id, begin_date, end_date, count, qualifiers) of the forecasts of one kind, of the given runs and
+    the given ``(series_id)`` only."""
+    stored = COVERAGE in model.stored_views
+    facts = model.table(COVERAGE).where(F.col("series_table") == kind.series) if stored else model.table(kind.forecasts)
+    facts = _of_runs(facts, runs)
+    if series is not None:
+        facts = facts.join(series, "series_id", "left_semi")
+    if stored:
+        return facts.select("series_id", "cor_id", "begin_date", "end_date", "count", "qualifiers")
     qualified = QUALIFIER in facts.columns
     texts = [F.array_sort(F.collect_set(QUALIFIER)).alias("qualifiers")] if qualified else []
     found = facts.groupBy("series_id", "cor_id").agg(
@@ -163,15 +169,32 @@ def run_counts(model: Model, kind: Kind, axis: Axis, values: dict, keys: list[st
     return hits.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
 
 
+def asked(filter: dict | None, tipo: str | None, count: str | None) -> tuple[dict, Kind, str]:
+    """The filter without ``tipo`` and ``count``, and what is asked for by these, as arguments or in the filter."""
+    values = dict(filter or {})
+    for name, given in (("tipo", tipo), ("count", count)):
+        own = values.get(name)
+        if own and given and own != given:
+            raise ValueError(f"{name} is {given!r} as an argument and {own!r} in the filter")
+    tipo, count = tipo or values.pop("tipo", None), count or values.pop("count", None)
+    values.pop("tipo", None)
+    values.pop("count", None)
+    if count not in (None, "", *COUNTS):
+        raise ValueError(f"cannot count {count!r}; counts are of {' and '.join(COUNTS)}")
+    return values, kind_of(tipo), count or COUNTS[0]
+
+
 def forecast_density(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=None, tipo: str | None = None,
-                     count: str = "pronosticos", dedupe: bool = False, distinct_runs: bool = False,
+                     count: str | None = None, dedupe: bool = False, distinct_runs: bool = False,
                      now=None) -> DataFrame:
-    """(x, t, n): forecast values of the newest runs, or runs with ``count="corridas"``, for each bucket.
+    """(x, t, n): forecast values of the newest runs, or runs with ``count="corridas"``, for each bucket. ``tipo`` and
+    ``count`` may be in the filter as well.
 
     Unlike observations, forecasts reach to the end of the last bucket.
     """
     start, end = vector_bounds(start, end, "forecast", now)
-    axis, values, kind = Axis.of(start, end, dt), filter or {}, kind_of(tipo)
+    axis = Axis.of(start, end, dt)
+    values, kind, count = asked(filter, tipo, count)
     runs = count == "corridas"
     require_any(_specs(kind, RUN_FILTERS if runs else VALUE_FILTERS), values)
     counts = (run_counts(model, kind, axis, values, [], distinct_runs) if runs

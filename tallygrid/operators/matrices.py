@@ -9,9 +9,9 @@ from ..functions.axis import Axis
 from ..functions.labels import hour_label
 from ..functions.periods import VECTOR_STEP, vector_bounds
 from ..sources.model import Model
-from ..sources.schema import kind_of
+from ..sources.schema import Kind, kind_of
 from . import catalog
-from .forecasts import run_counts, value_counts
+from .forecasts import asked, run_counts, value_counts
 from .tally import cells, fill_rows, numbered
 from .vectors import observation_counts, station_counts
 
@@ -63,32 +63,32 @@ def _forecast_counts(model, kind, axis, values, keys, count) -> DataFrame:
     return value_counts(model, kind, axis, values, keys)
 
 
-def _with_range(values: dict, start, end) -> dict:
-    """The calibration filter of a matrix: its filter and its range."""
-    return {**values, "timestart": start, "timeend": end}
+def _with_range(values: dict, kind: Kind, start, end) -> dict:
+    """The calibration filter of a matrix: its filter, kind and range."""
+    return {**values, "tipo": kind.tipo, "timestart": start, "timeend": end}
 
 
-def calibration_matrix(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=None, count: str = "pronosticos",
+def calibration_matrix(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=None, count: str | None = None,
                        now=None) -> DataFrame:
     """Calibration × bucket: forecast values of the newest run, or runs with ``count="corridas"``."""
     start, end = vector_bounds(start, end, "forecast", now)
-    axis, values = Axis.of(start, end, dt), dict(filter or {})
-    kind = kind_of(values.get("tipo"))
+    axis = Axis.of(start, end, dt)
+    values, kind, count = asked(filter, None, count)
     counts = _forecast_counts(model, kind, axis, values, ["cal_id"], count)
-    found = catalog.calibration_rows(model, _with_range(values, start, end), count)
+    found = catalog.calibration_rows(model, _with_range(values, kind, start, end), count)
     entities = found.select(F.col("id").alias("cal_id"), F.concat_ws(" - ", F.col("id").cast("string"), "nombre").alias("label"))
     return _matrix(entities, counts, ["cal_id"], axis, ["cal_id"], model.table("calibrados"))
 
 
 def calibration_series_matrix(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=None,
-                              count: str = "pronosticos", now=None) -> DataFrame:
+                              count: str | None = None, now=None) -> DataFrame:
     """Calibration, series and run × bucket, for one kind of series."""
     start, end = vector_bounds(start, end, "forecast", now)
-    axis, values = Axis.of(start, end, dt), dict(filter or {})
-    kind = kind_of(values.get("tipo"))
+    axis = Axis.of(start, end, dt)
+    values, kind, count = asked(filter, None, count)
     key = ["cal_id", "series_id", "cor_id"]
     counts = _forecast_counts(model, kind, axis, values, key, count)
-    found = catalog.calibration_series(model, _with_range(values, start, end), count, named=False)
+    found = catalog.calibration_series(model, _with_range(values, kind, start, end), count, named=False)
     entities = found.select(F.col("id").alias("cal_id"), "series_id", "cor_id")
     entities = entities.withColumn("label", F.concat_ws(" - ", *[F.col(c).cast("string") for c in key]))
     return _matrix(entities, counts, key, axis, key, model.table(kind.forecasts))

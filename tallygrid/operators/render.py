@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.axis import Axis
 from ..functions.labels import date_label
 from ..functions.periods import INTRADAY_STEP
-from ..functions.sizing import fits
 from ..sources.model import Model
 from .catalog import chosen
 from .grids import Grid
@@ -20,6 +19,8 @@ LABEL_WIDTH = 22
 NARROW, WIDE = 6, 11
 HEAD_TEXT, HEAD_CSV = "Fecha:", "Fecha"
 DEFAULT_SEPARATOR = ";"
+# Entities of one piece of a document.
+PIECE = 1000
 PERIODS = ("mes", "anio", "dia", None)
 QUANTITY = {"mes": "día", "anio": "mes", "dia": "intervalo", None: "día"}
 TITLE_FIELD = {"mes": "Mes", "anio": "Año", "dia": "Día"}
@@ -43,6 +44,16 @@ def csv_head(axis: Axis, first: int, count: int, period: str | None, sep: str) -
     return sep.join([HEAD_CSV, *(date_label(axis.instant(i), period) for i in range(first, first + count))])
 
 
+def text_top(labels: Column, period: str | None) -> Column:
+    """The head of a fixed-width table from its labels."""
+    padded = F.transform(labels, lambda label: F.lpad(label, _width(period), " "))
+    return F.concat(F.lit(HEAD_TEXT.ljust(LABEL_WIDTH)), F.array_join(padded, ""))
+
+
+def csv_top(labels: Column, sep: str) -> Column:
+    return F.array_join(F.concat(F.array(F.lit(HEAD_CSV)), labels), sep)
+
+
 def text_line(values: Column, period: str | None, label: str = "label") -> Column:
     numbers = F.transform(values, lambda n: F.format_string(f"%{_width(period)}d", n))
     return F.concat(F.rpad(_short(label), LABEL_WIDTH, " "), F.array_join(numbers, ""))
@@ -149,33 +160,40 @@ def stacked(*parts: DataFrame) -> DataFrame:
     return whole.select((F.col("part").cast("bigint") * (1 << 40) + F.col("line_no")).alias("line_no"), "line")
 
 
-def document(grid: Grid) -> DataFrame:
-    """One row ``(dates, names, heatmap)`` with 0-based ``[x, y, n]`` in order of x and y.
+def document(grid: Grid, entities: int = PIECE) -> DataFrame:
+    """``(piece, dates, names, cells)`` with 0-based ``[x, y, n]`` in order of x and y.
 
-    This is what one chart shows. A grid that is not known to be small is refused: :func:`document_lines` gives the
-    same document in pieces.
+    The document of a grid of any size, in pieces of so many entities, numbered in their order; a chart of no more than
+    that is one row. A grid without entities is one piece whose names and cells are null.
     """
-    if not fits(grid.bound):
-        raise ValueError("the grid may be too large for one value; use document_lines or write_document")
+    spark: SparkSession = grid.rows.sparkSession
+    piece = F.call_function("div", F.col("y"), F.lit(entities)).cast("bigint").alias("piece")
     items = F.array_sort(F.collect_list(F.struct("y", "label", "values")))
-    whole = grid.rows.agg(items.alias("r"))
+    first = spark.range(0, 1, 1, 1).select(F.col("id").alias("piece"))
+    pieces = first.join(grid.rows.groupBy(piece).agg(items.alias("r")), "piece", "full")
     size, none = F.lit(grid.axis.size), F.lit(None)
 
     def column(x: Column) -> Column:
         return F.transform("r", lambda e: F.array(x.cast("int"), e["y"].cast("int"), F.get(e["values"], x).cast("int")))
 
     positions = F.sequence(F.lit(0), size - 1) if grid.axis.size else F.array().cast("array<int>")
-    empty = F.size("r") == 0
     dates = F.array(*[F.lit(d) for d in grid.dates()]).cast("array<string>") if grid.axis.size else none.cast("array<string>")
-    heatmap = F.flatten(F.transform(positions, column)) if grid.axis.size else none.cast("array<array<int>>")
-    return whole.select(
-        dates.alias("dates"), F.when(~empty, F.transform("r", lambda e: e["label"])).alias(grid.names),
-        F.when(~empty, heatmap).alias("heatmap"))
+    triples = F.flatten(F.transform(positions, column)) if grid.axis.size else none.cast("array<array<int>>")
+    known = F.col("r").isNotNull()
+    return pieces.select(
+        "piece", dates.alias("dates"), F.when(known, F.transform("r", lambda e: e["label"])).alias(grid.names),
+        F.when(known, triples).alias("cells"))
+
+
+def to_json(doc: DataFrame, name: str = "cells", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of each row but the keys as one JSON text, beside the keys."""
+    values = F.struct(*[c for c in doc.columns if c not in keys])
+    return doc.select(*keys, F.to_json(values, {"ignoreNullFields": "false"}).alias(name))
 
 
-def to_json(doc: DataFrame, name: str = "heatmap") -> DataFrame:
-    """The columns of each row as one JSON text."""
-    return doc.select(F.to_json(F.struct(*doc.columns), {"ignoreNullFields": "false"}).alias(name))
+def document_json(grid: Grid, entities: int = PIECE) -> DataFrame:
+    """``(piece, cells)``: each piece of the document as JSON text."""
+    return to_json(document(grid, entities), keys=("piece",))
 
 
 def document_lines(grid: Grid) -> DataFrame:
@@ -195,5 +213,5 @@ def document_lines(grid: Grid) -> DataFrame:
         return grid.rows.select(F.lit(section).alias("section"), "y", F.concat(comma, text).alias("line"))
 
     head = f'{{"dates":{json.dumps(grid.dates(), separators=(",", ":"))},"{grid.names}":['
-    return fixed(0, head).unionByName(each(1, label)).unionByName(fixed(2, '],"heatmap":[')).unionByName(
+    return fixed(0, head).unionByName(each(1, label)).unionByName(fixed(2, '],"cells":[')).unionByName(
         each(3, F.array_join(triple, ","))).unionByName(fixed(4, "]}"))

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.axis import Axis, add_months
-from ..functions.labels import station_label
+from ..functions.labels import date_label, station_label
 from ..functions.periods import INTRADAY_STEP, end_of_day, instant, midnight, month_bounds, year_bounds
 from ..functions.steps import parse_step
 from ..operators.grids import DAY, MONTH, Grid, station_rows
 from ..operators.render import (
-    csv_head, csv_line, document_lines, header_lines, metadata, separator, text_head, text_line, title_lines,
+    csv_line, csv_top, document_lines, header_lines, metadata, separator, text_line, text_top, title_lines,
 )
 from ..sources.model import Model
 
@@ -24,18 +25,33 @@ STEMS = {"anio": "RepCuantAnual", "mes": "RepCuantMensual", "dia": "RepCuantDiar
 TEXT_LABELS, CSV_LABELS = "ext", "ext_only"
 CSV_SEPARATOR = ","
 ENCODING = "ISO-8859-1"
-# Lines of one file; a longer report goes on in numbered files.
-FILE_LINES = 1_000_000
 
 
 @dataclass(frozen=True)
-class Period:
-    """One report: its name in file names, its value in titles, and its part of the axis."""
+class Periods:
+    """The reports of a set, numbered from 0. ``at`` makes of a number the struct of a report's name in file names
+    (``period``), its ``value`` in titles and its part of the axis, from ``first`` on, ``count`` long. ``labels`` are the
+    heads of the buckets of the longest report; a shorter one has the first of them."""
 
-    name: str
-    value: str
-    first: int
-    count: int
+    size: int
+    at: Callable[[Column], Column]
+    labels: list[str]
+
+    def each(self) -> Column:
+        """A row for each report; what it takes to say so does not grow with their number."""
+        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), self.at)).alias("p")
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.range(0, 1, 1, 1).select(self.each()).select("p.*")
+
+
+def _period(name: Column, value: Column, first: Column, count: Column) -> Column:
+    return F.struct(
+        name.alias("period"), value.alias("value"), first.cast("int").alias("first"), count.cast("int").alias("count"))
+
+
+def _digits(number: Column, width: int) -> Column:
+    return F.lpad(number.cast("string"), width, "0")
 
 
 @dataclass(frozen=True)
@@ -45,7 +61,7 @@ class ReportSet:
 
     kind: str
     axis: Axis
-    periods: list[Period]
+    periods: Periods
     rows: DataFrame
     described: DataFrame
     dt: str | None = None
@@ -56,22 +72,16 @@ class ReportSet:
         """
         sep, value = separator(sep), F.col("value")
         title, header = title_lines(self.kind, value), header_lines(self.kind, value, self.dt)
-        spans = F.array(*[
-            F.struct(F.lit(p.name).alias("period"), F.lit(p.first + 1).alias("first"), F.lit(p.count).alias("count"))
-            for p in self.periods])
-        opened = self.rows.select("*", F.explode(spans).alias("p")).withColumn(
-            "part", F.slice("values", F.col("p.first"), F.col("p.count")))
+        opened = self.rows.select("*", self.periods.each()).withColumn(
+            "part", F.slice("values", F.col("p.first") + 1, F.col("p.count")))
         text = text_line(F.col("part"), self.kind, "label")
         body = opened.select(F.col("p.period").alias("period"), _formats(
             line_no=(F.col("y") + len(title) + 1, F.col("y") + len(header) + 1),
             line=(text, csv_line(F.col("part"), sep, "code"))))
-        tops = F.array(*[
-            F.struct(F.lit(p.name).alias("period"), F.lit(p.value).alias("value"),
-                     F.lit(text_head(self.axis, p.first, p.count, self.kind)).alias("text"),
-                     F.lit(csv_head(self.axis, p.first, p.count, self.kind, sep)).alias("table"))
-            for p in self.periods])
-        heads = self.described.select("red", "variable", F.inline(tops)).select(
-            "period", _formats(lines=(F.array(*title, F.col("text")), F.array(*header, F.col("table")))))
+        tops = self.described.select("red", "variable", self.periods.each()).select("red", "variable", "p.*")
+        labels = F.slice(F.array(*[F.lit(label) for label in self.periods.labels]), 1, F.col("count"))
+        heads = tops.select("period", _formats(lines=(
+            F.array(*title, text_top(labels, self.kind)), F.array(*header, csv_top(labels, sep)))))
         heads = heads.select("period", "f.suffix", F.posexplode("f.lines").alias("line_no", "line"))
         return heads.withColumn("line_no", F.col("line_no").cast("bigint")).unionByName(
             body.select("period", "f.suffix", "f.line_no", "f.line"))
@@ -92,7 +102,7 @@ def _formats(**columns: tuple[Column, Column]) -> Column:
         for i, suffix in enumerate(("txt", "csv"))])).alias("f")
 
 
-def _report_set(model: Model, kind: str, axis: Axis, last: datetime, periods: list[Period], period_end: Column,
+def _report_set(model: Model, kind: str, axis: Axis, last: datetime, periods: Periods, period_end: Column,
                 tabla, var_id, proc_id, has_obs, dt=None) -> ReportSet:
     facts = model.between("observaciones", axis.start, last, closed=True)
     # As in a single report, a period ends with its last full second.
@@ -110,7 +120,12 @@ def yearly(model: Model, tabla: str, var_id: int, start, end, proc_id: int | Non
     if not years:
         raise ValueError("the end lies before the start")
     axis = Axis(year_bounds(years[0])[0], year_bounds(years[-1])[1], MONTH)
-    periods = [Period(f"{year:04d}", str(year), 12 * i, 12) for i, year in enumerate(years)]
+
+    def period(number: Column) -> Column:
+        year = number + years[0]
+        return _period(_digits(year, 4), year.cast("string"), number * 12, F.lit(12))
+
+    periods = Periods(len(years), period, [f"{month:02d}" for month in range(1, 13)])
     year_end = F.make_date(F.year("timestart"), F.lit(12), F.lit(31))
     return _report_set(model, "anio", axis, axis.end, periods, year_end, tabla, var_id, proc_id, has_obs)
 
@@ -118,16 +133,19 @@ def yearly(model: Model, tabla: str, var_id: int, start, end, proc_id: int | Non
 def monthly(model: Model, tabla: str, var_id: int, start, end, proc_id: int | None = None,
             has_obs: bool = True) -> ReportSet:
     """A report of station × day for each month that the range touches."""
-    month, stop = instant(start).strftime("%Y-%m"), instant(end)
-    first, periods, at = month_bounds(month)[0], [], 0
-    month = first
-    while month <= stop:
-        days = (add_months(month, 1) - month).days
-        periods.append(Period(month.strftime("%Y%m"), month.strftime("%Y-%m"), at, days))
-        at, month = at + days, add_months(month, 1)
-    if not periods:
+    first, stop = month_bounds(instant(start).strftime("%Y-%m"))[0], instant(end)
+    months = (stop.year - first.year) * 12 + stop.month - first.month + 1
+    if stop < first:
         raise ValueError("the end lies before the start")
-    last = month - timedelta(seconds=1)
+    last = add_months(first, months) - timedelta(seconds=1)
+
+    def period(number: Column) -> Column:
+        month = F.add_months(F.lit(first.date()), number)
+        parts = _digits(F.year(month), 4), _digits(F.month(month), 2)
+        return _period(
+            F.concat(*parts), F.concat_ws("-", *parts), F.datediff(month, F.lit(first.date())), F.day(F.last_day(month)))
+
+    periods = Periods(months, period, [f"{day:02d}" for day in range(1, 32)])
     return _report_set(model, "mes", Axis(first, midnight(last), DAY), last, periods, F.last_day("timestart"), tabla,
                        var_id, proc_id, has_obs)
 
@@ -144,8 +162,13 @@ def daily(model: Model, tabla: str, var_id: int, start, end, dt=INTRADAY_STEP, p
     if days < 1:
         raise ValueError("the end lies before the start")
     each = axis.size // days
-    dates = [first + timedelta(days=i) for i in range(days)]
-    periods = [Period(d.strftime("%Y%m%d"), d.strftime("%Y-%m-%d"), i * each, each) for i, d in enumerate(dates)]
+
+    def period(number: Column) -> Column:
+        day = F.date_add(F.lit(first.date()), number)
+        parts = _digits(F.year(day), 4), _digits(F.month(day), 2), _digits(F.day(day), 2)
+        return _period(F.concat(*parts), F.concat_ws("-", *parts), number * each, F.lit(each))
+
+    periods = Periods(days, period, [date_label(axis.instant(i), "dia") for i in range(each)])
     return _report_set(model, "dia", axis, last, periods, F.to_date("timestart"), tabla, var_id, proc_id, has_obs, dt)
 
 
@@ -154,48 +177,56 @@ def latin1(line: Column) -> Column:
     return F.regexp_replace(line, r"[^\u0000-ÿ]", "?")
 
 
-def write_files(lines: DataFrame, directory: str, stem: str, file_lines: int = FILE_LINES) -> list[str]:
+def write_files(lines: DataFrame, directory: str, stem: str, file_lines: int | None = None) -> list[str]:
     """Write ``(period, suffix, line_no, line)`` as Latin-1 files ``stem_period.suffix``; returns their paths.
 
-    Rows go to their file in parallel and are sorted within it. Only names pass through the driver. A report of more
-    than ``file_lines`` lines goes on in ``stem_period.1.suffix`` and so on.
+    Rows go to their file in parallel and are sorted within it. Only names pass through the driver. With ``file_lines`` a
+    longer report goes on in ``stem_period.1.suffix`` and so on; without it a report is one file, however long.
     """
-    chunk = F.call_function("div", F.col("line_no"), F.lit(file_lines))
-    number = F.when(chunk > 0, F.concat(F.lit("."), chunk.cast("string"))).otherwise("")
+    number = F.lit("")
+    if file_lines:
+        chunk = F.call_function("div", F.col("line_no"), F.lit(file_lines))
+        number = F.when(chunk > 0, F.concat(F.lit("."), chunk.cast("string"))).otherwise("")
     name = F.concat(F.lit(f"{stem}_"), "period", number, F.lit("."), "suffix")
     staging = f"{directory}/_staging-{uuid.uuid4().hex}"
     placed = lines.select(name.alias("file"), "line_no", latin1(F.col("line")).alias("line"))
     # The text writer puts out the bytes of a string as they are, so the encoded bytes are passed as one.
     encoded = F.encode("line", ENCODING).cast("string").alias("value")
-    placed.repartition("file").sortWithinPartitions("file", "line_no").select("file", encoded).write.partitionBy(
-        "file").text(staging)
+    rows = placed.repartition("file").sortWithinPartitions("file", "line_no").select("file", encoded)
+    # One part for each file, whatever the session says of the rows of a part.
+    rows.write.option("maxRecordsPerFile", 0).partitionBy("file").text(staging)
     return _publish(lines.sparkSession, staging, directory)
 
 
 def _publish(spark, staging: str, directory: str) -> list[str]:
-    """Give the one part of each file its final name."""
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    root, target = path_of(staging), path_of(directory)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    published = []
+    """Give the one part of each file its final name, in place of an older file. All folders are looked at before the
+    first is published, and an older file is replaced by the rename itself."""
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark._sc._gateway
+    root, target = hadoop.Path(staging), hadoop.Path(directory)
+    settings = spark._jsc.hadoopConfiguration()
+    files = root.getFileSystem(settings)
+    found = {}
     for folder in files.listStatus(root):
         name = folder.getPath().getName()
         if not name.startswith("file="):
             continue
         parts = [p.getPath() for p in files.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-")]
-        final = path_of(target, name.removeprefix("file="))
-        if files.exists(final):
-            files.delete(final, False)
-        if not files.rename(parts[0], final):
-            raise OSError(f"cannot write {final}")
-        published.append(final.toString())
+        if len(parts) != 1:
+            raise OSError(f"{len(parts)} parts of {name.removeprefix('file=')}; nothing was published")
+        found[hadoop.Path(target, name.removeprefix("file="))] = parts[0]
+    context = hadoop.FileContext.getFileContext(files.getUri(), settings)
+    kind = getattr(hadoop, "Options$Rename")
+    overwrite = gateway.new_array(kind, 1)
+    overwrite[0] = kind.OVERWRITE
+    for final, part in found.items():
+        context.rename(files.makeQualified(part), files.makeQualified(final), overwrite)
     files.delete(root, True)
-    return sorted(published)
+    return sorted(final.toString() for final in found)
 
 
-def write_report_set(reports: ReportSet, directory: str) -> list[str]:
-    """Write the text and CSV files of a report set in one job."""
-    return write_files(reports.lines(), directory, STEMS[reports.kind])
+def write_report_set(reports: ReportSet, directory: str, file_lines: int | None = None) -> list[str]:
+    """Write the text and CSV files of a report set in one job, as :func:`write_files` does."""
+    return write_files(reports.lines(), directory, STEMS[reports.kind], file_lines)
 
 
 def write_document(grid: Grid, directory: str) -> None:

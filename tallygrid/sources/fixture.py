@@ -83,7 +83,7 @@ def fixture(spark: SparkSession, directory: str) -> Model:
         parts = read("part").selectExpr("p_partkey l_partkey", f"{BRAND} fuentes_id", f"{SCENE} escena_id")
         return read("lineitem").where(where).join(parts, "l_partkey").selectExpr(
             "l_orderkey cor_id", "l_suppkey area_id", "fuentes_id", "escena_id", f"{FLAG_VAR} var_id",
-            f"{STATUS_PROC} proc_id", "l_shipdate timestart").selectExpr(*columns)
+            f"{STATUS_PROC} proc_id", "l_shipdate timestart", "l_linestatus qualifier").selectExpr(*columns)
 
     def runs() -> DataFrame:
         owners = read("customer").selectExpr("c_custkey o_custkey", "cast(c_nationkey + 1 as bigint) cal_id")
@@ -93,7 +93,8 @@ def fixture(spark: SparkSession, directory: str) -> Model:
 
     def point_forecasts() -> DataFrame:
         return read("lineitem").where("l_linenumber % 3 = 0").selectExpr(
-            "l_orderkey cor_id", "l_suppkey * 10 + 1 + l_linenumber % 5 series_id", "l_shipdate timestart")
+            "l_orderkey cor_id", "l_suppkey * 10 + 1 + l_linenumber % 5 series_id", "l_shipdate timestart",
+            "l_linestatus qualifier")
 
     joined = {
         "estaciones": stations,
@@ -105,8 +106,8 @@ def fixture(spark: SparkSession, directory: str) -> Model:
         "observaciones_rast": lambda: lines(f"{RASTER_ID} series_id", "timestart"),
         "corridas": runs,
         "pronosticos": point_forecasts,
-        "pronosticos_areal": lambda: lines("cor_id", f"{AREAL_ID} series_id", "timestart", where="l_linenumber % 3 = 1"),
-        "pronosticos_rast": lambda: lines("cor_id", f"{RASTER_ID} series_id", "timestart", where="l_linenumber % 3 = 2"),
+        "pronosticos_areal": lambda: lines("cor_id", f"{AREAL_ID} series_id", "timestart", "qualifier", where="l_linenumber % 3 = 1"),
+        "pronosticos_rast": lambda: lines("cor_id", f"{RASTER_ID} series_id", "timestart", "qualifier", where="l_linenumber % 3 = 2"),
     }
 
     @cache

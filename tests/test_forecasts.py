@@ -148,10 +148,30 @@ def test_nested_series(model):
     assert [(r.id, r.part, [(s.series_id, s.cor_id) for s in r.series]) for r in rows] == [
         (1, 0, [(1, 11), (1, 12), (2, 12)]), (2, 0, [(3, 20), (3, 21)])]
     assert rows[0].series[0].estacion_nombre == "Five" and rows[0].series[0].unit_abrev == "m"
-    split = catalog.calibrations(model, {}, get_series=True, list_length=1).collect()
-    assert sorted((r.id, s.series_id, s.cor_id) for r in split for s in r.series) == sorted(
-        (r.id, s.series_id, s.cor_id) for r in rows for s in r.series)
-    assert {r.part for r in split if r.id == 1} <= {0, 1, 2} and len(split) > 2
+    split = catalog.calibrations(model, {}, get_series=True, ids_per_list=1).collect()
+    assert [(r.id, s.series_id, s.cor_id) for r in split for s in r.series] == [
+        (r.id, s.series_id, s.cor_id) for r in rows for s in r.series]
+    assert [(r.id, r.part) for r in split] == [(1, 1), (1, 2), (2, 3)]
+
+
+def test_what_is_asked_for_may_be_in_the_filter(model):
+    def counted(filter, **options):
+        return [r.n for r in forecasts.forecast_density(model, START, START + 3 * DAY, "1 day", filter, **options).collect()]
+
+    for tipo in ("puntual", "areal", "raster"):
+        for count in ("pronosticos", "corridas"):
+            assert counted({"cal_id": 1}, tipo=tipo, count=count) == counted({"cal_id": 1, "tipo": tipo, "count": count})
+    for filter, options in (
+            ({"tipo": "areal"}, {"tipo": "raster"}), ({"count": "corridas"}, {"count": "pronosticos"}), ({"count": "days"}, {})):
+        with pytest.raises(ValueError):
+            counted({"cal_id": 1, **filter}, **options)
+
+
+def test_filters_of_catalogues_come_before_the_coverage_is_aggregated(model):
+    found = catalog.calibration_series(model, {"cal_id": 1, "var_id": 1}, "pronosticos")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate [series_id"):]
+    assert below.count("LeftSemi") >= 2 and "var_id" in below
 
 
 @pytest.mark.parametrize("large", [False, True])

@@ -175,27 +175,31 @@ def test_grid_days_are_a_matrix_of_one_day_steps(model):
 
 def test_document(model):
     grid = day_grid(model)
-    found = json.loads(render.to_json(render.document(grid)).collect()[0][0])
-    assert list(found) == ["dates", "estaciones", "heatmap"]
+    found = json.loads(render.document_json(grid).first().cells)
+    assert list(found) == ["dates", "estaciones", "cells"]
     assert found["dates"] == ["2024-01-30", "2024-01-31", "2024-02-01", "2024-02-02"]
     assert found["estaciones"] == ["Bee (3)", "Bee (3)", None, "Alpha river (5)"]
-    assert [c[:2] for c in found["heatmap"]] == [[x, y] for x in range(4) for y in range(4)]
-    assert [0, 3, 2] in found["heatmap"] and sum(c[2] for c in found["heatmap"]) == 7
+    assert [c[:2] for c in found["cells"]] == [[x, y] for x in range(4) for y in range(4)]
+    assert [0, 3, 2] in found["cells"] and sum(c[2] for c in found["cells"]) == 7
     lines = render.document_lines(grid).orderBy("section", "y").collect()
     spread = json.loads("".join(r.line for r in lines))
-    assert {**spread, "heatmap": sorted(spread["heatmap"])} == found
+    assert {**spread, "cells": sorted(spread["cells"])} == found
 
 
-def test_a_document_of_unknown_size_is_refused(model, nothing_fits):
-    with pytest.raises(ValueError):
-        render.document(day_grid(model))
+def test_documents_of_any_size_come_in_the_same_pieces(model, nothing_fits):
+    grid = day_grid(model)
+    whole = json.loads(render.document_json(grid).first().cells)
+    pieces = [json.loads(r.cells) for r in render.document_json(grid, 3).orderBy("piece").collect()]
+    assert [len(p["estaciones"]) for p in pieces] == [3, 1]
+    assert sum((p["estaciones"] for p in pieces), []) == whole["estaciones"]
+    assert sorted(sum((p["cells"] for p in pieces), [])) == sorted(whole["cells"])
 
 
 def test_documents_without_rows_or_days(model):
     nobody = grids.day_grid(model, "none", 1, FIRST, LAST)
-    assert json.loads(render.to_json(render.document(nobody)).collect()[0][0]) == {
-        "dates": ["2024-01-30", "2024-01-31", "2024-02-01", "2024-02-02"], "estaciones": None, "heatmap": None}
+    assert json.loads(render.document_json(nobody).first().cells) == {
+        "dates": ["2024-01-30", "2024-01-31", "2024-02-01", "2024-02-02"], "estaciones": None, "cells": None}
     never = grids.day_grid(model, "north", 1, LAST, FIRST)
-    found = json.loads(render.to_json(render.document(never)).collect()[0][0])
-    assert found["dates"] is None and found["heatmap"] is None and len(found["estaciones"]) == 4
+    found = json.loads(render.document_json(never).first().cells)
+    assert found["dates"] is None and found["cells"] is None and len(found["estaciones"]) == 4
     assert never.cells().count() == 0

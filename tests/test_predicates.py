@@ -134,3 +134,16 @@ def test_ranges_reach_the_scan(spark, tmp_path, rows):
     found = stored.where(per_table({"at": Spec("date", trunc="month")}, {"at": "1998-08-20"})[""])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(at,1998-08-01T00:00)" in plan and "LessThan(at,1998-09-01T00:00)" in plan
+
+
+@pytest.mark.parametrize("made, value, same", [
+    ("make_dt_interval(1, 3)", "1 day 03:00:00", True), ("make_dt_interval(1, 3)", "03:00", False),
+    ("make_dt_interval(0, 0, 0, 1.5)", "00:00:01", False), ("make_ym_interval(0, 2)", "2 months", True),
+    ("make_ym_interval(1, 0)", "12 months", True), ("make_ym_interval(0, -2)", "2 months", False),
+    ("-make_dt_interval(1)", "1 day", False), ("'-1 day'", "1 day", False), ("'1 day 03:00'", "27 hours", True),
+    ("'some day'", "0 seconds", None), ("''", "0 seconds", None), ("cast(null as string)", "1 day", None),
+    ("'1 month'", "30 days", True), ("'2 weeks 1 min'", "14 days 00:01", True),
+])
+def test_intervals_of_any_kind(spark, made, value, same):
+    condition = per_table({"i": Spec("interval")}, {"i": value})[""]
+    assert spark.sql(f"SELECT {made} i").select(condition.alias("c")).first().c is same

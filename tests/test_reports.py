@@ -154,7 +154,7 @@ def test_bad_ranges(model):
 @pytest.mark.parametrize("day", [29, 30, 31])
 def test_every_month_of_the_range(model, day):
     made = reports.monthly(model, "north", 1, f"2024-01-{day}", "2024-03-01")
-    assert [p.name for p in made.periods] == ["202401", "202402", "202403"]
+    assert [p.period for p in made.periods.frame(model.spark).collect()] == ["202401", "202402", "202403"]
 
 
 @pytest.mark.parametrize("large", [False, True])
@@ -180,8 +180,8 @@ def test_document_files(model, tmp_path):
     reports.write_document(grid, str(tmp_path / "doc"))
     parts = sorted((tmp_path / "doc").glob("part-*"))
     found = json.loads("".join(p.read_text() for p in parts))
-    whole = json.loads(render.to_json(render.document(grid)).collect()[0][0])
-    assert {**found, "heatmap": sorted(found["heatmap"])} == whole
+    whole = json.loads(render.document_json(grid).first().cells)
+    assert {**found, "cells": sorted(found["cells"])} == whole
 
 
 @pytest.mark.parametrize("station, start, end", [
@@ -199,3 +199,34 @@ def test_panel(model):
     assert [(r.label, [q.n for q in rows[4 * i:4 * i + 4]]) for i, r in enumerate(rows[::4])] == [
         ("levels", [0, 4, 0, 0]), ("rain", [1, 4, 2, 0]), ("nowhere", [0, 0, 0, 0])]
     assert rows[0].hour == "2023-12-01T00"
+
+
+def test_no_line_is_lost_whatever_the_session_says_of_parts(model, tmp_path, setting):
+    made = reports.monthly(model, "north", 1, "2024-01-01", "2024-02-01")
+    before = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    reports.write_report_set(made, str(tmp_path))
+    whole = {p.name: p.read_bytes() for p in tmp_path.glob("Rep*")}
+    assert not before and len(whole) == 4
+    with setting(**{"spark.sql.files.maxRecordsPerFile": "5"}):
+        reports.write_report_set(made, str(tmp_path))
+    assert {p.name: p.read_bytes() for p in tmp_path.glob("Rep*")} == whole
+
+
+def test_files_stay_as_they_were_when_a_new_one_is_not_whole(spark, tmp_path):
+    staging = tmp_path / "_staging-x"
+    for name, parts in (("a.txt", 1), ("b.txt", 2)):
+        (staging / f"file={name}").mkdir(parents=True)
+        for i in range(parts):
+            (staging / f"file={name}" / f"part-{i:05d}").write_text("new")
+    (tmp_path / "a.txt").write_text("old")
+    with pytest.raises(OSError):
+        reports._publish(spark, str(staging), str(tmp_path))
+    assert (tmp_path / "a.txt").read_text() == "old"
+
+
+def test_the_plan_of_a_set_does_not_grow_with_its_periods(model):
+    def size(end):
+        made = reports.daily(model, "north", 1, "2024-01-01", end).lines()
+        return len(made._jdf.queryExecution().logical().toString())
+
+    assert size("2029-12-31") < size("2024-01-07") + 500
