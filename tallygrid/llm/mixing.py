@@ -90,7 +90,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return mixed(docs.select("doc_id", "source", "text")).drop("row")
+    return mixed(docs.select("doc_id", "source", "text")).drop("row").withColumn("target", F.round("target", 6))
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
