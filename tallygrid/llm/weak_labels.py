@@ -126,7 +126,7 @@ def scorer(docs: DataFrame, rows: int = TRAINING_ROWS):
         F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")),
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))).alias("at")).select(
         "features", "at.label", "at.weight")
-    return LogisticRegression(maxIter=30, regParam=1e-4, weightCol="weight", standardization=False).fit(both)
+    return LogisticRegression(maxIter=50, regParam=1e-6, weightCol="weight", standardization=False).fit(both)
 
 
 def scored(docs: DataFrame) -> DataFrame:
