@@ -108,7 +108,10 @@ def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """One folder ``shard=…`` for each shard, rows in order of slot within each file."""
-    rows = shard(docs, shards).select("shard", "slot", "row.*")
-    rows.repartition("shard", F.pmod("slot", F.lit(8))).sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard").parquet(path)
+    """One folder ``shard_number=…`` for each shard, whose rows are in order of their slots within each file. Columns of
+    the input that have the names of the places give way to them."""
+    names = [c for c in docs.columns if c.lower() not in ("shard_number", "shard_slot")]
+    rows = shard(docs, shards).select(
+        *[F.col("row").getField(c).alias(c) for c in names], F.col("shard").alias("shard_number"), F.col("slot").alias("shard_slot"))
+    rows.repartition("shard_number", F.pmod("shard_slot", F.lit(8))).sortWithinPartitions(
+        "shard_number", "shard_slot").write.partitionBy("shard_number").parquet(path)

@@ -70,7 +70,7 @@ def test_cleaned_text_has_lost_its_bad_lines(spark):
 
 def test_kept_rows_have_all_columns(docs):
     kept = line_rules.keep_good(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 8, 9, 10, 20}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 8, 9, 10}
 
 
 def test_decontamination(spark, docs, given_docs):
