@@ -193,6 +193,7 @@ def _vectors() -> dict[str, str]:
         "request_forecast_areal": vector(*ALL_YEARS, "1 year", forecast_obs("areal", *ALL_YEARS, "1 year", GROUPS)),
         "request_runs_raster": vector(
             *YEAR, "1 month", run_obs("raster", *YEAR, "1 month", "calibrados.grupo_id = 2")),
+        "request_stations": vector(*JANUARY, "1 day", first, "count(DISTINCT obs.estacion_id)"),
         "obs_density_open_period": vector(
             "2023-12-20", "2024-01-20 15:30:00", "1 day", point_obs("2023-12-20", "2024-01-20 15:30:00", "s.var_id = 1")),
         "run_density_distinct": vector(*YEAR, "1 month", run_obs("puntual", *YEAR, "1 month", "calibrados.grupo_id = 2"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import NOT_NULL, Spec, per_table
 from ..operators import catalog, export, forecasts, grids, matrices, render, vectors
 from ..operators.tally import maximum
-from ..plans import reports
+from ..plans import reports, requests
 from ..plans.panel import panel
 from ..sources.fixture import PANEL_PAIRS, fixture
 from ..sources.model import Model
@@ -35,6 +35,10 @@ def _plain(rows: DataFrame) -> DataFrame:
     return rows.select(*texts)
 
 
+def _asked(span: tuple[str, str], dt: str) -> dict[str, str]:
+    return {"timestart": span[0], "timeend": span[1], "dt": dt}
+
+
 def _vectors() -> dict[str, Callable[[Model], DataFrame]]:
     found = {
         "obs_density_1d": lambda m: vectors.obs_density(m, *JANUARY, "1 day", {"var_id": 1}),
@@ -51,10 +55,12 @@ def _vectors() -> dict[str, Callable[[Model], DataFrame]]:
         "raster_density_series": lambda m: vectors.raster_density(m, *ALL_YEARS, "6 months", {"series_id": 321}),
         "prono_density_dedupe": lambda m: forecasts.forecast_density(
             m, *ALL_YEARS, "1 year", ALL_GROUPS, dedupe=True),
-        "request_forecast_areal": lambda m: forecasts.forecast_density(
-            m, *ALL_YEARS, "1 year", {**ALL_GROUPS, "tipo": "areal"}),
-        "request_runs_raster": lambda m: forecasts.forecast_density(
-            m, *YEAR_1996, "1 month", {"cal_grupo_id": 2, "tipo": "rast", "count": "corridas"}),
+        "request_forecast_areal": lambda m: requests.forecast(
+            m, {**_asked(ALL_YEARS, "1 year"), **ALL_GROUPS, "tipo": "areal"}),
+        "request_runs_raster": lambda m: requests.forecast(
+            m, {**_asked(YEAR_1996, "1 month"), "cal_grupo_id": "2", "tipo": "rast", "count": "corridas", "cal_id": ""}),
+        "request_stations": lambda m: requests.observed(
+            m, {**_asked(JANUARY, "1 day"), "var_id": "1", "count": "estaciones", "colour": "red", "estacion_id": None}),
         "obs_density_open_period": lambda m: vectors.obs_density(
             m, None, None, "1 day", {"var_id": 1}, now=datetime(2024, 1, 20, 15, 30)),
         "run_density_distinct": lambda m: forecasts.forecast_density(

@@ -14,6 +14,8 @@ def session(name: str = "tallygrid", master: str | None = None, **settings) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        # Joins that are not broadcast have a side above the broadcast threshold, which is this one's default as well.
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256MB",
         "spark.sql.session.timeZone": "UTC",
     }
     for key, value in {**defaults, **settings}.items():

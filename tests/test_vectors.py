@@ -141,9 +141,9 @@ def test_zoned_columns_still_reach_the_scan(spark, setting, tmp_path, model, zon
     with setting(**{"spark.sql.session.timeZone": zone}):
         facts = model.table("observaciones").selectExpr("id", "series_id", "cast(timestart as timestamp) timestart")
         facts.write.parquet(str(tmp_path / "observaciones"))
-        rows = vectors.obs_density(parquet_model(spark, str(tmp_path)), START, END, "1 day", {"var_id": 1})
+        rows = vectors.obs_density(parquet_model(spark, str(tmp_path), zone=zone), START, END, "1 day", {"var_id": 1})
         assert counts(rows) == [4, 1, 2, 0]
-        assert "PushedFilters: [IsNotNull(timestart), GreaterThanOrEqual(timestart,2023-12-31" in (
+        assert "PushedFilters: [IsNotNull(timestart), GreaterThanOrEqual(timestart,2023-12-30" in (
             rows._jdf.queryExecution().executedPlan().toString())
 
 
