@@ -13,6 +13,9 @@ memory. Below a node only the links of a spanning forest are returned: the searc
 one component already, so a dense group gives no pairs without number. Components are joined up by distributed rounds
 of label exchange.
 
+One fingerprint links few near copies: texts that share 0.9 of their shingles differ in about five bits of 64. Several
+independent ones, made of further hashes of the same shingles, link those of which any has but two; ``one_of_each`` does so.
+
 Defined results: null and empty texts have fingerprint zero, which is linked like any other; rows of equal id are rows of
 their own; a component of rows without ids has a null id; no rows give no rows; other columns play no part.
 """
@@ -39,6 +42,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 3
 DISTANCE = 2
 SEED = 42
+# Fingerprints by which copies are looked for where one alone would miss most near copies.
+SEEDS = 12
 PARTS = 6
 FANOUT = 8
 
@@ -59,28 +64,44 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(words) - last)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """Each bit that is set in over half of the hashes."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        bits = np.unpackbits(hashes[at:at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+def mixed(hashes: np.ndarray, seeds: int) -> np.ndarray:
+    """The hashes, and ``seeds - 1`` further rows of hashes that are independent of them."""
+    rows = [hashes]
+    for seed in range(1, seeds):
+        h = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        rows.append(h ^ (h >> np.uint64(31)))
+    return np.stack(rows)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.fromiter(
-            (fingerprint(shingle_hashes(text.as_py())) for text in batch.column("text")), np.uint64, batch.num_rows)
-        columns = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "text"]
-        names = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(found.view(np.int64))], [*names, "fingerprint"])
+def fingerprints(hashes: np.ndarray, seeds: int = 1) -> np.ndarray:
+    """For each seed, the bits that are set in over half of the hashes."""
+    n, counts = len(hashes), np.zeros((seeds, 64), np.int64)
+    for at in range(0, n, 255 * 32):
+        rows = mixed(hashes[at:at + 255 * 32], seeds)
+        bits = np.unpackbits(rows.view(np.uint8).reshape(seeds, -1, 8), axis=2, bitorder="little")
+        for first in range(0, bits.shape[1], 255):  # as many ones as a byte can count
+            counts += np.add.reduce(bits[:, first:first + 255], axis=1, dtype=np.uint8)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _fingerprints(seeds: int):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprints(shingle_hashes(text.as_py()), seeds) for text in batch.column("text")]
+            values = pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * seeds), values)
+            names = [name for name in batch.schema.names if name != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in names], lists], [*names, "fingerprints"])
 
+    return made
 
-def with_fingerprints(keyed: DataFrame) -> DataFrame:
-    """The columns but ``text``, and ``fingerprint``, a long with the 64 bits."""
+
+def with_fingerprints(keyed: DataFrame, seeds: int = 1) -> DataFrame:
+    """The columns but ``text``, and ``fingerprints``, longs with the 64 bits for each seed."""
     rest = [f"`{name}` {kind}" for name, kind in keyed.dtypes if name != "text"]
-    return keyed.mapInArrow(_fingerprints, ", ".join([*rest, "fingerprint bigint"]))
+    return keyed.mapInArrow(_fingerprints(seeds), ", ".join([*rest, "fingerprints array<bigint>"]))
 
 
 def gray_rank(bits: Column) -> Column:
@@ -193,7 +214,7 @@ def _labels(roots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links below the nodes of a partition, whose rows come sorted by node and Gray rank."""
+    """Links below the nodes of a partition, whose rows come sorted by seed and choice, node and Gray rank."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
@@ -202,57 +223,77 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         choice, node, bits = (np.concatenate(parts) for parts in zip(*held))
         starts = _starts(choice, node)
-        yield from _below(bits[:starts[-1]], starts[:-1])
+        yield from _below(choice, bits[:starts[-1]], starts[:-1])
         held = [(choice[starts[-1]:], node[starts[-1]:], bits[starts[-1]:])]
     if held:
         choice, node, bits = (np.concatenate(parts) for parts in zip(*held))
         if len(bits):
-            yield from _below(bits, _starts(choice, node))
+            yield from _below(choice, bits, _starts(choice, node))
 
 
 def _starts(choice: np.ndarray, node: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero((choice[1:] != choice[:-1]) | (node[1:] != node[:-1])) + 1))
 
 
-def _below(bits: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _below(choice: np.ndarray, bits: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     bits = bits.view(np.uint64)
     sizes = np.diff(np.append(starts, len(bits)))
     pairs = starts[sizes == 2]
     pairs = pairs[popcount(bits[pairs] ^ bits[pairs + 1]) <= DISTANCE]
-    a, b = [bits[pairs]], [bits[pairs + 1]]
+    seeds, a, b = [choice[pairs]], [bits[pairs]], [bits[pairs + 1]]
     for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
         points = bits[start:start + size]
         x, y = spanning_links(points)
+        seeds.append(np.full(len(x), choice[start]))
         a.append(points[x])
         b.append(points[y])
-    ends = [pa.array(np.concatenate(side).view(np.int64)) for side in (a, b)]
-    if len(ends[0]):
-        yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+    if sum(map(len, a)):
+        ends = [pa.array(np.concatenate(side).view(np.int64)) for side in (a, b)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds) // len(masks_of())), *ends], ["seed", "a", "b"])
 
 
 def links_of(distinct: DataFrame) -> DataFrame:
-    """``(a, b)``: links between distinct ``fingerprint`` values whose components are those of all links."""
-    bits = F.col("fingerprint")
+    """``(seed, a, b)``: links between distinct ``(seed, fingerprint)`` of one seed, whose components are those of all
+    links."""
+    bits, masks = F.col("fingerprint"), masks_of()
     nodes = F.array(*[
-        F.struct(F.lit(i).alias("choice"), bits.bitwiseAND(F.lit(mask)).alias("node"))
-        for i, mask in enumerate(masks_of())])
+        F.struct((F.col("seed") * len(masks) + i).cast("bigint").alias("choice"), bits.bitwiseAND(F.lit(mask)).alias("node"))
+        for i, mask in enumerate(masks)])
     below = distinct.select(bits, F.explode(nodes).alias("at")).select(
         F.col("at.choice").alias("choice"), F.col("at.node").alias("node"), bits)
     placed = below.repartition("choice", "node").sortWithinPartitions("choice", "node", gray_rank(bits))
-    return placed.mapInArrow(_links, "a bigint, b bigint").distinct()
+    return placed.mapInArrow(_links, "seed bigint, a bigint, b bigint").distinct()
+
 
+def components(docs: DataFrame, seeds: int = 1) -> DataFrame:
+    """``(doc_id, key, fingerprint, component, component_id)`` of each row; ``component`` names its component and
+    ``component_id`` is the smallest ``doc_id`` in it. ``key`` is a column of the input that tells rows of equal id apart.
 
-def components(docs: DataFrame) -> DataFrame:
-    """``(doc_id, key, fingerprint, component, component_id)`` of each row, ``component`` being the smallest fingerprint
-    of its component. ``key`` is a column of the input that tells rows of equal id apart."""
-    found = checkpointed(with_fingerprints(docs.select("doc_id", "key", "text")))
-    distinct = found.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    labels = labelled(links_of(distinct.select("fingerprint")))
-    named = distinct.join(labels, distinct["fingerprint"] == labels["node"], "left").select(
-        "fingerprint", "first", F.coalesce("label", "fingerprint").alias("component"))
+    With more than one seed, rows are linked when their fingerprints of any seed are.
+    """
+    found = checkpointed(with_fingerprints(docs.select("doc_id", "key", "text"), seeds).withColumn(
+        "fingerprint", F.get("fingerprints", F.lit(0))).withColumn(
+        "node", F.col("fingerprint") if seeds == 1 else F.xxhash64("fingerprints")).drop(*["fingerprints"] * (seeds == 1)))
+    if seeds == 1:
+        distinct = found.groupBy("node").agg(F.min("doc_id").alias("first"))
+        labels = labelled(links_of(distinct.select(F.lit(0).alias("seed"), F.col("node").alias("fingerprint"))).select("a", "b"))
+    else:
+        distinct = checkpointed(found.groupBy("node").agg(
+            F.min("doc_id").alias("first"), F.first("fingerprints").alias("fingerprints")))
+        by_seed = distinct.select("node", F.posexplode("fingerprints").alias("seed", "fingerprint"))
+        owners = checkpointed(by_seed.groupBy("seed", "fingerprint").agg(F.min("node").alias("owner")))
+        shared = by_seed.join(owners, ["seed", "fingerprint"]).filter("node <> owner").select(
+            F.col("node").alias("a"), F.col("owner").alias("b"))
+        links = links_of(owners.select("seed", "fingerprint"))
+        for end in ("a", "b"):
+            links = links.join(owners.withColumnRenamed("fingerprint", end), ["seed", end]).drop(end).withColumnRenamed(
+                "owner", f"{end}_owner")
+        labels = labelled(links.select(F.col("a_owner").alias("a"), F.col("b_owner").alias("b")).union(shared))
+    named = distinct.join(labels.withColumnRenamed("node", "at"), distinct["node"] == F.col("at"), "left").select(
+        "node", "first", F.coalesce("label", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "component").select("fingerprint", "component", "component_id")
-    return found.join(named, "fingerprint").select("doc_id", "key", "fingerprint", "component", "component_id")
+    named = named.join(smallest, "component").select("node", "component", "component_id")
+    return found.join(named, "node").select("doc_id", "key", "fingerprint", "component", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -261,12 +302,12 @@ def digest(docs: DataFrame) -> DataFrame:
         "doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """One row of each component, the one of the smallest ``doc_id``; all columns as they were. Of rows with equal id
     the one of the smallest hash stays, and of rows alike in all columns one."""
     row = F.struct("*")
     keyed = docs.select(row.alias("row"), "doc_id", F.xxhash64(F.to_json(row)).alias("key"), "text")
-    found = components(keyed)
+    found = components(keyed, seeds)
     first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key")
     kept = found.groupBy("component").agg(F.min(first).alias("at")).select("at.missing", F.coalesce(
         "at.doc_id", F.lit(0).cast("long")).alias("id"), "at.key")

@@ -1,7 +1,10 @@
 """The pipeline's stages against plain versions, each on its own input."""
 
+import numpy as np
+
 import __spark_entry__ as entry
 import corpus_pipeline
+from tallygrid.llm import simhash
 from tallygrid.llm.common import table, written
 
 from . import plain
@@ -24,8 +27,14 @@ def test_stages(spark):
             assert not failed & set(ids) and len(ids) > len(before) / 2
         if name == "near_duplicates":
             rows = sorted((r.doc_id, r.text) for r in before)
-            groups = plain.components([plain.fingerprint(text) for _, text in rows])
-            assert sorted(ids) == sorted({rows[g][0] for g in groups})
+            prints = [simhash.fingerprints(simhash.shingle_hashes(text), simhash.SEEDS) for _, text in rows]
+            linked = np.zeros((len(rows), len(rows)), bool)
+            for seed in range(simhash.SEEDS):
+                bits = np.array([p[seed] for p in prints])
+                linked |= np.bitwise_count(bits[:, None] ^ bits[None, :]) <= simhash.DISTANCE
+            for _ in range(10):
+                linked = (linked.astype(int) @ linked.astype(int)) > 0
+            assert sorted(ids) == sorted({rows[np.flatnonzero(row)[0]][0] for row in linked})
         if name == "decontamination":
             assert sorted(ids) == sorted(r.doc_id for r in before if not plain.decontaminated(r.text, items)[-1])
         if name == "mixture":
