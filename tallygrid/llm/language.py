@@ -173,12 +173,13 @@ def identify(items: DataFrame, languages: list[str], table: np.ndarray) -> DataF
     hosts = sums(step, ["host", "domain", "suffix"], "own", "host_sum")
     domains = sums(hosts, ["domain", "suffix"], "host_sum", "domain_sum")
     suffixes = sums(domains, ["suffix"], "domain_sum", "suffix_sum")
-    # One row each, or one for each known language.
-    whole = F.broadcast(sums(suffixes, [], "suffix_sum", "all_sum"))
+    # One number for each language, and one row for each known one.
+    whole = sums(suffixes, [], "suffix_sum", "all_sum").first()["all_sum"]
+    all_sum = F.array(*[F.lit(float(n or 0)) for n in whole])
     declared = F.broadcast(sums(step, ["known"], "own", "declared_sum"))
-    priors = hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix").crossJoin(whole).select(
-        "host", "host_sum", "domain_sum", "suffix_sum", "all_sum")
-    step = step.join(declared, "known").join(priors, "host")
+    priors = hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix").select(
+        "host", "host_sum", "domain_sum", "suffix_sum")
+    step = step.join(declared, "known").join(priors, "host").withColumn("all_sum", all_sum)
 
     def size(sums_):
         return F.aggregate(sums_, F.lit(0.0), lambda a, b: a + b)
