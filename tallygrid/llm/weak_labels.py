@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import split_words
 
 TRAINING_ROWS = 20_000
+TRAINING_TASKS = 12
 FEATURES = 1 << 15
 ROUNDS = 100
 LEAST_SCORE = 0.5
@@ -122,11 +123,13 @@ def scorer(docs: DataFrame, rows: int = TRAINING_ROWS):
     chosen = docs.select("doc_id", "text").filter(
         F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(known)) < F.lit(min(rows, known)))
     named = features(with_votes(chosen)).join(F.broadcast(labels), "pattern").select("features", "posterior")
+    # The fit goes over the sample, which is bounded, again and again: few tasks, each with enough to do.
+    named = named.repartition(TRAINING_TASKS)
     both = named.select("features", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")),
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))).alias("at")).select(
         "features", "at.label", "at.weight")
-    return LogisticRegression(maxIter=50, regParam=1e-6, weightCol="weight", standardization=False).fit(both)
+    return LogisticRegression(maxIter=50, tol=1e-4, regParam=1e-6, weightCol="weight", standardization=False).fit(both)
 
 
 def scored(docs: DataFrame) -> DataFrame:
