@@ -1,0 +1,51 @@
+"""Near copies of the pipeline against all pairs compared exactly."""
+
+import random
+
+import pytest
+
+from tallygrid.llm import simhash
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"e{rng.getrandbits(40)}"
+    return words
+
+
+def kept(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.doc_id for r in simhash.one_of_each(frame).collect()}
+
+
+def test_pairs_from_four_fifths_are_found_and_others_stay(spark):
+    rng = random.Random(7)
+    texts, similar = [], []
+    for i in range(400):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        pair = [" ".join(base), " ".join(edited(rng, base, 2 + i % 24))]
+        similar.append(alike(*map(shingles, pair)))
+        texts += pair
+    left = kept(spark, texts)
+    assert min(similar) < 0.7 and sum(0.8 <= s < 0.85 for s in similar) > 30 and sum(0.85 <= s < 0.9 for s in similar) > 30
+    assert left == {2 * i for i in range(400)} | {2 * i + 1 for i, s in enumerate(similar) if s < 0.8}
+
+
+@pytest.mark.parametrize("texts_in_block", [2000, 90])
+def test_templated_pages_stay(spark, monkeypatch, texts_in_block):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", texts_in_block)
+    rng = random.Random(8)
+    frame_words = [f"t{i}" for i in range(300)]
+    pages = [" ".join([*frame_words, *[f"p{rng.getrandbits(40)}" for _ in range(70)]]) for _ in range(300)]
+    copies = [page + " more" for page in pages[:20]]
+    assert kept(spark, pages + copies) == set(range(300))
