@@ -98,6 +98,19 @@ def _scored(kind: str, before: Column, after: Column) -> Column:
         near.rlike(AGAINST), CONTEXT_MALUS).otherwise(0.0)
 
 
+def _context(found: Column, gaps: Column, i: Column) -> tuple[Column, Column]:
+    """At least ``NEAR`` characters before and after a match where the text has them. Each match has a character at least,
+    so no more than ``NEAR`` matches on either side are looked at."""
+    first = F.greatest(i - NEAR, F.lit(0))
+    before = F.zip_with(
+        F.slice(gaps, first + 1, i - first), F.slice(found, first + 1, i - first),
+        lambda gap, match: F.right(F.concat(gap, match), F.lit(NEAR)))
+    after = F.zip_with(
+        F.slice(found, i + 2, F.lit(NEAR)), F.slice(gaps, i + 3, F.lit(NEAR)),
+        lambda match, gap: F.left(F.concat(match, gap), F.lit(NEAR)))
+    return F.concat(F.array_join(before, ""), F.get(gaps, i)), F.concat(F.get(gaps, i + 1), F.array_join(after, ""))
+
+
 def _with_spans(frame: DataFrame, kind: str) -> DataFrame:
     """Add the column ``_<kind>``: structs of ``start``, ``end``, ``score`` and ``match``, by start."""
     pattern, kept = PATTERNS[kind], frame.columns
@@ -106,8 +119,8 @@ def _with_spans(frame: DataFrame, kind: str) -> DataFrame:
     frame = frame.withColumn("_gaps", F.when(F.size("_found") > 0, F.split("text", pattern, -1)))
 
     def piece(match, i):
-        gap, after = F.get("_gaps", i), F.get("_gaps", i + 1)
-        score = F.when(_confirmed(kind, match), _scored(kind, gap, after))
+        gap = F.get("_gaps", i)
+        score = F.when(_confirmed(kind, match), _scored(kind, *_context(F.col("_found"), F.col("_gaps"), i)))
         if kind in ADDED:
             score = F.when(score >= LEAST_SCORE, score)
         return F.struct(
