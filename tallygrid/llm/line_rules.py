@@ -146,5 +146,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of kept documents, all columns as they were."""
-    return kept_rows(judge(docs))
+    """The rows of kept documents, whose failing lines are gone from ``text`` and from the count ``n_chars`` where there
+    is one; the other columns are as they were."""
+    kept = kept_rows(judge(docs))
+    # A text without failing lines stays as it is.
+    text = clean_text(F.col("text"))
+    size = {name: F.char_length(text).cast(kind) for name, kind in kept.dtypes if name == "n_chars"}
+    return kept.withColumns({"text": text, **size})
