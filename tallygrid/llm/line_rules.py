@@ -33,6 +33,13 @@ CHARACTERS_PER_SIGN = 20
 SHORT_LINE = 80
 LONG_LINE = 80
 LEAST_CAPITALS = 20
+# Ends of sentences and clauses in the scripts that have such signs, and letters of those that have none.
+SENTENCE_ENDS = (
+    r"[.!?:;\u2026\u037E\u0589\u055C\u055E\u061B\u061D-\u061F\u06D4\u0700-\u0702\u07F9\u0964\u0965\u0F0D\u0F0E\u104A\u104B"
+    r"\u1362\u1366-\u1368\u166E\u1735\u1736\u17D4\u17D5\u1803\u1809\u1944\u1945\u1AA8-\u1AAB\u1B5A\u1B5B\u1B5E\u1B5F\u1C3B\u1C3C"
+    r"\u1C7E\u1C7F\u203C\u203D\u2047-\u2049\u3002\uA4FF\uA60E\uA60F\uA6F3\uA6F7\uA876\uA877\uA8CE\uA8CF\uA92F\uA9C8\uA9C9"
+    r"\uAA5D-\uAA5F\uAAF0\uAAF1\uABEB\uFE52\uFE56\uFE57\uFF01\uFF0E\uFF1A\uFF1B\uFF1F\uFF61\x{11047}\x{11048}\x{11141}-\x{11143}"
+    r"\p{IsThai}\p{IsLao}]")
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -43,14 +50,16 @@ def line_failures(line: Column) -> dict[str, Column]:
     """The rules that a line may fail, by name; lines of prose fail none.
 
     ``signs``: bars and dots of menus, or runs of other signs between the words. ``shouting``: capitals
-    without any small letter. ``unended``: a long line without any sentence end. ``boilerplate``: a short line with a
+    without any small letter, when most letters are capitals. ``unended``: a long line without any sentence end, of whatever
+    script; Thai and Lao write none. ``boilerplate``: a short line with a
     phrase of web page furniture.
     """
     size = F.char_length(line)
     return {
         "signs": _count(line, SIGNS) * CHARACTERS_PER_SIGN >= F.greatest(size, F.lit(1)),
-        "shouting": (size >= LEAST_CAPITALS) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"),
-        "unended": (size >= LONG_LINE) & ~line.rlike(r"[.!?:;\u2026]"),
+        "shouting": (size >= LEAST_CAPITALS) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}")
+        & (2 * _count(line, r"\p{Lu}") > _count(line, r"\p{L}")),
+        "unended": (size >= LONG_LINE) & ~line.rlike(SENTENCE_ENDS),
         "boilerplate": (size <= SHORT_LINE) & reduce(
             lambda a, b: a | b, [F.lower(line).contains(phrase) for phrase in BOILERPLATE]),
     }
