@@ -1,12 +1,13 @@
 """The results of the registered queries in SQL, over the same tables, where SQL can express them.
 
-Without SQL: the scorer and the language model are fitted, packing is greedy, fingerprints need XXH64, and spans of personal
-data need matches of patterns with their places. These are tested against plain versions.
+Without SQL: the scorer and the language model are fitted, packing is greedy, fingerprints need XXH64, spans of personal
+data need matches of patterns with their places, and repairs of conversations a search over states. These are tested against
+plain versions.
 """
 
 from __future__ import annotations
 
-from . import licences, line_rules, mixing, url_filter
+from . import fill_middle, licences, line_rules, mixing, passages, url_filter
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANK = r"[\x20\x09-\x0D]+"
@@ -138,6 +139,44 @@ def _licences() -> str:
            array_to_string(names_found, ',') AS licences, CASE {strictest} ELSE 'none' END AS class FROM v"""
 
 
+def _fill_middle() -> str:
+    prefix, suffix, middle = fill_middle.MARKERS
+    h = [f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT" for i in range(4)]
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h
+               FROM documents),
+    k AS (SELECT doc_id, t, length(t) AS n, {h[0]} % (length(t) + 1) AS a, {h[1]} % (length(t) + 1) AS b,
+                 CASE WHEN t = '' OR contains(t, '{prefix}') OR contains(t, '{suffix}') OR contains(t, '{middle}')
+                           OR {h[2]} % 100 >= {fill_middle.PLAIN_FROM} THEN 'plain'
+                      WHEN {h[3]} % 100 < {fill_middle.SUFFIX_FIRST_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM d),
+    c AS (SELECT *, substr(t, 1, least(a, b)) AS p, substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS m,
+                 substr(t, greatest(a, b) + 1) AS s FROM k)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{prefix}' || p || '{suffix}' || s || '{middle}' || m
+                  ELSE '{suffix}' || s || '{prefix}' || p || '{middle}' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256 FROM c"""
+
+
+def _passages() -> str:
+    last = passages.WINDOW - 1
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+                      substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || t), 1, 16) AS digest
+               FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+    w AS (SELECT rid, doc_id, digest, i, array_to_string(ws[i:i + {last}], ' ') AS t
+          FROM (SELECT *, unnest(range(1, len(ws) - {last - 1})) AS i FROM d WHERE len(ws) > {last})),
+    f AS (SELECT *, first(struct_pack(doc_id, digest, i) ORDER BY doc_id NULLS LAST, digest < '8', digest, i)
+                 OVER (PARTITION BY t) AS owner FROM w),
+    g AS (SELECT DISTINCT rid, unnest(range(i, i + {last + 1})) AS p FROM f
+          WHERE owner IS DISTINCT FROM struct_pack(doc_id, digest, i)),
+    n AS (SELECT rid, count(*) AS n, list(p) AS gone FROM g GROUP BY rid)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+           sha256(CASE WHEN n IS NULL THEN array_to_string(ws, ' ')
+                  ELSE array_to_string(list_filter(ws, lambda x, k: NOT list_contains(gone, k)), ' ') END) AS kept_sha256
+    FROM d LEFT JOIN n USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_bloom_filter": _urls(),
@@ -145,4 +184,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_source_mixing": _mixing(),
         "op9_line_rules": _line_rules(),
         "op10_license_sentences": _licences(),
+        "op12_fill_middle": _fill_middle(),
+        "op13_difference_cover": _passages(),
     }

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licences, line_rules, mixing, packing, pii, simhash, url_filter, weak_labels
+from . import (
+    conversations, decontaminate, fill_middle, language, licences, line_rules, mixing, packing, passages, pii, simhash, url_filter,
+    weak_labels,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,4 +27,7 @@ def queries() -> dict[str, Query]:
         "op8_personal_data": lambda s, d: pii.digest(table(s, d, "documents")),
         "op9_line_rules": lambda s, d: line_rules.digest(table(s, d, "documents")),
         "op10_license_sentences": lambda s, d: licences.digest(table(s, d, "documents")),
+        "op11_auction_repair": lambda s, d: conversations.digest(table(s, d, "conversations")),
+        "op12_fill_middle": lambda s, d: fill_middle.digest(table(s, d, "documents")),
+        "op13_difference_cover": lambda s, d: passages.digest(table(s, d, "documents")),
     }
