@@ -13,12 +13,6 @@ memory. Below a node only the links of a spanning forest are returned: the searc
 one component already, so a dense group gives no pairs without number. Components are joined up by distributed rounds
 of label exchange.
 
-Fingerprints link few near copies: texts that share 0.8 of their shingles differ in about ten bits of 64, where no index
-over them prunes. ``one_of_each`` therefore looks for candidates by bands of least hashes of the five-word shingles, and
-links two texts only when their sets of shingles are alike by ``LEAST_ALIKE``, counted exactly. Candidates are grouped by
-chains of shared bands, and all pairs within a group are looked at, large groups in blocks, so that what a chain joins is
-never taken for a copy. A pair at just 0.8 shares no band with a chance of 6 in 100,000, pairs above it less often.
-
 Defined results: null and empty texts have fingerprint zero, which is linked like any other; rows of equal id are rows of
 their own; a component of rows without ids has a null id; no rows give no rows; other columns play no part.
 """
@@ -45,19 +39,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 3
 DISTANCE = 2
 SEED = 42
-# Fingerprints by which copies are looked for where one alone would miss most near copies.
-SEEDS = 12
 PARTS = 6
 FANOUT = 8
-# Near copies share four fifths of their distinct five-word shingles, as (numerator, denominator).
-NEAR_SHINGLE = 5
-LEAST_ALIKE = (4, 5)
-BANDS, BAND_ROWS = 32, 6
-# Pairs whose least hashes agree less are not counted exactly: five deviations below 0.8.
-LEAST_AGREEING = 0.65
-# A group of candidates is cut into blocks of about so many texts and shingles.
-BLOCK_TEXTS, BLOCK_SHINGLES = 2_000, 4_000_000
-
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -75,44 +58,27 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(words) - last)
 
 
-def mixed(hashes: np.ndarray, seeds: int) -> np.ndarray:
-    """The hashes, and ``seeds - 1`` further rows of hashes that are independent of them."""
-    rows = [hashes]
-    for seed in range(1, seeds):
-        h = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        rows.append(h ^ (h >> np.uint64(31)))
-    return np.stack(rows)
-
-
-def fingerprints(hashes: np.ndarray, seeds: int = 1) -> np.ndarray:
-    """For each seed, the bits that are set in over half of the hashes."""
-    n, counts = len(hashes), np.zeros((seeds, 64), np.int64)
-    for at in range(0, n, 255 * 32):
-        rows = mixed(hashes[at:at + 255 * 32], seeds)
-        bits = np.unpackbits(rows.view(np.uint8).reshape(seeds, -1, 8), axis=2, bitorder="little")
-        for first in range(0, bits.shape[1], 255):  # as many ones as a byte can count
-            counts += np.add.reduce(bits[:, first:first + 255], axis=1, dtype=np.uint8)
-    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
+    n, counts = len(hashes), np.zeros(64, np.int64)
+    for first in range(0, n, 255):  # as many ones as a byte can count
+        bits = np.unpackbits(hashes[first:first + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0]
 
 
-def _fingerprints(seeds: int):
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [fingerprints(shingle_hashes(text.as_py()), seeds) for text in batch.column("text")]
-            values = pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * seeds), values)
-            names = [name for name in batch.schema.names if name != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in names], lists], [*names, "fingerprints"])
-
-    return made
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = np.array([fingerprint(shingle_hashes(text.as_py())) for text in batch.column("text")], np.uint64)
+        names = [name for name in batch.schema.names if name != "text"]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(name) for name in names], pa.array(found.view(np.int64))], [*names, "fingerprint"])
 
 
-def with_fingerprints(keyed: DataFrame, seeds: int = 1) -> DataFrame:
-    """The columns but ``text``, and ``fingerprints``, longs with the 64 bits for each seed."""
+def with_fingerprints(keyed: DataFrame) -> DataFrame:
+    """The columns but ``text``, and ``fingerprint``, a long with the 64 bits."""
     rest = [f"`{name}` {kind}" for name, kind in keyed.dtypes if name != "text"]
-    return keyed.mapInArrow(_fingerprints(seeds), ", ".join([*rest, "fingerprints array<bigint>"]))
+    return keyed.mapInArrow(_fingerprints, ", ".join([*rest, "fingerprint bigint"]))
 
 
 def gray_rank(bits: Column) -> Column:
@@ -225,7 +191,7 @@ def _labels(roots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links below the nodes of a partition, whose rows come sorted by seed and choice, node and Gray rank."""
+    """Links below the nodes of a partition, whose rows come sorted by choice, node and Gray rank."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
@@ -234,77 +200,58 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         choice, node, bits = (np.concatenate(parts) for parts in zip(*held))
         starts = _starts(choice, node)
-        yield from _below(choice, bits[:starts[-1]], starts[:-1])
+        yield from _below(bits[:starts[-1]], starts[:-1])
         held = [(choice[starts[-1]:], node[starts[-1]:], bits[starts[-1]:])]
     if held:
         choice, node, bits = (np.concatenate(parts) for parts in zip(*held))
         if len(bits):
-            yield from _below(choice, bits, _starts(choice, node))
+            yield from _below(bits, _starts(choice, node))
 
 
 def _starts(choice: np.ndarray, node: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero((choice[1:] != choice[:-1]) | (node[1:] != node[:-1])) + 1))
 
 
-def _below(choice: np.ndarray, bits: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _below(bits: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     bits = bits.view(np.uint64)
     sizes = np.diff(np.append(starts, len(bits)))
     pairs = starts[sizes == 2]
     pairs = pairs[popcount(bits[pairs] ^ bits[pairs + 1]) <= DISTANCE]
-    seeds, a, b = [choice[pairs]], [bits[pairs]], [bits[pairs + 1]]
+    a, b = [bits[pairs]], [bits[pairs + 1]]
     for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
         points = bits[start:start + size]
         x, y = spanning_links(points)
-        seeds.append(np.full(len(x), choice[start]))
         a.append(points[x])
         b.append(points[y])
     if sum(map(len, a)):
-        ends = [pa.array(np.concatenate(side).view(np.int64)) for side in (a, b)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds) // len(masks_of())), *ends], ["seed", "a", "b"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(side).view(np.int64)) for side in (a, b)], ["a", "b"])
 
 
 def links_of(distinct: DataFrame) -> DataFrame:
-    """``(seed, a, b)``: links between distinct ``(seed, fingerprint)`` of one seed, whose components are those of all
-    links."""
-    bits, masks = F.col("fingerprint"), masks_of()
+    """``(a, b)``: links between distinct values of ``fingerprint``, whose components are those of all links."""
+    bits = F.col("fingerprint")
     nodes = F.array(*[
-        F.struct((F.col("seed") * len(masks) + i).cast("bigint").alias("choice"), bits.bitwiseAND(F.lit(mask)).alias("node"))
-        for i, mask in enumerate(masks)])
+        F.struct(F.lit(i).cast("bigint").alias("choice"), bits.bitwiseAND(F.lit(mask)).alias("node"))
+        for i, mask in enumerate(masks_of())])
     below = distinct.select(bits, F.explode(nodes).alias("at")).select(
         F.col("at.choice").alias("choice"), F.col("at.node").alias("node"), bits)
     placed = below.repartition("choice", "node").sortWithinPartitions("choice", "node", gray_rank(bits))
-    return placed.mapInArrow(_links, "seed bigint, a bigint, b bigint").distinct()
-
-
-def components(docs: DataFrame, seeds: int = 1) -> DataFrame:
-    """``(doc_id, key, fingerprint, component, component_id)`` of each row; ``component`` names its component and
-    ``component_id`` is the smallest ``doc_id`` in it. ``key`` is a column of the input that tells rows of equal id apart.
-
-    With more than one seed, rows are linked when their fingerprints of any seed are.
-    """
-    found = checkpointed(with_fingerprints(docs.select("doc_id", "key", "text"), seeds).withColumn(
-        "fingerprint", F.get("fingerprints", F.lit(0))).withColumn(
-        "node", F.col("fingerprint") if seeds == 1 else F.xxhash64("fingerprints")).drop(*["fingerprints"] * (seeds == 1)))
-    if seeds == 1:
-        distinct = found.groupBy("node").agg(F.min("doc_id").alias("first"))
-        labels = labelled(links_of(distinct.select(F.lit(0).alias("seed"), F.col("node").alias("fingerprint"))).select("a", "b"))
-    else:
-        distinct = checkpointed(found.groupBy("node").agg(
-            F.min("doc_id").alias("first"), F.first("fingerprints").alias("fingerprints")))
-        by_seed = distinct.select("node", F.posexplode("fingerprints").alias("seed", "fingerprint"))
-        owners = checkpointed(by_seed.groupBy("seed", "fingerprint").agg(F.min("node").alias("owner")))
-        shared = by_seed.join(owners, ["seed", "fingerprint"]).filter("node <> owner").select(
-            F.col("node").alias("a"), F.col("owner").alias("b"))
-        links = links_of(owners.select("seed", "fingerprint"))
-        for end in ("a", "b"):
-            links = links.join(owners.withColumnRenamed("fingerprint", end), ["seed", end]).drop(end).withColumnRenamed(
-                "owner", f"{end}_owner")
-        labels = labelled(links.select(F.col("a_owner").alias("a"), F.col("b_owner").alias("b")).union(shared))
-    named = distinct.join(labels.withColumnRenamed("node", "at"), distinct["node"] == F.col("at"), "left").select(
-        "node", "first", F.coalesce("label", "node").alias("component"))
+    return placed.mapInArrow(_links, "a bigint, b bigint").distinct()
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """``(doc_id, key, fingerprint, component, component_id)`` of each row; ``component`` is a fingerprint that names its
+    component and ``component_id`` is the smallest ``doc_id`` in it. ``key`` is a column of the input that tells rows of
+    equal id apart."""
+    found = checkpointed(with_fingerprints(docs.select("doc_id", "key", "text")))
+    distinct = found.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    labels = labelled(links_of(distinct.select("fingerprint"))).withColumnRenamed("node", "at")
+    named = distinct.join(labels, distinct["fingerprint"] == F.col("at"), "left").select(
+        "fingerprint", "first", F.coalesce("label", "fingerprint").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "component").select("node", "component", "component_id")
-    return found.join(named, "node").select("doc_id", "key", "fingerprint", "component", "component_id")
+    named = named.join(smallest, "component").select("fingerprint", "component", "component_id")
+    return found.join(named, "fingerprint").select("doc_id", "key", "fingerprint", "component", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -313,130 +260,16 @@ def digest(docs: DataFrame) -> DataFrame:
         "doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct hashes of the text's five-word shingles, sorted."""
-    return np.unique(shingle_hashes(text, NEAR_SHINGLE))
-
-
-_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def least_hashes(shingles: np.ndarray) -> np.ndarray:
-    """The least of the shingles' hashes by each of the functions; the greatest number for no shingles."""
-    least = np.full(len(_FACTORS), ~np.uint64(0))
-    for at in range(0, len(shingles), 2048):
-        least = np.minimum(least, (shingles[at:at + 2048, None] * _FACTORS).min(axis=0))
-    return (least >> np.uint64(32)).astype(np.uint32)
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets share ``LEAST_ALIKE`` of all their shingles."""
-    part, whole = LEAST_ALIKE
-    if min(len(a), len(b)) * whole < max(len(a), len(b)) * part:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * whole >= (len(a) + len(b) - both) * part
-
-
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes, sizes, bands = [], [], []
-        for text in batch.column("text"):
-            shingles = shingle_set(text.as_py())
-            nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
-            sizes.append(len(shingles))
-            least = least_hashes(shingles).tobytes()
-            step = 4 * BAND_ROWS
-            bands.append([xxhash.xxh64_intdigest(least[i * step:(i + 1) * step], i) for i in range(BANDS)])
-        keys = pa.array(np.array(bands, np.uint64).ravel().view(np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), keys)
-        rest = [name for name in batch.schema.names if name != "text"]
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(name) for name in rest], pa.array(np.array(nodes, np.uint64).view(np.int64)),
-             pa.array(sizes, pa.int64()), lists], [*rest, "node", "size", "bands"])
-
-
-def alike_links(blocks: list[int], nodes: list[int], sets: list[np.ndarray], across: bool) -> list[tuple[int, int]]:
-    """Links whose components are those of all pairs that are alike; pairs of unlike blocks only if ``across``."""
-    n, found = len(nodes), []
-    block, label = np.array(blocks), np.arange(n)
-    least = np.stack([least_hashes(shingles) for shingles in sets])
-    for i in range(n):
-        others = np.flatnonzero(label[i + 1:] != label[i]) + i + 1
-        if across:
-            others = others[block[others] != block[i]]
-        agreeing = (least[others] == least[i]).mean(axis=1) if len(others) else np.zeros(0)
-        for j in others[agreeing >= LEAST_AGREEING].tolist():
-            if label[i] != label[j] and alike(sets[i], sets[j]):
-                found.append((nodes[i], nodes[j]))
-                label[label == label[j]] = label[i]
-    return found
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within the groups of a partition, whose rows come sorted by group and pair of blocks."""
-    group, held = None, {}
-
-    def links():
-        if len(held) < 2:
-            return []
-        blocks, sets = zip(*held.values())
-        return alike_links(list(blocks), list(held), list(sets), group[1] != group[2])
-
-    def batch_of(found):
-        a, b = zip(*found)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for batch in batches:
-        found = []
-        for label, low, high, block, node, text in zip(*[batch.column(i) for i in range(6)]):
-            at = (label.as_py(), low.as_py(), high.as_py())
-            if at != group:
-                found += links()
-                group, held = at, {}
-            if node.as_py() not in held:
-                held[node.as_py()] = (block.as_py(), shingle_set(text.as_py()))
-        if found:
-            yield batch_of(found)
-    found = links()
-    if found:
-        yield batch_of(found)
-
-
-def near_copies(keyed: DataFrame) -> DataFrame:
-    """``(missing, id, key, component)`` of each row of ``(missing, id, key, text)``; rows are of one component when a
-    chain of texts that are alike joins them."""
-    rows = checkpointed(keyed.mapInArrow(
-        _banded, "missing boolean, id bigint, key bigint, node bigint, size bigint, bands array<bigint>"))
-    distinct = rows.groupBy("node").agg(
-        F.min(F.struct("missing", "id", "key")).alias("at"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    banded = distinct.select("node", F.explode("bands").alias("band"))
-    owners = banded.groupBy("band").agg(F.min("node").alias("owner"), F.count("*").alias("n")).filter("n > 1")
-    chains = labelled(banded.join(owners, "band").filter("node <> owner").select(
-        F.col("node").alias("a"), F.col("owner").alias("b")).distinct())
-    members = checkpointed(chains.join(distinct.select("node", "at", "size"), "node"))
-    cuts = members.groupBy("label").agg(F.greatest(
-        F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("cuts"))
-    placed = members.join(cuts, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
-        "at.missing", "at.id", "at.key", "node", "label", "block",
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    texts = placed.join(keyed, ["missing", "id", "key"]).select("label", "low", "high", "block", "node", "text")
-    links = texts.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high").mapInArrow(
-        _alike, "a bigint, b bigint")
-    labels = labelled(links).withColumnRenamed("node", "at")
-    return rows.join(labels, rows["node"] == F.col("at"), "left").select(
-        "missing", "id", "key", F.coalesce("label", "node").alias("component"))
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component of near copies, the one of the smallest ``doc_id``; all columns as they were. Of rows
-    with equal id the one of the smallest hash stays, and of rows alike in all columns one."""
+    """One row of each component, the one of the smallest ``doc_id``; all columns as they were. Of rows with equal id the
+    one of the smallest hash stays, and of rows alike in all columns one."""
     row = F.struct("*")
     named = docs.select(
         row.alias("row"), F.col("doc_id").isNull().alias("missing"),
         F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64(F.to_json(row)).alias("key"), "text")
-    found = near_copies(named.drop("row"))
-    kept = found.groupBy("component").agg(F.min(F.struct("missing", "id", "key")).alias("at")).select("at.*")
+    found = components(named.select(F.when(~F.col("missing"), F.col("id")).alias("doc_id"), "key", "text"))
+    place = F.struct(
+        F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "key")
+    kept = found.groupBy("component").agg(F.min(place).alias("at")).select("at.*")
     return named.drop("text").join(kept, ["missing", "id", "key"], "left_semi").dropDuplicates(
         ["missing", "id", "key"]).select("row.*")

@@ -94,3 +94,19 @@ def personal(text):
 
 def crc32(text):
     return zlib.crc32((text or "").encode())
+
+
+def passages(rows, window=20):
+    """The rows of the digest of ``(doc_id, text)``; ids are unlike."""
+    texts = [words(text) for _, text in rows]
+    first = {}
+    for r in sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0)):
+        for i in range(len(texts[r]) - window + 1):
+            first.setdefault(tuple(texts[r][i:i + window]), (r, i))
+    found = []
+    for r, (doc_id, _) in enumerate(rows):
+        gone = {i + k for i in range(len(texts[r]) - window + 1) if first[tuple(texts[r][i:i + window])] != (r, i)
+                for k in range(window)}
+        kept = " ".join(word for i, word in enumerate(texts[r]) if i not in gone)
+        found.append((doc_id, len(texts[r]), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return found

@@ -1,10 +1,7 @@
 """The pipeline's stages against plain versions, each on its own input."""
 
-import numpy as np
-
 import __spark_entry__ as entry
 import corpus_pipeline
-from tallygrid.llm import simhash
 from tallygrid.llm.common import table, written
 
 from . import plain
@@ -27,14 +24,8 @@ def test_stages(spark):
             assert not failed & set(ids) and len(ids) > len(before) / 2
         if name == "near_duplicates":
             rows = sorted((r.doc_id, r.text) for r in before)
-            prints = [simhash.fingerprints(simhash.shingle_hashes(text), simhash.SEEDS) for _, text in rows]
-            linked = np.zeros((len(rows), len(rows)), bool)
-            for seed in range(simhash.SEEDS):
-                bits = np.array([p[seed] for p in prints])
-                linked |= np.bitwise_count(bits[:, None] ^ bits[None, :]) <= simhash.DISTANCE
-            for _ in range(10):
-                linked = (linked.astype(int) @ linked.astype(int)) > 0
-            assert sorted(ids) == sorted({rows[np.flatnonzero(row)[0]][0] for row in linked})
+            found = plain.components([plain.fingerprint(text) for _, text in rows])
+            assert sorted(ids) == sorted(rows[i][0] for i in set(found))
         if name == "decontamination":
             assert sorted(ids) == sorted(r.doc_id for r in before if not plain.decontaminated(r.text, items)[-1])
         if name == "mixture":
@@ -49,10 +40,29 @@ def test_stages(spark):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
 
 
+def test_stages_of_odd_and_of_no_rows(spark):
+    """Null and equal ids, null texts and sources, and columns named as those of the stages."""
+    clean = "The river runs past the old mill, and the children play near the water until the evening comes. "
+    texts = [None, "", clean * 6, clean * 6, *[f"{clean * 5} Number {i} adds a line of its own, as every house does." for i in range(9)]]
+    rows = [(None if i % 3 == 0 else i // 2, text, None, [None, "a", "row"][i % 3], 1, "x", 2, 3, True)
+            for i, text in enumerate(texts)]
+    kinds = ("doc_id bigint, text string, lang string, source string, n_chars bigint, row string, size bigint, shard int, "
+             "kept boolean")
+    odd = spark.createDataFrame(rows, kinds)
+    for docs in (odd, odd.limit(0)):
+        left = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = written(stage(spark, docs, DIRECTORY), name)
+            assert docs.columns == odd.columns
+            assert docs.count() <= (2 if name == "mixture" else 1) * left
+            left = docs.count()
+        assert written(corpus_pipeline.STAGES[-1][1](spark, docs, DIRECTORY), "sharding").count() == left
+
+
 def test_run_gives_the_same_twice(spark):
     first, second = (sorted(map(repr, corpus_pipeline.run(spark, DIRECTORY).collect())) for _ in range(2))
     assert first and first == second
