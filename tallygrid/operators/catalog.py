@@ -141,7 +141,7 @@ def named_series(model: Model, kinds: list[Kind] | None = None) -> DataFrame:
 
 def _runs(model: Model, count: str | None, conditions: dict) -> DataFrame:
     """(cor_id, cal_id): the runs, or newest runs, of the active calibrations that pass the filter."""
-    active = _calibrations(model, conditions)
+    active = active_calibrations(model, conditions)
     if count != "pronosticos":
         runs = model.table("corridas").select(F.col("id").alias("cor_id"), "cal_id")
     elif LAST_COVERAGE in model.stored_views:
@@ -165,12 +165,12 @@ def _covered(model: Model, kind: Kind, runs: DataFrame, conditions: dict, named:
     return found.withColumn("series_table", F.lit(kind.series))
 
 
-def _calibrations(model: Model, conditions: dict) -> DataFrame:
+def active_calibrations(model: Model, conditions: dict) -> DataFrame:
     active = where(model.table("calibrados").where("activar"), conditions.get("calibrados"))
     return active.select(F.col("id").alias("cal_id"), "nombre")
 
 
-def _conditions(filter: dict | None) -> tuple[Kind, dict]:
+def calibration_conditions(filter: dict | None) -> tuple[Kind, dict]:
     values = dict(filter or {})
     kind = kind_of(values.pop("tipo", None))
     # For areas and scenes a request may name the place in the station's field. Places of other kinds do not apply.
@@ -181,21 +181,21 @@ def _conditions(filter: dict | None) -> tuple[Kind, dict]:
 
 def calibration_rows(model: Model, filter: dict | None = None, count: str | None = None) -> DataFrame:
     """(id, nombre): active calibrations with a run that has matching forecast series, in no order."""
-    kind, conditions = _conditions(filter)
+    kind, conditions = calibration_conditions(filter)
     runs = _runs(model, count, conditions)
     with_any = _covered(model, kind, runs, conditions, named=False).select("cor_id").distinct()
     found = with_any.join(runs, "cor_id").select("cal_id").distinct()
-    return _calibrations(model, conditions).join(found, "cal_id", "left_semi").select(
+    return active_calibrations(model, conditions).join(found, "cal_id", "left_semi").select(
         F.col("cal_id").alias("id"), "nombre")
 
 
 def calibration_series(model: Model, filter: dict | None = None, count: str | None = None,
                        named: bool = True) -> DataFrame:
     """(id, nombre, series columns…): one row for each calibration, run and matching forecast series."""
-    kind, conditions = _conditions(filter)
+    kind, conditions = calibration_conditions(filter)
     runs = _runs(model, count, conditions)
     covered = _covered(model, kind, runs, conditions, named)
-    owners = runs.join(broadcast_if(_calibrations(model, conditions), model.table("calibrados")), "cal_id")
+    owners = runs.join(broadcast_if(active_calibrations(model, conditions), model.table("calibrados")), "cal_id")
     columns = SERIES_COLUMNS if named else ("series_id", "series_table", "cor_id")
     return covered.join(owners, "cor_id").select(F.col("cal_id").alias("id"), "nombre", *columns)
 

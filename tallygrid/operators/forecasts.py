@@ -113,7 +113,7 @@ def last_coverage(model: Model, kinds: list[Kind] | None = None, condition: Colu
     return coverage(model, kinds, runs).join(runs, "cor_id").select(*SCHEMAS[LAST_COVERAGE].names)
 
 
-def _specs(kind: Kind, run_filters: dict) -> dict:
+def series_specs(kind: Kind, run_filters: dict) -> dict:
     return {**SERIES_FILTERS, **run_filters, **PLACE_FILTERS[kind.tipo]}
 
 
@@ -136,7 +136,7 @@ def value_counts(model: Model, kind: Kind, axis: Axis, values: dict, keys: list[
     A value counts once for each covered series of its run, or once in all with ``dedupe``. Keys are ``cal_id``,
     ``cor_id``, ``series_id``.
     """
-    conditions = per_table(_specs(kind, VALUE_FILTERS), values, kind.series)
+    conditions = per_table(series_specs(kind, VALUE_FILTERS), values, kind.series)
     weights = _run_weights(model, kind, conditions.get(LAST_COVERAGE))
     if dedupe:
         weights = weights.withColumn("covered", F.lit(1).cast("bigint"))
@@ -151,7 +151,7 @@ def value_counts(model: Model, kind: Kind, axis: Axis, values: dict, keys: list[
 def run_counts(model: Model, kind: Kind, axis: Axis, values: dict, keys: list[str],
                distinct_runs: bool = False) -> DataFrame:
     """(keys…, x, n) of model runs: once for each matching forecast series, or once each with ``distinct_runs``."""
-    conditions = per_table(_specs(kind, RUN_FILTERS), values, kind.series)
+    conditions = per_table(series_specs(kind, RUN_FILTERS), values, kind.series)
     runs = where(model.between("corridas", axis.start, axis.stop, column="date"), conditions.get("corridas"))
     groups = where(model.table("calibrados"), conditions.get("calibrados")).select(F.col("id").alias("cal_id"))
     runs = runs.join(groups, "cal_id").select(F.col("id").alias("cor_id"), "cal_id",
@@ -196,7 +196,7 @@ def forecast_density(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=
     axis = Axis.of(start, end, dt)
     values, kind, count = asked(filter, tipo, count)
     runs = count == "corridas"
-    require_any(_specs(kind, RUN_FILTERS if runs else VALUE_FILTERS), values)
+    require_any(series_specs(kind, RUN_FILTERS if runs else VALUE_FILTERS), values)
     counts = (run_counts(model, kind, axis, values, [], distinct_runs) if runs
               else value_counts(model, kind, axis, values, [], dedupe))
     return vector(model.spark, axis, counts)

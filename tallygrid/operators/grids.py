@@ -69,7 +69,7 @@ def station_rows(model: Model, axis: Axis, facts: DataFrame, tabla, var_id, proc
     """Rows ``(y, entity, texts…, values)`` of a station grid over the facts ``(series_id, timestart)``, in the order
     of ``use_id``. Counts are per station."""
     stations, bound = grid_stations(model, tabla, var_id, proc_id, has_obs)
-    order = [labels.station_key(use_id).asc_nulls_last(), F.col("unid"), F.col("series_id")]
+    order = [labels.station_key(use_id), F.col("unid"), F.col("series_id")]
     placed = numbered(stations, order, bound).select(
         "y", F.col("unid").alias("entity"), *[text.alias(name) for name, text in texts.items()])
     facts = facts.select("series_id", axis.bucket(F.col("timestart")).alias("x"))
@@ -142,7 +142,7 @@ def run_grid(model: Model, start=None, end=None, model_id: int | None = None, us
     with_runs = model.table("corridas").select(F.col("cal_id").alias("id")).distinct()
     calibrations = model.table("calibrados")
     chosen = calibrations.where(optional_equal("model_id", model_id)).join(with_runs, "id", "left_semi")
-    order = [labels.calibration_key(use_id).asc_nulls_last(), F.col("id")]
+    order = [labels.calibration_key(use_id), F.col("id")]
     placed = numbered(chosen.withColumn("label", labels.calibration_label(use_id)), order, calibrations)
     runs = model.between("corridas", axis.start, last, closed=True, column="date")
     if match == "exact":
@@ -166,6 +166,6 @@ def network_grid(model: Model, var_id: int, start=None, end=None, proc_id: int |
     facts = model.between("observaciones", axis.start, last, closed=True)
     facts = facts.select("series_id", axis.bucket(F.col("timestart")).alias("x"))
     counts = count_members(facts, chosen.select("series_id", "entity"), ["entity"], series)
-    placed = numbered(networks.withColumn("label", labels.name_and_id("entity")), [F.col("entity").asc_nulls_last()],
+    placed = numbered(networks.withColumn("label", labels.name_and_id("entity")), [F.col("entity")],
                       networks)
     return Grid(fill_rows(placed.select("y", "entity", "label"), counts, ["entity"], axis), axis, "redes", networks)

@@ -11,7 +11,8 @@ from ..functions.periods import VECTOR_STEP, vector_bounds
 from ..sources.model import Model
 from ..sources.schema import Kind, kind_of
 from . import catalog
-from .forecasts import asked, run_counts, value_counts
+from .forecasts import COVERAGE, LAST_COVERAGE, asked, value_counts
+from .passes import run_rows, value_rows
 from .tally import cells, fill_rows, numbered
 from .vectors import observation_counts, station_counts
 
@@ -19,9 +20,12 @@ from .vectors import observation_counts, station_counts
 def _matrix(entities: DataFrame, counts: DataFrame, key: list[str], axis: Axis, order: list[str],
             bound: DataFrame) -> DataFrame:
     """(x, y, t, key…, label, n, hour); entities are ``(key…, label)`` and ``hour`` is the column label."""
-    placed = numbered(entities, [F.col(c).asc_nulls_last() for c in order], bound)
-    rows = fill_rows(placed, counts, key, axis)
-    return cells(rows, axis, *dict.fromkeys([*key, *order, "label"])).withColumn("hour", hour_label(F.col("t")))
+    placed = numbered(entities, [F.col(c) for c in order], bound)
+    return _cells(fill_rows(placed, counts, key, axis), [*key, *order], axis)
+
+
+def _cells(rows: DataFrame, columns: list[str], axis: Axis) -> DataFrame:
+    return cells(rows, axis, *dict.fromkeys([*columns, "label"])).withColumn("hour", hour_label(F.col("t")))
 
 
 def network_matrix(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=None, count: str = "registros",
@@ -57,38 +61,39 @@ def raster_matrix(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=Non
     return _matrix(entities, counts, ["series_id"], axis, ["series_id"], model.table("series_rast"))
 
 
-def _forecast_counts(model, kind, axis, values, keys, count) -> DataFrame:
-    if count == "corridas":
-        return run_counts(model, kind, axis, values, keys)
-    return value_counts(model, kind, axis, values, keys)
-
-
 def _with_range(values: dict, kind: Kind, start, end) -> dict:
     """The calibration filter of a matrix: its filter, kind and range."""
     return {**values, "tipo": kind.tipo, "timestart": start, "timeend": end}
 
 
-def calibration_matrix(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=None, count: str | None = None,
-                       now=None) -> DataFrame:
-    """Calibration × bucket: forecast values of the newest run, or runs with ``count="corridas"``."""
+def _calibrations(model: Model, start, end, dt, filter, count, now, key: list[str], bound) -> DataFrame:
+    """The matrix of calibrations, or of their series and runs. Where the source stores coverage, this says which rows there
+    are and what values count; otherwise all comes from one pass over the forecasts."""
     start, end = vector_bounds(start, end, "forecast", now)
     axis = Axis.of(start, end, dt)
     values, kind, count = asked(filter, None, count)
-    counts = _forecast_counts(model, kind, axis, values, ["cal_id"], count)
-    found = catalog.calibration_rows(model, _with_range(values, kind, start, end), count)
-    entities = found.select(F.col("id").alias("cal_id"), F.concat_ws(" - ", F.col("id").cast("string"), "nombre").alias("label"))
-    return _matrix(entities, counts, ["cal_id"], axis, ["cal_id"], model.table("calibrados"))
+    ranged, by_series = _with_range(values, kind, start, end), len(key) > 1
+    order = [F.col(c) for c in key]
+    labels = [F.col(c).cast("string") for c in key] if by_series else [F.col("cal_id").cast("string"), F.col("nombre")]
+    label = F.concat_ws(" - ", *labels)
+    if count == "corridas" or not model.stored_views & {COVERAGE, LAST_COVERAGE}:
+        rows = (run_rows if count == "corridas" else value_rows)(model, kind, axis, values, ranged, by_series)
+        placed = numbered(rows.withColumn("label", label), order, model.table(bound(kind)))
+        return _cells(placed, key, axis)
+    found = (catalog.calibration_series(model, ranged, count, named=False) if by_series
+             else catalog.calibration_rows(model, ranged, count))
+    entities = found.withColumnRenamed("id", "cal_id").withColumn("label", label).select(*key, "label")
+    return _matrix(entities, value_counts(model, kind, axis, values, key), key, axis, key, model.table(bound(kind)))
+
+
+def calibration_matrix(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=None, count: str | None = None,
+                       now=None) -> DataFrame:
+    """Calibration × bucket: forecast values of the newest run, or runs with ``count="corridas"``."""
+    return _calibrations(model, start, end, dt, filter, count, now, ["cal_id"], lambda kind: "calibrados")
 
 
 def calibration_series_matrix(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=None,
                               count: str | None = None, now=None) -> DataFrame:
     """Calibration, series and run × bucket, for one kind of series."""
-    start, end = vector_bounds(start, end, "forecast", now)
-    axis = Axis.of(start, end, dt)
-    values, kind, count = asked(filter, None, count)
-    key = ["cal_id", "series_id", "cor_id"]
-    counts = _forecast_counts(model, kind, axis, values, key, count)
-    found = catalog.calibration_series(model, _with_range(values, kind, start, end), count, named=False)
-    entities = found.select(F.col("id").alias("cal_id"), "series_id", "cor_id")
-    entities = entities.withColumn("label", F.concat_ws(" - ", *[F.col(c).cast("string") for c in key]))
-    return _matrix(entities, counts, key, axis, key, model.table(kind.forecasts))
+    return _calibrations(model, start, end, dt, filter, count, now, ["cal_id", "series_id", "cor_id"],
+                         lambda kind: kind.forecasts)

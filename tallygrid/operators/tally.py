@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.axis import ROWS_PER_TASK, Axis
-from ..functions.sizing import ensure_checkpoint_dir, few, fits
+from ..functions.sizing import few, fits
+
+# Ranges that a large frame is cut into to number it.
+RANGES = 255
 
 
 def where(frame: DataFrame, condition: Column | None) -> DataFrame:
@@ -69,24 +72,38 @@ def cells(rows: DataFrame, axis: Axis, *columns: str) -> DataFrame:
     return opened.select(x.alias("x"), "y", axis.at(x + 1).alias("t"), *columns, "n")
 
 
-def numbered(frame: DataFrame, order: list[Column], bound: DataFrame) -> DataFrame:
-    """The frame with ``y``, its 0-based position in a total order. ``bound`` limits its rows.
+def numbered(frame: DataFrame, keys: list[Column], bound: DataFrame) -> DataFrame:
+    """The frame with ``y``, its 0-based position in the order of the keys, nulls last, which no two rows share. ``bound``
+    limits its rows.
 
-    A frame of proven small size is numbered by one window. A larger one is sorted across partitions and cut off by a
-    checkpoint, so that positions stay the same in every use; then the sizes of the sorted partitions, one row each,
-    turn positions within partitions into overall ones.
+    A frame of proven small size is numbered by one window. A larger one is cut into ranges between the keys of a sketch,
+    those ``RANGES`` of the least hashes, which are as good as drawn at random; sizes of the ranges, a row each, turn
+    positions within them into overall ones. All is one plan, so nothing runs before it is asked for. Sketch, sizes and
+    rows come from one exchange of whole rows: their columns are kept in one, for the three to have the same.
     """
     if fits(bound):
-        return frame.withColumn("y", F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
-    ensure_checkpoint_dir(frame.sparkSession)
-    placed = frame.orderBy(*order).checkpoint().withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn(
-        "_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(offsets), "_part").withColumn("y", F.col("_before") + F.col("_at")).drop(
-        "_part", "_at", "_before")
+        order = Window.orderBy(*[key.asc_nulls_last() for key in keys])
+        return frame.withColumn("y", F.row_number().over(order).cast("bigint") - 1)
+    key = F.struct(*[c for i, k in enumerate(keys) for c in (k.isNull().alias(f"no_{i}"), k.alias(f"key_{i}"))])
+    packed = frame.select(F.array(F.struct(key.alias("key"), F.struct("*").alias("row"))).alias("item"))
+
+    def part(name: str) -> Column:
+        # Not a plain access, which the optimizer would carry out below the exchange.
+        return F.get(F.transform("item", lambda item: item[name]), F.lit(0))
+
+    dealt = packed.repartition(F.xxhash64(part("key")))
+    drawn = dealt.select(part("key").alias("key")).orderBy(F.xxhash64("key")).limit(RANGES)
+    sketch = drawn.agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    ranged = dealt.withColumn("key", part("key")).withColumn("drawn", sketch.scalar())
+    # Never null, so that the join adds no condition.
+    at = F.coalesce(F.size(F.filter("drawn", lambda drawn_key: drawn_key <= F.col("key"))), F.lit(0))
+    ranged = ranged.withColumn("range", at).drop("drawn")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size")).select(
+        "range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy("key")).cast("bigint") - 1
+    placed = ranged.join(F.broadcast(offsets), "range").select(part("row").alias("row"), (F.col("before") + within).alias("y"))
+    return placed.select("row.*", "y")
 
 
 def maximum(rows: DataFrame) -> DataFrame:

@@ -50,3 +50,29 @@ def test_checkpoints_go_where_the_session_says(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         assert named.rstrip("/") in spark.sparkContext.getCheckpointDir()
+
+
+@pytest.mark.parametrize("name", [
+    "matrix_calibration_values", "matrix_calibration_runs", "matrix_calibration_series_point",
+    "matrix_calibration_series_areal",
+])
+def test_calibration_matrices_read_the_forecasts_once(spark, setting, name):
+    # Without adaptive execution the plan says beforehand which exchanges are used again.
+    with setting(**{"spark.sql.adaptive.enabled": "false"}):
+        text = plan(QUERIES[name](spark, DIRECTORY))
+    forecasts = [scan for scan in scans(text, "lineitem") if "l_linenumber" in scan]
+    assert len(forecasts) == 1
+
+
+@pytest.mark.parametrize("name", ["matrix_calibration_series_areal", "grid_day_area", "grid_day_station_ext"])
+def test_numbering_starts_no_job(spark, nothing_fits, name):
+    tracker = spark.sparkContext.statusTracker()
+    group = f"planning {name}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        frame = QUERIES[name](spark, DIRECTORY)
+        text = plan(frame)
+        assert list(tracker.getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert "ExistingRDD" not in text and "CartesianProduct" not in text
