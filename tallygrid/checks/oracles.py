@@ -518,16 +518,16 @@ VARIABLE = "(SELECT {} FROM variables WHERE id = 1)"
 NAMED = "nombre || ' (' || {} || ' [' || id || '])'"
 
 
-def title(quantity: str, last: str) -> list[str]:
+def title(quantity: str, *last: str) -> list[str]:
     return [f"'Cantidad de registros por {quantity}.'", f"'Red: ' || {NETWORK.format(NAMED.format('tabla_id'))} || '.'",
-            f"'Variable: ' || {VARIABLE.format(NAMED.format('var'))} || '.'", f"'{last}'", "''"]
+            f"'Variable: ' || {VARIABLE.format(NAMED.format('var'))} || '.'", *[f"'{line}'" for line in last], "''"]
 
 
-def header(step: str, date: str) -> list[str]:
+def header(step: str | None, date: str = "") -> list[str]:
+    period = [f"'intervaloTemporal={step}'", f"'fecha={date}'"] if step else []
     return [f"'redNombre=' || {NETWORK.format('nombre')}", f"'redTabla=' || {NETWORK.format('tabla_id')}",
             f"'redId=' || {NETWORK.format('id')}", f"'variableNombre=' || {VARIABLE.format('nombre')}",
-            f"'variableCode=' || {VARIABLE.format('var')}", f"'variableId=' || {VARIABLE.format('id')}",
-            f"'intervaloTemporal={step}'", f"'fecha={date}'", "''", "''"]
+            f"'variableCode=' || {VARIABLE.format('var')}", f"'variableId=' || {VARIABLE.format('id')}", *period, "''", "''"]
 
 
 def lines(texts: list[str]) -> str:
@@ -535,6 +535,12 @@ def lines(texts: list[str]) -> str:
         f"SELECT CAST({i} AS BIGINT) line_no, {text} line" for i, text in enumerate(texts)))
 
 
+def _whole(above: list[str], table: str) -> str:
+    """A table below the lines above it."""
+    return f"""SELECT line_no, line FROM ({lines(above)})
+        UNION ALL SELECT line_no + {len(above)}, line FROM ({table})"""
+
+
 def _set(reports: list[tuple[str, list[str], str]]) -> str:
     """Reports (period, lines above, table), each as one file holds it."""
     return " UNION ALL ".join(
@@ -550,9 +556,9 @@ def _reports() -> dict[str, str]:
     days = ["2024-01-09", "2024-01-10", "2024-01-11"]
     day_name = lambda day: day.replace("-", "")
 
-    def year(number: int) -> str:
+    def year(number: int, form: str = _fixed("%m", 6), rows: str = ext) -> str:
         first, last = f"{number}-01-01", f"{number}-12-31 23:59:59"
-        return grid(_fixed("%m", 6), first, last, last, "1 month", ext,
+        return grid(form, first, last, last, "1 month", rows,
                     bucket="extract(month FROM o.at) = extract(month FROM ticks.t)")
 
     levels = f"""SELECT s.estacion_id codigo_de_estacion, CAST(1 AS BIGINT) codigo_de_variable,
@@ -561,7 +567,17 @@ def _reports() -> dict[str, str]:
         FROM series s JOIN observaciones o ON s.id = o.series_id JOIN valores_num ON o.id = obs_id
         WHERE s.estacion_id = 8 AND s.var_id = 2 AND s.proc_id = 1 AND timestart >= TIMESTAMP '{JANUARY[0]}'
             AND timestart <= TIMESTAMP '{JANUARY[1]}'"""
+    half = [f"Inicio: {HALF[0]}", f"Fin: {HALF[1]}"]
     return {
+        "report_full_month": _whole(title("día", "Mes: 2024-01"), by_day(_fixed("%d", 6), *JANUARY, ext)),
+        "report_full_month_csv": _whole(header("diario", "2024-01"), by_day(_csv("%d", ","), *JANUARY, only)),
+        "report_full_day": _whole(title("intervalo", "Día: 2024-01-10"), in_day(_fixed("%H:%M", 6), "2024-01-10", "3 hours", ext)),
+        "report_full_day_csv": _whole(header("05:00", "2024-01-10"), in_day(_csv("%H:%M", ";"), "2024-01-10", "5 hours", only)),
+        "report_full_year": _whole(title("mes", "Año: 2024"), year(2024)),
+        "report_full_year_csv": _whole(header("mensual", "2024"), year(2024, _csv("%m", ";"), only)),
+        "report_full_range": _whole(title("día", *half), by_day(_fixed("%Y-%m-%d", 11), *HALF, default)),
+        "report_full_range_csv": _whole(header(None), by_day(_csv("%Y-%m-%d", "|"), *HALF, default)),
+        "report_full_range_json": by_day(document("estaciones"), *HALF, default),
         "report_fwc_month": by_day(_fixed("%d", 6), *JANUARY, ext),
         "report_csv_month": by_day(_csv("%d", ","), *JANUARY, only),
         "report_fwc_range": by_day(_fixed("%Y-%m-%d", 11), *HALF, default),

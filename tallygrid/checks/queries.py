@@ -234,7 +234,19 @@ def _reports() -> dict[str, Callable[[Model], DataFrame]]:
     def month(m, use_id="ext"):
         return grids.day_grid(m, "asia", 1, month="2024-01", use_id=use_id)
 
+    def asked(kind=None, **query):
+        return lambda m: requests.report(m, {"tabla": "asia", "varId": "1", **query}, kind)
+
     return {
+        "report_full_month": asked(mes="2024-01", format="fwc", use_id="ext"),
+        "report_full_month_csv": asked(mes="2024-01", format="csv", use_id="ext_only", sep=","),
+        "report_full_day": asked("dia", date="2024-01-10", format="fwc", use_id="ext"),
+        "report_full_day_csv": asked("dia", date="2024-01-10", dt="05:00", format="csv", use_id="ext_only"),
+        "report_full_year": asked("anio", anio="2024", format="fwc", use_id="ext"),
+        "report_full_year_csv": asked("anio", anio="2024", format="csv", use_id="ext_only"),
+        "report_full_range": asked(timestart=FIRST_HALF[0], timeend=FIRST_HALF[1], format="fwc"),
+        "report_full_range_csv": asked(timestart=FIRST_HALF[0], timeend=FIRST_HALF[1], format="CSV", sep="|"),
+        "report_full_range_json": asked(timestart=FIRST_HALF[0], timeend=FIRST_HALF[1]),
         "report_fwc_month": lambda m: render.fixed_width(month(m), "mes"),
         "report_csv_month": lambda m: render.csv(month(m, "ext_only"), "mes", ","),
         "report_fwc_range": lambda m: render.fixed_width(grids.day_grid(m, "asia", 1, *FIRST_HALF)),

@@ -160,6 +160,20 @@ def stacked(*parts: DataFrame) -> DataFrame:
     return whole.select((F.col("part").cast("bigint") * (1 << 40) + F.col("line_no")).alias("line_no"), "line")
 
 
+def report(model: Model, grid: Grid, tabla, var_id, period: str | None = None, value: str | None = None, form: str = "fwc",
+           start: str | None = None, end: str | None = None, sep: str | None = None, dt: str | None = None) -> DataFrame:
+    """(line_no, line) of a grid as one report: the fixed-width table below its title, or with ``form="csv"`` the CSV table
+    below its header."""
+    if form == "csv":
+        above, table = header_lines(period, F.lit(value), dt), csv(grid, period, sep)
+    elif form == "fwc":
+        above, table = title_lines(period, F.lit(value), start, end), fixed_width(grid, period)
+    else:
+        raise ValueError(f"unknown form of a report: {form!r}")
+    head = _numbered_lines(metadata(model, tabla, var_id), above)
+    return head.unionByName(table.select((F.col("line_no") + len(above)).alias("line_no"), "line"))
+
+
 def document(grid: Grid, entities: int = PIECE) -> DataFrame:
     """``(piece, dates, names, cells)`` with 0-based ``[x, y, n]`` in order of x and y.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame
 
-from ..functions.periods import VECTOR_STEP
+from ..functions.periods import INTRADAY_STEP, VECTOR_STEP, default_period
 from ..functions.predicates import clean_filter
-from ..operators import forecasts, matrices, vectors
+from ..operators import forecasts, grids, matrices, render, vectors
 from ..operators.forecasts import asked
 from ..sources.model import Model
 
@@ -59,3 +60,36 @@ def calibrations(model: Model, query: dict[str, Any], now=None) -> DataFrame:
     period, values = _parts(query)
     values, kind, count = asked(values, None, None)
     return matrices.calibration_matrix(model, filter={**values, "tipo": kind.tipo}, count=count, now=now, **period)
+
+
+def report(model: Model, query: dict[str, Any], kind: str | None = None, now=None) -> DataFrame:
+    """The station grid that a request describes, as its ``format`` says: ``(line_no, line)`` of a report with title
+    (``fwc``) or header (``csv``), or the pieces of the JSON document. ``kind`` is ``dia`` for one day by steps, ``anio`` for
+    a year by months; otherwise a month (``mes``) or a range by days.
+    """
+    asked_for = {k: v for k, v in query.items() if v is not None and v != ""}
+    now, form = now or datetime.now(), str(asked_for.get("format", "json")).lower()
+    tabla, var_id = asked_for.get("tabla"), asked_for.get("varId")
+    proc_id = asked_for.get("procId")
+    options = {"proc_id": int(proc_id) if proc_id is not None else None, "use_id": asked_for.get("use_id"), "now": now}
+    start = end = dt = None
+    if kind == "dia":
+        value, dt = str(asked_for.get("date", now.date())), str(asked_for.get("dt", INTRADAY_STEP))
+        grid = grids.intraday_grid(model, tabla, var_id, value, dt, **options)
+    elif kind == "anio":
+        value = str(asked_for.get("anio", now.year))
+        grid = grids.year_grid(model, tabla, var_id, int(value), **options)
+    elif kind is not None:
+        raise ValueError(f"unknown kind of report: {kind!r}")
+    elif "mes" in asked_for:
+        kind = "mes"
+        value = str(asked_for["mes"])
+        grid = grids.day_grid(model, tabla, var_id, month=value, **options)
+    else:
+        value = None
+        start, end = (str(asked_for.get(k, default.date())) for k, default in zip(
+            ("timestart", "timeend"), default_period("grid", now)))
+        grid = grids.day_grid(model, tabla, var_id, start, end, **options)
+    if form == "json":
+        return render.document_json(grid)
+    return render.report(model, grid, tabla, var_id, kind, value, form, start, end, asked_for.get("sep"), dt)
