@@ -461,6 +461,11 @@ def _catalog() -> dict[str, str]:
         f"'{c}': CAST({c} AS VARCHAR)" if c in ("begin_date", "end_date") else f"""'{c}': covered."{c}\"""" for c in LISTED_COLUMNS)
     joined = f"""FROM calibrados JOIN corridas ON corridas.cal_id = calibrados.id
         JOIN covered ON covered.cor_id = corridas.id WHERE calibrados.activar AND {_overlap(YEAR)}"""
+    covered = query("""SELECT * REPLACE (CAST(begin_date AS VARCHAR) AS begin_date,
+            CAST(end_date AS VARCHAR) AS end_date, array_to_string(qualifiers, ',') AS qualifiers) FROM coverage""")
+    last = query("""SELECT * REPLACE (CAST(begin_date AS VARCHAR) AS begin_date,
+            CAST(end_date AS VARCHAR) AS end_date, CAST(forecast_date AS VARCHAR) AS forecast_date,
+            array_to_string(qualifiers, ',') AS qualifiers) FROM coverage_last""")
     found = {
         "catalog_networks": query("SELECT * FROM redes"),
         "catalog_network_by_id": query("SELECT * FROM redes WHERE id = 3"),
@@ -478,11 +483,11 @@ def _catalog() -> dict[str, str]:
         "catalog_network_labels": query(
             "SELECT *, nombre || '(' || tabla_id || '[' || id || '])' AS label FROM redes"),
         "catalog_source_labels": query("SELECT *, nombre || ' (' || id || ')' AS label FROM fuentes"),
-        "forecast_coverage": query("""SELECT * REPLACE (CAST(begin_date AS VARCHAR) AS begin_date,
-            CAST(end_date AS VARCHAR) AS end_date, array_to_string(qualifiers, ',') AS qualifiers) FROM coverage"""),
-        "forecast_coverage_last": query("""SELECT * REPLACE (CAST(begin_date AS VARCHAR) AS begin_date,
-            CAST(end_date AS VARCHAR) AS end_date, CAST(forecast_date AS VARCHAR) AS forecast_date,
-            array_to_string(qualifiers, ',') AS qualifiers) FROM coverage_last"""),
+        "forecast_coverage": covered,
+        "forecast_coverage_last": last,
+        "forecast_coverage_refreshed": covered,
+        "forecast_coverage_last_refreshed": last,
+        "matrix_calibration_values_stored": _matrices()["matrix_calibration_values"],
         "series_named": query("SELECT * FROM named"),
         "calibrations_last": query(calibration_ids(None, "puntual", "last", "calibrados.grupo_id IN (1, 2, 3)")),
         "calibrations_filtered": query(
@@ -549,6 +554,13 @@ def _set(reports: list[tuple[str, list[str], str]]) -> str:
         for period, above, table in reports)
 
 
+def _files(stem: str, text: str, csv: str) -> str:
+    """The lines of the text and CSV files of a set."""
+    return " UNION ALL ".join(
+        f"SELECT '{stem}_' || period || '.{suffix}' AS file, line_no, line FROM ({lines_})"
+        for suffix, lines_ in (("txt", text), ("csv", csv)))
+
+
 def _reports() -> dict[str, str]:
     ext, only, default = stations(1, 1, "ext"), stations(1, 1, "ext_only"), stations(1, 1, None)
     months = [("202312", "2023-12-01", "2023-12-31"), ("202401", "2024-01-01", "2024-01-31"),
@@ -594,6 +606,9 @@ def _reports() -> dict[str, str]:
             (day_name(d), title("intervalo", f"Día: {d}"), in_day(_fixed("%H:%M", 6), d, "3 hours", ext)) for d in days]),
         "report_set_daily_5h": _set([
             (day_name(d), header("05:00", d), in_day(_csv("%H:%M", ","), d, "5 hours", only)) for d in days]),
+        "report_set_published": _files("RepCuantMensual", _set([
+            (m, title("día", f"Mes: {a[:7]}"), by_day(_fixed("%d", 6), a, b, ext)) for m, a, b in months]), _set([
+            (m, header("diario", a[:7]), by_day(_csv("%d", ","), a, b, only)) for m, a, b in months])),
         "level_export": query(levels),
         "level_export_lines": query(f"""SELECT codigo_de_estacion || ',' || codigo_de_variable || ',' || fecha || ',' || hora
             || ',' || minuto || ',' || regexp_replace(CAST(valor AS VARCHAR), '\\.0$', '') line FROM ({levels})"""),

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.predicates import NOT_NULL, Spec, per_table
 from ..operators import catalog, export, forecasts, grids, matrices, render, vectors
 from ..operators.tally import maximum
+from ..functions.sizing import shared_folder
 from ..plans import reports, requests
+from ..plans.coverage import CoverageStore
 from ..plans.panel import panel
 from ..sources.fixture import PANEL_PAIRS, fixture
 from ..sources.model import Model
+from ..sources.schema import KINDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -203,6 +206,9 @@ def _catalog() -> dict[str, Callable[[Model], DataFrame]]:
         "catalog_source_labels": lambda m: catalog.picker_label(catalog.sources(m)),
         "forecast_coverage": lambda m: _listed(forecasts.coverage(m)),
         "forecast_coverage_last": lambda m: _listed(forecasts.last_coverage(m)),
+        "forecast_coverage_refreshed": lambda m: _listed(_refreshed(m).coverage()),
+        "forecast_coverage_last_refreshed": lambda m: _listed(_refreshed(m).last_coverage()),
+        "matrix_calibration_values_stored": lambda m: matrices.calibration_matrix(_refreshed(m).model(m), *ALL_YEARS, "1 year"),
         "series_named": catalog.named_series,
         "calibrations_last": lambda m: catalog.calibrations(m, {"cal_grupo_id": [1, 2, 3]}, "pronosticos"),
         "calibrations_filtered": lambda m: catalog.calibrations(m, {**overlap, "var_id": 2, "unit_id": 1}),
@@ -215,6 +221,28 @@ def _catalog() -> dict[str, Callable[[Model], DataFrame]]:
     return found
 
 
+def _refreshed(m: Model) -> CoverageStore:
+    """A store of the coverage as it was before 1998, after it has taken over the runs with later forecasts."""
+    def before(name: str) -> DataFrame:
+        time = {"corridas": "date", **{kind.forecasts: "timestart" for kind in KINDS.values()}}.get(name)
+        return m.table(name).where(F.col(time) < F.lit("1998-01-01").cast("timestamp_ntz")) if time else m.table(name)
+
+    store = CoverageStore(m.spark, shared_folder(m.spark))
+    store.write(Model(m.spark, before), 8)
+    later = [m.table(kind.forecasts).where("timestart >= timestamp_ntz'1998-01-01'").select("cor_id") for kind in KINDS.values()]
+    runs = m.table("corridas").where("date >= timestamp_ntz'1998-01-01'").select(F.col("id").alias("cor_id"))
+    store.refresh(m, later[0].union(later[1]).union(later[2]).union(runs))
+    return store
+
+
+def _published(m: Model) -> DataFrame:
+    """Two months published one after the other, the second with one that replaces the first's."""
+    directory = shared_folder(m.spark)
+    for first, last in (("2023-12-31", "2024-01-31"), ("2024-01-01", "2024-02-01")):
+        reports.publish_report_set(reports.monthly(m, "asia", 1, first, last), directory)
+    return reports.published(m.spark, directory)
+
+
 def _listed(rows: DataFrame) -> DataFrame:
     """Lists as text, which compares alike in every engine."""
     return rows.withColumn("qualifiers", F.array_join("qualifiers", ","))
@@ -260,6 +288,7 @@ def _reports() -> dict[str, Callable[[Model], DataFrame]]:
         "report_set_yearly": lambda m: reports.yearly(m, "asia", 1, "2023-06-01", "2024-06-01").text_lines(),
         "report_set_daily": lambda m: reports.daily(m, "asia", 1, "2024-01-09", "2024-01-11").text_lines(),
         "report_set_daily_5h": lambda m: reports.daily(m, "asia", 1, "2024-01-09", "2024-01-11", "05:00").csv_lines(),
+        "report_set_published": _published,
         "level_export": lambda m: export.levels(m, 8, *JANUARY),
         "level_export_lines": lambda m: export.level_lines(export.levels(m, 8, *JANUARY)),
     }

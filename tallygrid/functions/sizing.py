@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         named = tempfile.mkdtemp(prefix="tallygrid-checkpoint-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, for tables that outlive a query's plan."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/tables-{uuid.uuid4().hex}"

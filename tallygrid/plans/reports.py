@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -19,7 +20,10 @@ from ..operators.render import (
     csv_line, csv_top, document_lines, header_lines, metadata, separator, text_line, text_top, title_lines,
 )
 from ..sources.model import Model
+from .versions import Versions
 
+# Files that get their names at the same time.
+RENAMES = 16
 # The file stems, labels and separator of the report files, and their encoding.
 STEMS = {"anio": "RepCuantAnual", "mes": "RepCuantMensual", "dia": "RepCuantDiario"}
 TEXT_LABELS, CSV_LABELS = "ext", "ext_only"
@@ -181,39 +185,52 @@ def write_files(lines: DataFrame, directory: str, stem: str, file_lines: int | N
     """Write ``(period, suffix, line_no, line)`` as Latin-1 files ``stem_period.suffix``; returns their paths.
 
     Rows go to their file in parallel and are sorted within it. Only names pass through the driver. With ``file_lines`` a
-    longer report goes on in ``stem_period.1.suffix`` and so on; without it a report is one file, however long.
+    longer report goes on in ``stem_period.1.suffix`` and so on; without it a report is one file, however long. The files
+    take effect one by one; ``publish_files`` lets a set take effect as a whole.
     """
+    staging = f"{directory}/_staging-{uuid.uuid4().hex}"
+    _write(lines, staging, stem, file_lines)
+    return _publish(lines.sparkSession, staging, directory)
+
+
+def _write(lines: DataFrame, folder: str, stem: str, file_lines: int | None) -> None:
+    """Each file as the one part of a folder ``file=…``."""
     number = F.lit("")
     if file_lines:
         chunk = F.call_function("div", F.col("line_no"), F.lit(file_lines))
         number = F.when(chunk > 0, F.concat(F.lit("."), chunk.cast("string"))).otherwise("")
     name = F.concat(F.lit(f"{stem}_"), "period", number, F.lit("."), "suffix")
-    staging = f"{directory}/_staging-{uuid.uuid4().hex}"
     placed = lines.select(name.alias("file"), "line_no", latin1(F.col("line")).alias("line"))
     # The text writer puts out the bytes of a string as they are, so the encoded bytes are passed as one.
     encoded = F.encode("line", ENCODING).cast("string").alias("value")
     rows = placed.repartition("file").sortWithinPartitions("file", "line_no").select("file", encoded)
     # One part for each file, whatever the session says of the rows of a part.
-    rows.write.option("maxRecordsPerFile", 0).partitionBy("file").text(staging)
-    return _publish(lines.sparkSession, staging, directory)
+    rows.write.option("maxRecordsPerFile", 0).partitionBy("file").text(folder)
 
 
-def _publish(spark, staging: str, directory: str) -> list[str]:
-    """Give the one part of each file its final name, in place of an older file. All folders are looked at before the
-    first is published, and an older file is replaced by the rename itself."""
-    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark._sc._gateway
-    root, target = hadoop.Path(staging), hadoop.Path(directory)
-    settings = spark._jsc.hadoopConfiguration()
-    files = root.getFileSystem(settings)
+def _parts(spark, folder: str) -> dict[str, str]:
+    """The one part of each file by its name; all folders are looked at before any is returned."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     found = {}
-    for folder in files.listStatus(root):
-        name = folder.getPath().getName()
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
         if not name.startswith("file="):
             continue
-        parts = [p.getPath() for p in files.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-")]
+        parts = [p.getPath() for p in files.listStatus(status.getPath()) if p.getPath().getName().startswith("part-")]
         if len(parts) != 1:
             raise OSError(f"{len(parts)} parts of {name.removeprefix('file=')}; nothing was published")
-        found[hadoop.Path(target, name.removeprefix("file="))] = parts[0]
+        found[name.removeprefix("file=")] = parts[0].toString()
+    return found
+
+
+def _publish(spark, staging: str, directory: str) -> list[str]:
+    """Give the one part of each file its final name, in place of an older file; the replacement is the rename itself."""
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark._sc._gateway
+    root, target = hadoop.Path(staging), hadoop.Path(directory)
+    settings = spark._jsc.hadoopConfiguration()
+    files = root.getFileSystem(settings)
+    found = {hadoop.Path(target, name): hadoop.Path(part) for name, part in _parts(spark, staging).items()}
     context = hadoop.FileContext.getFileContext(files.getUri(), settings)
     kind = getattr(hadoop, "Options$Rename")
     overwrite = gateway.new_array(kind, 1)
@@ -224,11 +241,46 @@ def _publish(spark, staging: str, directory: str) -> list[str]:
     return sorted(final.toString() for final in found)
 
 
+def publish_files(lines: DataFrame, directory: str, stem: str, file_lines: int | None = None,
+                  replace: bool = False) -> dict[str, str]:
+    """Write the files of ``write_files`` as parts of the set in a directory (``versions.py``), which take effect together or
+    not at all. Older files of other names stay unless ``replace``. Returns the paths of all files of the set by name.
+
+    The files get their names at once in many threads, in a new folder that no reader knows of yet.
+    """
+    versions = Versions(lines.sparkSession, directory)
+    after, folder = versions.number(), versions.folder()
+    _write(lines, f"{versions.directory}/{folder}", stem, file_lines)
+    names = {}
+    for name, part in _parts(lines.sparkSession, f"{versions.directory}/{folder}").items():
+        names[name] = f"{folder}/file={name}/{part.rsplit('/', 1)[1]}"
+    with ThreadPoolExecutor(RENAMES) as pool:
+        list(pool.map(lambda name: versions.rename(names[name], f"{folder}/{name}"), names))
+    versions.publish({name: f"{folder}/{name}" for name in names}, after, replace)
+    return versions.parts()
+
+
+def published(spark: SparkSession, directory: str) -> DataFrame:
+    """(file, line_no, line) of the files that a set consists of, each read by one task."""
+    paths = Versions(spark, directory).parts()
+    if not paths:
+        return spark.createDataFrame([], "file string, line_no bigint, line string")
+    text = F.regexp_replace(F.decode("content", ENCODING), r"\n$", "")
+    return spark.read.format("binaryFile").load(list(paths.values())).select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), F.posexplode(F.split(text, r"\n")).alias("line_no", "line")).withColumn(
+        "line_no", F.col("line_no").cast("bigint"))
+
+
 def write_report_set(reports: ReportSet, directory: str, file_lines: int | None = None) -> list[str]:
     """Write the text and CSV files of a report set in one job, as :func:`write_files` does."""
     return write_files(reports.lines(), directory, STEMS[reports.kind], file_lines)
 
 
+def publish_report_set(reports: ReportSet, directory: str, file_lines: int | None = None, replace: bool = False) -> dict[str, str]:
+    """Write a report set and let all its files take effect at once, as :func:`publish_files` does."""
+    return publish_files(reports.lines(), directory, STEMS[reports.kind], file_lines, replace)
+
+
 def write_document(grid: Grid, directory: str) -> None:
     """Write the JSON document of a grid of any size as text parts; in order of their names they are one document."""
     document_lines(grid).orderBy("section", "y").select("line").write.mode("overwrite").text(directory)

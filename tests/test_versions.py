@@ -1,0 +1,158 @@
+"""Sets that are published as a whole, the stored coverage and published reports."""
+
+from datetime import datetime, timedelta
+
+import pytest
+
+from tallygrid.operators import catalog, forecasts, matrices
+from tallygrid.plans import reports
+from tallygrid.plans.coverage import NEWEST, CoverageStore
+from tallygrid.plans.versions import Versions
+
+START, DAY = datetime(2024, 1, 1), timedelta(days=1)
+TABLES = dict(
+    redes=[(1, "n", "N")], estaciones=[(5, 1, "x", "Five", "n", True, True)],
+    series=[(1, 5, 1, 1, 1), (2, 5, 2, 1, 1)], series_areal=[(7, 1, 1, 1, 1, 1)],
+    calibrados=[(1, "One", 1, 1, True), (2, "Two", 1, 1, True), (3, "Three", 2, 1, True)])
+RUNS = [(10 + i, 1 + i % 3, START + i * DAY) for i in range(40)]
+FORECASTS = [(cor, 1 + cor % 2, START + k * DAY) for cor, _, _ in RUNS for k in range(3)]
+
+
+def whole(frame):
+    return sorted(map(repr, frame.collect()))
+
+
+def folders(versions):
+    return {name: path.split("/data-")[1].split("/")[0] for name, path in versions.parts().items()}
+
+
+def same(store, model):
+    return (whole(store.coverage()) == whole(forecasts.coverage(model))
+            and whole(store.last_coverage()) == whole(forecasts.last_coverage(model)))
+
+
+def test_a_refresh_of_one_run_rewrites_one_bucket(spark, model_of, tmp_path):
+    before = model_of(**TABLES, corridas=RUNS, pronosticos=FORECASTS, pronosticos_areal=[(12, 7, START)])
+    store = CoverageStore(spark, str(tmp_path))
+    store.write(before, 8)
+    assert same(store, before) and store.buckets() == 8
+    old = folders(store.versions)
+    after = model_of(**TABLES, corridas=RUNS, pronosticos=[*FORECASTS, (20, 2, START + 9 * DAY)], pronosticos_areal=[(12, 7, START)])
+    touched = store.refresh(after, spark.createDataFrame([(20,)], "cor_id long"))
+    new = folders(store.versions)
+    assert len(touched) == 1 and {name for name in new if new[name] != old[name]} == {f"bucket={touched[0]}of8", NEWEST}
+    assert same(store, after) and not same(store, before)
+    assert len(store.versions.sweep()) == 1 and same(store, after)
+
+
+@pytest.mark.parametrize("runs, forecast_rows, changed", [
+    # The newest run of a calibration goes, another comes, one gets an earlier date, and one is added to the newest's.
+    ([r for r in RUNS if r[0] != 49], [f for f in FORECASTS if f[0] != 49], [49]),
+    ([*RUNS, (90, 2, START + 90 * DAY)], [*FORECASTS, (90, 1, START)], [90]),
+    ([r if r[0] != 48 else (48, r[1], START - DAY) for r in RUNS], FORECASTS, [48]),
+    (RUNS, [f for f in FORECASTS if f[0] > 20], [cor for cor, _, _ in RUNS if cor <= 20]),
+    ([r for r in RUNS if r[1] != 1], [f for f in FORECASTS if f[0] not in {r[0] for r in RUNS if r[1] == 1}],
+     [r[0] for r in RUNS if r[1] == 1]),
+])
+def test_refreshed_views_equal_computed_ones(spark, model_of, tmp_path, runs, forecast_rows, changed):
+    store = CoverageStore(spark, str(tmp_path))
+    store.write(model_of(**TABLES, corridas=RUNS, pronosticos=FORECASTS), 4)
+    after = model_of(**TABLES, corridas=runs, pronosticos=forecast_rows)
+    store.refresh(after, spark.createDataFrame([(c,) for c in changed], "cor_id long"))
+    assert same(store, after)
+    stored = store.model(after)
+    assert whole(matrices.calibration_matrix(stored, START, START + 2 * DAY)) == whole(
+        matrices.calibration_matrix(after, START, START + 2 * DAY))
+    assert whole(catalog.calibration_series(stored, {}, "pronosticos", named=False)) == whole(
+        catalog.calibration_series(after, {}, "pronosticos", named=False))
+
+
+def test_stored_views_read_no_forecasts(spark, model_of, tmp_path):
+    model = model_of(**TABLES, corridas=RUNS, pronosticos=FORECASTS)
+    store = CoverageStore(spark, str(tmp_path))
+    store.write(model, 4)
+
+    def refuse(name):
+        if name.startswith("pronosticos"):
+            raise AssertionError(name)
+        return model._load(name)
+
+    from tallygrid.sources.model import Model
+
+    stored = store.model(Model(spark, refuse))
+    assert whole(forecasts.last_coverage(stored)) == whole(forecasts.last_coverage(model))
+    assert whole(catalog.calibrations(stored, {}, "pronosticos")) == whole(catalog.calibrations(model, {}, "pronosticos"))
+
+
+def test_a_failed_refresh_leaves_the_set_whole(spark, model_of, tmp_path, monkeypatch):
+    model = model_of(**TABLES, corridas=RUNS, pronosticos=FORECASTS)
+    store = CoverageStore(spark, str(tmp_path))
+    store.write(model, 4)
+    changed = spark.createDataFrame([(20,)], "cor_id long")
+    with monkeypatch.context() as patch:
+        patch.setattr(Versions, "_point", lambda self, number: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.refresh(model_of(**TABLES), changed)
+    assert same(store, model)
+    # The number is taken until the failed attempt is given up.
+    with pytest.raises(FileExistsError):
+        store.refresh(model, changed)
+    store.versions.abandon()
+    store.refresh(model, changed)
+    assert same(store, model)
+
+
+def test_of_two_writers_the_later_fails(spark, tmp_path):
+    one, other = Versions(spark, str(tmp_path)), Versions(spark, str(tmp_path))
+    one.publish({"a": "data-x"}, 0)
+    with pytest.raises(OSError):
+        other.publish({"a": "data-y"}, 0)
+    assert other.parts() == {"a": f"{tmp_path}/data-x"}
+    other.publish({"b": "data-y", "a": None}, 1)
+    assert one.parts() == {"b": f"{tmp_path}/data-y"} and one.number() == 2
+
+
+@pytest.fixture
+def observed(model_of):
+    facts = [(i, 1 + i % 2, START + i * timedelta(hours=9)) for i in range(200)]
+    return model_of(**{**TABLES, "series": [(1, 5, 1, 1, 1), (2, 5, 1, 1, 1)]}, var=[(1, "P", "Lluvia")], observaciones=facts)
+
+
+def files_of(versions):
+    return {name: open(path, "rb").read() for name, path in versions.parts().items()}
+
+
+def test_published_files_are_those_written_plainly(spark, observed, tmp_path):
+    made = reports.monthly(observed, "n", 1, "2024-01-01", "2024-02-01")
+    paths = reports.publish_report_set(made, str(tmp_path / "set"))
+    plain = reports.write_report_set(made, str(tmp_path / "plain"))
+    assert files_of(Versions(spark, str(tmp_path / "set"))) == {p.rsplit("/", 1)[1]: open(p, "rb").read() for p in plain}
+    assert sorted(paths) == sorted(p.rsplit("/", 1)[1] for p in plain)
+    rows = reports.published(spark, str(tmp_path / "set")).where("file like '%.txt'").orderBy("file", "line_no").collect()
+    assert [r.line for r in rows] == [r.line for r in made.text_lines().orderBy("period", "line_no").collect()]
+    assert reports.published(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_failure_in_the_middle_leaves_the_old_set_whole(spark, observed, tmp_path, monkeypatch):
+    versions = Versions(spark, str(tmp_path))
+    first = reports.monthly(observed, "n", 1, "2024-01-01", "2024-02-01")
+    reports.publish_report_set(first, str(tmp_path))
+    old = files_of(versions)
+    calls, rename = [], Versions.rename
+
+    def failing(self, name, to):
+        calls.append(to)
+        if len(calls) == 3:
+            raise OSError("lost")
+        return rename(self, name, to)
+
+    second = reports.monthly(observed, "n", 1, "2024-02-01", "2024-03-01")
+    with monkeypatch.context() as patch:
+        patch.setattr(Versions, "rename", failing)
+        with pytest.raises(OSError):
+            reports.publish_report_set(second, str(tmp_path))
+    assert calls and files_of(versions) == old
+    reports.publish_report_set(second, str(tmp_path))
+    new = files_of(versions)
+    assert set(old) < set(new) and len(new) == 6
+    assert sorted(reports.publish_report_set(second, str(tmp_path), replace=True)) == sorted(n for n in new if "202401" not in n)
