@@ -4,7 +4,7 @@ and dense cross products where the library counts by arithmetic."""
 from __future__ import annotations
 
 from ..operators.catalog import LISTED_COLUMNS
-from .queries import TIPOS
+from .queries import TALLIED, TIPOS
 
 TABLES = {
     "redes": """SELECT CAST(r_regionkey + 1 AS BIGINT) id, lower(replace(r_name, ' ', '_')) tabla_id, r_name nombre
@@ -181,6 +181,9 @@ def _vectors() -> dict[str, str]:
                                         point_obs("2024-01-02 05:30:00", "2024-01-31", "s.var_id IN (1, 2)")),
         "obs_density_7d_none": vector(*JANUARY, "7 days", point_obs(*JANUARY, "s.estacion_id = 1400")),
         "station_density_1d": vector(*JANUARY, "1 day", first, "count(DISTINCT obs.estacion_id)"),
+        "station_density_3d": vector(
+            *JANUARY, "3 days", point_obs(*JANUARY, "redes.tabla_id IN ('asia', 'europe') AND s.proc_id = 1"),
+            "count(DISTINCT obs.estacion_id)"),
         "areal_density_1m": vector(*YEAR, "1 month", other_obs("areal", *YEAR, "s.fuentes_id = 3")),
         "areal_density_1m_jan31": vector("1996-01-31", YEAR[1], "1 month",
                                          other_obs("areal", "1996-01-31", YEAR[1], "s.fuentes_id = 3")),
@@ -616,4 +619,5 @@ def _reports() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_vectors(), **_matrices(), **_grids(), **_filters(), **_catalog(), **_reports()}
+    found = {**_vectors(), **_matrices(), **_grids(), **_filters(), **_catalog(), **_reports()}
+    return found | {f"{name}_tallied": found[name] for name in TALLIED}

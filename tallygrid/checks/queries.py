@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from ..functions.sizing import shared_folder
 from ..plans import reports, requests
 from ..plans.coverage import CoverageStore
 from ..plans.panel import panel
+from ..plans.tallies import DayTallies
 from ..sources.fixture import PANEL_PAIRS, fixture
 from ..sources.model import Model
 from ..sources.schema import KINDS
@@ -29,6 +30,10 @@ JANUARY_1996 = ("1996-01-01", "1996-01-31")
 ALL_YEARS = ("1995-01-01", "2002-01-01")
 ALL_GROUPS = {"cal_grupo_id": [1, 2, 3, 4, 5]}
 TIPOS = {"point": "puntual", "areal": "areal", "raster": "raster"}
+TALLIED = (
+    "obs_density_1d", "obs_density_unaligned", "station_density_1d", "station_density_3d", "areal_density_1m",
+    "matrix_network_stations", "grid_day_station_ext", "grid_day_area",
+)
 MODES = {"ext": "ext", "ext_only": "ext_only", "name": "nombre", "id": "id", "default": None}
 
 
@@ -51,6 +56,8 @@ def _vectors() -> dict[str, Callable[[Model], DataFrame]]:
             m, "2024-01-02 05:30:00", "2024-01-31", "7 days", {"var_id": [1, 2]}),
         "obs_density_7d_none": lambda m: vectors.obs_density(m, *JANUARY, "7 days", {"estacion_id": 1400}),
         "station_density_1d": lambda m: vectors.station_density(m, *JANUARY, "1 day", {"var_id": 1}),
+        "station_density_3d": lambda m: vectors.station_density(
+            m, *JANUARY, "3 days", {"tabla_id": ["asia", "europe"], "proc_id": 1}),
         "areal_density_1m": lambda m: vectors.areal_density(m, *YEAR_1996, "1 month", {"fuentes_id": 3}),
         "areal_density_1m_jan31": lambda m: vectors.areal_density(
             m, "1996-01-31", "1997-01-01", "1 month", {"fuentes_id": 3}),
@@ -235,6 +242,24 @@ def _refreshed(m: Model) -> CoverageStore:
     return store
 
 
+def _tallied(m: Model) -> Model:
+    """The model with its observations counted by day, some days twice; the last of the ranges asked for are not stored."""
+    store = DayTallies(m.spark, shared_folder(m.spark))
+    store.append(m, date(2024, 1, 1), date(2024, 1, 10), ("puntual",))
+    store.append(m, date(2024, 1, 8), date(2024, 1, 26), ("puntual",))
+    store.append(m, date(1996, 1, 1), date(1996, 12, 20), ("areal",))
+    return store.model(m)
+
+
+def _stored() -> dict[str, Callable[[Model], DataFrame]]:
+    """The same questions as elsewhere, asked of stored tallies."""
+    def asked(ask: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
+        return lambda m: ask(_tallied(m))
+
+    found = {**_vectors(), **_matrices(), **_grids()}
+    return {f"{name}_tallied": asked(found[name]) for name in TALLIED}
+
+
 def _published(m: Model) -> DataFrame:
     """Two months published one after the other, the second with one that replaces the first's."""
     directory = shared_folder(m.spark)
@@ -295,7 +320,7 @@ def _reports() -> dict[str, Callable[[Model], DataFrame]]:
 
 
 def queries() -> dict[str, Query]:
-    found = {**_vectors(), **_matrices(), **_grids(), **_filters(), **_catalog(), **_reports()}
+    found = {**_vectors(), **_matrices(), **_grids(), **_filters(), **_catalog(), **_reports(), **_stored()}
     return {
         name: lambda spark, directory, ask=ask: _plain(ask(fixture(spark, directory)))
         for name, ask in found.items()

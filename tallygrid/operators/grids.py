@@ -13,6 +13,7 @@ from ..functions.axis import Axis
 from ..functions.periods import INTRADAY_STEP, day_bounds, default_period, end_of_day, midnight, month_bounds, year_bounds
 from ..functions.steps import Step
 from ..sources.model import Model
+from .hits import hits
 from .tally import cells, count_members, fill_rows, numbered
 
 DAY, MONTH = Step(seconds=86400), Step(months=1)
@@ -66,13 +67,12 @@ def grid_stations(model: Model, tabla: str, var_id: int, proc_id: int | None, ha
 
 def station_rows(model: Model, axis: Axis, facts: DataFrame, tabla, var_id, proc_id, use_id, has_obs,
                  **texts: Column) -> DataFrame:
-    """Rows ``(y, entity, texts…, values)`` of a station grid over the facts ``(series_id, timestart)``, in the order
-    of ``use_id``. Counts are per station."""
+    """Rows ``(y, entity, texts…, values)`` of a station grid over the facts ``(series_id, x[, n])``, in the order of
+    ``use_id``. Counts are per station."""
     stations, bound = grid_stations(model, tabla, var_id, proc_id, has_obs)
     order = [labels.station_key(use_id), F.col("unid"), F.col("series_id")]
     placed = numbered(stations, order, bound).select(
         "y", F.col("unid").alias("entity"), *[text.alias(name) for name, text in texts.items()])
-    facts = facts.select("series_id", axis.bucket(F.col("timestart")).alias("x"))
     counts = count_members(facts, stations.select("series_id", F.col("unid").alias("entity")), ["entity"], bound)
     return fill_rows(placed, counts, ["entity"], axis)
 
@@ -80,7 +80,7 @@ def station_rows(model: Model, axis: Axis, facts: DataFrame, tabla, var_id, proc
 def _station_grid(model, axis, last: datetime, tabla, var_id, proc_id, use_id, has_obs, timed=False) -> Grid:
     if not tabla or not var_id:
         raise ValueError("tabla and var_id are needed")
-    facts = model.between("observaciones", axis.start, last, closed=True)
+    facts = hits(model, "observaciones", axis, axis.start, last, closed=True)
     rows = station_rows(model, axis, facts, tabla, int(var_id), proc_id, use_id, has_obs,
                         label=labels.station_label(use_id))
     return Grid(rows, axis, "estaciones", model.table("series"), timed)
@@ -127,8 +127,7 @@ def area_grid(model: Model, source_id: int, start=None, end=None, var_id: int |
     chosen = series.select(F.col("id").alias("series_id"), F.col("area_id").alias("entity")).join(areas, "entity")
     placed = numbered(chosen.withColumn("label", labels.name_and_id("entity")), [F.col("entity"), F.col("series_id")],
                       series)
-    facts = model.between("observaciones_areal", axis.start, last, closed=True)
-    facts = facts.select("series_id", axis.bucket(F.col("timestart")).alias("x"))
+    facts = hits(model, "observaciones_areal", axis, axis.start, last, closed=True)
     counts = count_members(facts, chosen.select("series_id", "entity"), ["entity"], series)
     return Grid(fill_rows(placed.select("y", "entity", "label"), counts, ["entity"], axis), axis, "areas", series)
 
@@ -163,8 +162,7 @@ def network_grid(model: Model, var_id: int, start=None, end=None, proc_id: int |
         F.col("unid").alias("estacion_id"), F.col("tabla").alias("tabla_id"))
     networks = model.table("redes").withColumnRenamed("id", "entity")
     chosen = series.withColumnRenamed("id", "series_id").join(stations, "estacion_id").join(networks, "tabla_id")
-    facts = model.between("observaciones", axis.start, last, closed=True)
-    facts = facts.select("series_id", axis.bucket(F.col("timestart")).alias("x"))
+    facts = hits(model, "observaciones", axis, axis.start, last, closed=True)
     counts = count_members(facts, chosen.select("series_id", "entity"), ["entity"], series)
     placed = numbered(networks.withColumn("label", labels.name_and_id("entity")), [F.col("entity")],
                       networks)

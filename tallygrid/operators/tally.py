@@ -17,17 +17,19 @@ def where(frame: DataFrame, condition: Column | None) -> DataFrame:
 
 
 def count_members(facts: DataFrame, members: DataFrame, keys: list[str], bound: DataFrame) -> DataFrame:
-    """(keys…, x, n): facts ``(series_id, x)`` counted by attributes of their series.
+    """(keys…, x, n): facts ``(series_id, x)``, or ``(series_id, x, n)`` counted in part before, counted by attributes of
+    their series.
 
     ``members`` holds one row or more for each series and ``bound`` limits its rows. Members of proven small size, by
     the size of what bounds them or because the filter leaves few of a large table, are broadcast, so that facts are
     dropped and counted in the scan stage. Otherwise the facts shrink first to one row for each series and bucket,
     combined before the shuffle, so that neither a busy series nor the fact table is ever moved for the join.
     """
+    many = F.sum("n") if "n" in facts.columns else F.count(F.lit(1))
     if fits(bound) or few(members):
         joined = facts.join(F.broadcast(members), "series_id")
-        return joined.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
-    reduced = facts.groupBy("series_id", "x").agg(F.count(F.lit(1)).alias("n"))
+        return joined.groupBy(*keys, "x").agg(many.alias("n"))
+    reduced = facts.groupBy("series_id", "x").agg(many.alias("n"))
     return reduced.join(members, "series_id").groupBy(*keys, "x").agg(F.sum("n").alias("n"))
 
 

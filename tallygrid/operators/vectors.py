@@ -10,6 +10,7 @@ from ..functions.periods import VECTOR_STEP, vector_bounds
 from ..functions.predicates import Spec, per_table, require_any
 from ..sources.model import Model
 from ..sources.schema import Kind, kind_of
+from .hits import hits, point_members, station_hits
 from .tally import count_members, vector, where
 
 POINT_FILTERS = {
@@ -37,13 +38,6 @@ RASTER_FILTERS = {
 OBSERVATION_FILTERS = {"puntual": POINT_FILTERS, "areal": AREAL_FILTERS, "raster": RASTER_FILTERS}
 
 
-def point_members(series: DataFrame, model: Model, conditions: dict) -> DataFrame:
-    """Series with a known station in a known network, as ``(series_id, …, tabla_id, red_id)``."""
-    stations = model.table("estaciones").select(F.col("unid").alias("estacion_id"), F.col("tabla").alias("tabla_id"))
-    networks = where(model.table("redes"), conditions.get("redes")).select("tabla_id", F.col("id").alias("red_id"))
-    return series.withColumnRenamed("id", "series_id").join(stations, "estacion_id").join(networks, "tabla_id")
-
-
 def members(model: Model, kind: Kind, conditions: dict) -> tuple[DataFrame, DataFrame]:
     """Selected series of a kind with the attributes they are counted by, and the frame that bounds them."""
     series = where(model.table(kind.series), conditions.get(kind.series))
@@ -55,10 +49,8 @@ def members(model: Model, kind: Kind, conditions: dict) -> tuple[DataFrame, Data
 def observation_counts(model: Model, kind: Kind, axis: Axis, end, values: dict, keys: list[str]) -> DataFrame:
     """(keys…, x, n) of the observations before ``end``."""
     conditions = per_table(OBSERVATION_FILTERS[kind.tipo], values)
-    facts = where(model.between(kind.observations, axis.start, min(end, axis.stop)),
-                  conditions.get(kind.observations))
+    facts = where(hits(model, kind.observations, axis, axis.start, min(end, axis.stop)), conditions.get(kind.observations))
     chosen, bound = members(model, kind, conditions)
-    facts = facts.select("series_id", axis.bucket(F.col("timestart")).alias("x"))
     return count_members(facts, chosen.select("series_id", *keys), keys, bound)
 
 
@@ -86,8 +78,12 @@ def raster_density(model: Model, start=None, end=None, dt=VECTOR_STEP, filter=No
 
 
 def station_counts(model: Model, axis: Axis, end, values: dict, keys: list[str]) -> DataFrame:
-    """(keys…, x, n): distinct stations with observations. One row for each station and bucket comes first, so that
-    the distinct count is a plain count."""
+    """(keys…, x, n): distinct stations with observations, from stored bitmaps where the model has them. Otherwise one row
+    for each station and bucket comes first, so that the distinct count is a plain count."""
+    if values.get("estacion_id") is None:
+        stored = station_hits(model, axis, min(end, axis.stop), per_table(POINT_FILTERS, values), keys)
+        if stored is not None:
+            return stored
     seen = observation_counts(model, kind_of("puntual"), axis, end, values, ["estacion_id", *keys])
     return seen.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
 

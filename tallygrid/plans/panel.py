@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.axis import Axis
 from ..functions.labels import hour_label
 from ..functions.periods import vector_bounds
+from ..operators.hits import hits, point_members
 from ..operators.tally import cells, count_members, fill_rows
-from ..operators.vectors import point_members
 from ..sources.model import Model
 
 Pair = tuple[int, int, str]
@@ -32,8 +32,7 @@ def panel(model: Model, pairs: Sequence[Pair], start=None, end=None, dt="1 month
     series = model.table("series").where(F.col("var_id").isin(sorted({variable for _, variable, _ in pairs})))
     wanted = F.broadcast(_pairs(model, pairs).select("red_id", "var_id").distinct())
     chosen = point_members(series, model, {}).join(wanted, ["red_id", "var_id"], "left_semi")
-    facts = model.between("observaciones", axis.start, min(end, axis.stop))
-    facts = facts.select("series_id", axis.bucket(F.col("timestart")).alias("x"))
+    facts = hits(model, "observaciones", axis, axis.start, min(end, axis.stop))
     key = ["red_id", "var_id"]
     counts = count_members(facts, chosen.select("series_id", *key), key, series)
     rows = fill_rows(_pairs(model, pairs), counts, key, axis)

@@ -40,6 +40,8 @@ class Model:
         self._load = load
         self.stored_views = frozenset(stored_views)
         self.day_column = day_column
+        # Observations counted by day (``plans/tallies.py``), where they are kept.
+        self.tallies = None
 
     def table(self, name: str) -> DataFrame:
         """The declared columns, in the declared types."""
