@@ -10,9 +10,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a few ids and short texts that are broadcast at the utmost once they are counted.
-FEW_ROWS = 100_000
-
 
 def estimated_bytes(frame: DataFrame) -> int:
     """The optimizer's size estimate; for scans, filters, projections and aggregates an upper bound taken from the
@@ -31,11 +28,13 @@ def broadcast_if(frame: DataFrame, *bounds: DataFrame) -> DataFrame:
     return F.broadcast(frame) if fits(*bounds) else frame
 
 
-def few(frame: DataFrame, limit: int = FEW_ROWS) -> bool:
-    """Whether the frame has no more rows than a broadcast may have. It counts them, up to the limit: for filtered tables
-    of known narrow columns, whose real size the optimizer's estimate does not show."""
-    threshold = int(frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    return threshold > 0 and frame.limit(limit + 1).count() <= limit
+def within(frame: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose column lies between the least and the greatest of the keys. Both are looked up when the query runs and
+    reach the scan as literals, so files and row groups beyond them are not read. Each is a query of its own, of one row:
+    the optimizer would make one of two aggregates, whose fields it does not push."""
+    named = keys.where(F.col(key).isNotNull()).select(key)
+    low, high = (named.orderBy(order).limit(1).scalar() for order in (F.asc(key), F.desc(key)))
+    return frame.where((F.col(column) >= low) & (F.col(column) <= high))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

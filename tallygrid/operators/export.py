@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import number_text
 from ..functions.periods import instant
 from ..functions.predicates import integer
-from ..functions.sizing import few, fits
+from ..functions.sizing import broadcast_if, fits, within
 from ..sources.model import Model
 
 # The variable and procedure exported, and the code under which they go out.
@@ -28,14 +28,14 @@ def levels(model: Model, estacion_id, start, end) -> DataFrame:
     series = model.table("series").where(
         (F.col("estacion_id") == station) & (F.col("var_id") == LEVEL_VARIABLE)
         & (F.col("proc_id") == LEVEL_PROCEDURE))
-    # One station has few series and a period few of their observations; both are counted when the tables are large.
-    chosen = series.select(F.col("id").alias("series_id"), "estacion_id")
-    chosen = F.broadcast(chosen) if fits(series) or few(chosen) else chosen
+    chosen = broadcast_if(series.select(F.col("id").alias("series_id"), "estacion_id"), series)
     facts = model.between("observaciones", instant(start), instant(end), closed=True).join(chosen, "series_id")
     facts = facts.select("id", "timestart", "estacion_id")
-    if not fits(model.table("valores_num")) and few(facts):
-        facts = F.broadcast(facts)
-    values = facts.join(model.table("valores_num"), F.col("id") == F.col("obs_id"))
+    values = model.table("valores_num")
+    if not fits(values):
+        # Observations of a period have ids near each other: only that range of the values is read.
+        values = within(values, "obs_id", facts, "id")
+    values = facts.join(values, F.col("id") == F.col("obs_id"))
     day = F.to_date("timestart").cast("string")
     text = F.concat_ws("/", F.substring(day, 9, 2), F.substring(day, 6, 2), F.substring(day, 1, 4))
     return values.orderBy("timestart", "id").select(

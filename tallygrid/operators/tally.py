@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.axis import ROWS_PER_TASK, Axis
-from ..functions.sizing import few, fits
+from ..functions.sizing import fits
 
 # Ranges that a large frame is cut into to number it.
 RANGES = 255
@@ -21,12 +21,13 @@ def count_members(facts: DataFrame, members: DataFrame, keys: list[str], bound:
     their series.
 
     ``members`` holds one row or more for each series and ``bound`` limits its rows. Members of proven small size, by
-    the size of what bounds them or because the filter leaves few of a large table, are broadcast, so that facts are
-    dropped and counted in the scan stage. Otherwise the facts shrink first to one row for each series and bucket,
-    combined before the shuffle, so that neither a busy series nor the fact table is ever moved for the join.
+    the size of what bounds them, are broadcast, so that facts are dropped and counted in the scan stage. Otherwise the
+    facts shrink first to one row for each series and bucket, combined before the shuffle, so that neither a busy series
+    nor the fact table is ever moved for the join; where a filter leaves few series of a large table, Spark's run-time
+    Bloom filter of their ids drops the facts of others in the scan stage. Nothing is counted while the plan is made.
     """
     many = F.sum("n") if "n" in facts.columns else F.count(F.lit(1))
-    if fits(bound) or few(members):
+    if fits(bound):
         joined = facts.join(F.broadcast(members), "series_id")
         return joined.groupBy(*keys, "x").agg(many.alias("n"))
     reduced = facts.groupBy("series_id", "x").agg(many.alias("n"))
