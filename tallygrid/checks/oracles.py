@@ -4,7 +4,7 @@ and dense cross products where the library counts by arithmetic."""
 from __future__ import annotations
 
 from ..operators.catalog import LISTED_COLUMNS
-from .queries import TALLIED, TIPOS
+from .queries import LINE, POLYGON, TALLIED, TIPOS
 
 TABLES = {
     "redes": """SELECT CAST(r_regionkey + 1 AS BIGINT) id, lower(replace(r_name, ' ', '_')) tabla_id, r_name nombre
@@ -401,6 +401,19 @@ def _grids() -> dict[str, str]:
     }
 
 
+def _near_edges(text: str, inside: bool = False) -> str:
+    """Whether the point of a station is near an edge of a shape, or within its rings, from its text."""
+    rings = [[tuple(p.split()) for p in ring.split(",")] for ring in text.partition("(")[2].rstrip(")").replace("(", "").split("),")]
+    edges = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)"
+                      for ring in rings for a, b in zip(ring, ring[1:]))
+    at = "greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (power(x2 - x1, 2) + power(y2 - y1, 2))))"
+    far = f"sqrt(power(px - x1 - {at} * (x2 - x1), 2) + power(py - y1 - {at} * (y2 - y1), 2))"
+    crossed = "(y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / (y2 - y1) + x1"
+    judged = f"min({far}) < 0.001" + (f" OR count(*) FILTER (WHERE {crossed}) % 2 = 1" if inside else "")
+    return query(f"""SELECT unid FROM (SELECT unid, unid % 50 / 1000.0::DOUBLE px, unid % 7 / 10000.0::DOUBLE py FROM estaciones),
+        (VALUES {edges}) e(x1, y1, x2, y2) GROUP BY unid HAVING {judged}""")
+
+
 def _filters() -> dict[str, str]:
     def station(condition: str) -> str:
         return query(f"SELECT unid FROM estaciones WHERE {condition}")
@@ -422,6 +435,11 @@ def _filters() -> dict[str, str]:
         "filter_only_false": station("habilitar = false"),
         "filter_geometry": station(
             "sqrt(power(unid % 50 / 1000.0 - 0.01, 2) + power(unid % 7 / 10000.0 - 0.0002, 2)) < 0.001"),
+        "filter_geometry_line": _near_edges(LINE),
+        "filter_geometry_polygon": _near_edges(POLYGON, True),
+        "filter_geometry_json": station(" OR ".join(
+            f"sqrt(power(unid % 50 / 1000.0 - {x}, 2) + power(unid % 7 / 10000.0 - {y}, 2)) < 0.001"
+            for x, y in ((0.01, 0.0002), (0.03, 0.0005)))),
         "filter_date": run("date = TIMESTAMP '1996-01-05'"),
         "filter_timestart": run("date >= TIMESTAMP '2001-01-01 12:00:00'"),
         "filter_timeend": run("date <= TIMESTAMP '1995-06-01 12:00:00'"),

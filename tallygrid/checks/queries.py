@@ -30,6 +30,9 @@ JANUARY_1996 = ("1996-01-01", "1996-01-31")
 ALL_YEARS = ("1995-01-01", "2002-01-01")
 ALL_GROUPS = {"cal_grupo_id": [1, 2, 3, 4, 5]}
 TIPOS = {"point": "puntual", "areal": "areal", "raster": "raster"}
+# A bent line, and a polygon with a hole.
+LINE = "LINESTRING (0.0005 0.0021, 0.011 -0.0004, 0.0302 0.0013, 0.0302 0.0044)"
+POLYGON = "POLYGON ((0.004 -0.01, 0.041 -0.01, 0.036 0.02, 0.004 0.02, 0.004 -0.01), (0.0112 -0.003, 0.0219 -0.003, 0.0219 0.004, 0.0112 0.004, 0.0112 -0.003))"
 TALLIED = (
     "obs_density_1d", "obs_density_unaligned", "station_density_1d", "station_density_3d", "areal_density_1m",
     "matrix_network_stations", "grid_day_station_ext", "grid_day_area",
@@ -148,11 +151,11 @@ def _filters() -> dict[str, Callable[[Model], DataFrame]]:
     def run(key, spec, value):
         return on(runs[0], key, runs[1], spec, value)
 
-    def near(m):
+    def near(place):
         key = F.col("unid")
         point = F.struct((key % 50 / 1000.0).alias("lon"), (key % 7 / 10000.0).alias("lat"))
-        placed = m.table("estaciones").withColumn("geom", point)
-        return placed.where(per_table({"geom": Spec("geometry")}, {"geom": (0.01, 0.0002)})[""]).select("unid")
+        return lambda m: m.table("estaciones").withColumn("geom", point).where(
+            per_table({"geom": Spec("geometry")}, {"geom": place})[""]).select("unid")
 
     found = {
         "filter_not_null": station("id_externo", Spec("string"), NOT_NULL),
@@ -163,7 +166,10 @@ def _filters() -> dict[str, Callable[[Model], DataFrame]]:
         "filter_boolean": station("has_obs", Spec("boolean"), "no"),
         "filter_only_true": station("habilitar", Spec("boolean_only_true"), "si"),
         "filter_only_false": station("habilitar", Spec("boolean_only_false"), "0"),
-        "filter_geometry": near,
+        "filter_geometry": lambda m: near((0.01, 0.0002))(m),
+        "filter_geometry_line": lambda m: near(LINE)(m),
+        "filter_geometry_polygon": lambda m: near(POLYGON)(m),
+        "filter_geometry_json": lambda m: near({"type": "MultiPoint", "coordinates": [[0.01, 0.0002], [0.03, 0.0005]]})(m),
         "filter_date": run("date", Spec("date"), "1996-01-05"),
         "filter_timestart": run("date", Spec("timestart"), "2001-01-01T12:00:00"),
         "filter_timeend": run("date", Spec("timeend"), "1995-06-01T12:00:00"),

@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .axis import add_months, ntz
+from .geometry import near, shape_of
 from .periods import instant
 from .steps import SECONDS, MONTHS, parse_interval
 
@@ -187,14 +188,6 @@ def _date(column: Column, value, spec: Spec) -> Column:
     return (column >= ntz(first)) & (column < ntz(after))
 
 
-def _near(column: Column, value) -> Column:
-    try:
-        lon, lat = (float(v) for v in value)
-    except (TypeError, ValueError) as error:
-        raise ValueError("a place is a pair of numbers, longitude and latitude") from error
-    return F.hypot(column["lon"] - F.lit(lon), column["lat"] - F.lit(lat)) < NEAR_DEGREES
-
-
 def _interval(column: Column, value) -> Column:
     months, seconds = parse_interval(value)
     return interval_seconds(column) == months * MONTH_SECONDS + seconds
@@ -213,7 +206,7 @@ def _condition(column: Column, spec: Spec, value) -> Column | None:
     if kind == "boolean_only_false":
         return None if truthy(value) else column == F.lit(False)
     if kind == "geometry":
-        return _near(column, value)
+        return near(column, shape_of(value), NEAR_DEGREES)
     if kind in ("date", "timestamp"):
         return _date(column, value, spec)
     if kind in ("timestart", "greater_or_equal_date"):
@@ -238,7 +231,7 @@ def _condition(column: Column, spec: Spec, value) -> Column | None:
 
 
 def _unsafe(value) -> bool:
-    if isinstance(value, (datetime, date)):
+    if isinstance(value, (datetime, date, dict)):
         return False
     return any(UNSAFE.search(str(v)) for v in _items(value))
 
