@@ -28,10 +28,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,200}+(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])",
 }
 # A text without any of these characters or pairs has no span of the kind.
 NEEDS = {"email": "@", "phone": "+"}
+# Matches whose places are added up at once.
+BLOCK = 256
 SPANS = "array<struct<start:int,end:int,score:double,match:string>>"
 # Scores before and after checks, and words that adjust them.
 SCORE = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.5, "secret": 0.3}
@@ -134,9 +136,24 @@ def _with_spans(frame: DataFrame, kind: str) -> DataFrame:
         spans = F.when(piece["score"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span)))
         return F.struct((start + piece["own"]).alias("at"), spans.alias("spans"))
 
-    pieces = F.when(F.size("_gaps") > 0, F.transform("_found", piece))
+    # An array that grows by one is copied each time, so matches are taken in blocks, whose lengths are then added up.
     begun = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    spans = F.coalesce(F.aggregate(pieces, begun, step, lambda acc: acc["spans"]), F.array().cast(SPANS))
+    frame = frame.withColumn("_pieces", F.when(F.size("_gaps") > 0, F.transform("_found", piece)))
+    last = F.floor((F.size("_pieces") - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda block: F.aggregate(
+        F.slice("_pieces", block * BLOCK + 1, BLOCK), begun, step))
+    frame = frame.withColumn("_blocks", F.when(F.size("_pieces") > 0, blocks))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ahead"))
+    ahead = F.aggregate("_blocks", none, lambda acc, block: F.struct(
+        (acc["at"] + block["at"]).alias("at"), F.concat(acc["ahead"], F.array(acc["at"])).alias("ahead")), lambda acc: acc["ahead"])
+    frame = frame.withColumn("_ahead", ahead)
+
+    def placed(block, i):
+        return F.transform(block["spans"], lambda span: F.struct(
+            (span["start"] + F.get("_ahead", i)).alias("start"), (span["end"] + F.get("_ahead", i)).alias("end"),
+            span["score"].alias("score"), span["match"].alias("match")))
+
+    spans = F.coalesce(F.flatten(F.transform("_blocks", placed)), F.array().cast(SPANS))
     return frame.withColumn(f"_{kind}", spans).select(*kept, f"_{kind}")
 
 
@@ -167,7 +184,7 @@ def digest(docs: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda span: span["place"] < len(BASE))
     return find(docs.select("doc_id", "text")).select(
         "row.doc_id", *[f"n_{kind}" for kind in BASE], F.sha2(listed(base), 256).alias("base_sha256"),
-        listed(F.col("spans")).alias("spans"))
+        listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
