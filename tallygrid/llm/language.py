@@ -1,8 +1,9 @@
 """Language by Bayesian fusion of evidence: the text, the language its markup declares, the suffix of its address, and what
 its host and domain mostly hold.
 
-The text's likelihoods come from a model of hashed byte trigrams, fitted on about ``TRAINING_ROWS`` labelled documents
-chosen by a hash of the id. Everything else is counted over all items: posteriors by text alone are summed by declared
+The text's likelihoods come from a model of hashed byte trigrams, fitted on about ``TRAINING_ROWS`` labelled documents,
+the same number for each language as far as there are so many, chosen by a hash of id and text. The model's languages are
+the ``MAX_LANGUAGES`` most frequent labels; items of other languages are judged among these. Everything else is counted over all items: posteriors by text alone are summed by declared
 language, suffix, host and domain. The prior of a host leans on that of its domain, which leans on that of all items; an
 item's own share is left out of its host's counts. A host may hold any part of the items: sums by host are partial
 aggregates, and the join with them is split where it is skewed.
@@ -92,14 +93,16 @@ def _counts(languages: list[str]):
 
 
 def fit(labelled: DataFrame, rows: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, at most ``MAX_LANGUAGES``, and the log likelihood of each bucket in each."""
+    """Languages, the ``MAX_LANGUAGES`` most frequent at most, and the log likelihood of each bucket in each."""
     by_language = labelled.filter("lang is not null").groupBy("lang").count()
     known = by_language.orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
-    languages, n = sorted(r["lang"] for r in known), sum(r["count"] for r in known)
+    languages = sorted(r["lang"] for r in known)
     if not languages:
         return [], np.zeros((0, 1 << BUCKET_BITS), np.float32)
+    # Each language has its share of the rows, or all that it has, so a rare one is learned as well.
+    shares = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], r["count"])])
     chosen = labelled.filter(F.col("lang").isin(languages)).filter(
-        F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(n)) < F.lit(min(rows, n)))
+        F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.element_at(shares, F.col("lang"))) < rows // len(languages))
     counted = chosen.select("lang", "text").mapInArrow(_counts(languages), "place bigint, bucket bigint, n bigint")
     table = np.full((len(languages), 1 << BUCKET_BITS), 0.5)
     for row in counted.groupBy("place", "bucket").agg(F.sum("n").alias("n")).collect():
@@ -136,7 +139,7 @@ def _normal(logs: Column) -> Column:
 def evidence_of_pages(pages: DataFrame) -> DataFrame:
     """``(doc_id, page_id, text, markup, host, domain, suffix, declared)`` of pages."""
     html = F.coalesce("html", F.lit(""))
-    declared = F.lower(F.regexp_extract(html, r"(?i)<html[^>]{0,500}?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    declared = F.lower(F.regexp_extract(html, r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
     host = F.regexp_replace(host_of(F.col("url")), r":[0-9]*$", "")
     return pages.select(
         F.lit(None).cast("long").alias("doc_id"), "page_id", html.alias("text"), F.lit(True).alias("markup"),
