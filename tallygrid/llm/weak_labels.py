@@ -3,11 +3,13 @@ posterior labels train a hashed linear scorer.
 
 Votes are 1, 0 or none, so there are at most ``3 ** labellers`` patterns; all documents are counted by pattern, and the
 estimation runs over the patterns on the driver. The scorer is a logistic regression over hashed words and signs,
-fitted on about ``TRAINING_ROWS`` documents chosen by a hash of the id (all, where there are fewer), each with the posterior
+fitted on about ``TRAINING_ROWS`` documents chosen by a hash of id and text (all, where there are fewer), each with the posterior
 of its pattern as a soft label. It then scores every document.
 
 Defined results: null and empty texts have no words and score as the scorer's intercept says; repeated rows are scored one
-by one; with no rows, or no vote at all, every score is 0.5; other columns of the input play no part.
+by one, and rows alike in id and text count once in the fit; with no rows, no vote at all, or none of the rows chosen
+for the fit, as may be where all are alike, every score is 0.5; other columns of the input play no part. Texts have no
+length limit.
 """
 
 from __future__ import annotations
@@ -120,8 +122,11 @@ def scorer(docs: DataFrame, rows: int = TRAINING_ROWS):
     known = labels.agg(F.sum("n").alias("n")).first()["n"] or 0
     if not known:
         return None
+    # Rows alike in id and text have one hash, so they count once.
     chosen = docs.select("doc_id", "text").filter(
-        F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(known)) < F.lit(min(rows, known)))
+        F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(known)) < F.lit(min(rows, known))).dropDuplicates()
+    if not chosen.take(1):
+        return None
     named = features(with_votes(chosen)).join(F.broadcast(labels), "pattern").select("features", "posterior")
     # The fit goes over the sample, which is bounded, again and again: few tasks, each with enough to do.
     named = named.repartition(TRAINING_TASKS)
@@ -129,7 +134,7 @@ def scorer(docs: DataFrame, rows: int = TRAINING_ROWS):
         F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")),
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))).alias("at")).select(
         "features", "at.label", "at.weight")
-    return LogisticRegression(maxIter=50, tol=1e-4, regParam=1e-6, weightCol="weight", standardization=False).fit(both)
+    return LogisticRegression(maxIter=50, regParam=1e-6, weightCol="weight", standardization=False).fit(both)
 
 
 def scored(docs: DataFrame) -> DataFrame:
