@@ -7,6 +7,8 @@ plain versions.
 
 from __future__ import annotations
 
+import re
+
 from . import fill_middle, licences, line_rules, mixing, passages, url_filter
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -19,10 +21,13 @@ def _quoted(text: str) -> str:
 
 def _line_rules() -> str:
     phrases = " OR ".join(f"contains(lower(l), {_quoted(p)})" for p in line_rules.BOILERPLATE)
+    # The same characters as RE2 writes them.
+    ends = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", line_rules.SENTENCE_ENDS).replace(r"\p{Is", r"\p{")
     fails = rf"""(len(regexp_extract_all(l, '[\x{{7C}}\x{{B7}}\x{{BB}}]|[#*$%&<>=~^!?]{{2,}}')) * {line_rules.CHARACTERS_PER_SIGN}
             >= greatest(length(l), 1)
-        OR (length(l) >= {line_rules.LEAST_CAPITALS} AND NOT regexp_matches(l, '\p{{Ll}}') AND regexp_matches(l, '\p{{Lu}}'))
-        OR (length(l) >= {line_rules.LONG_LINE} AND NOT regexp_matches(l, '[.!?:;…]'))
+        OR (length(l) >= {line_rules.LEAST_CAPITALS} AND NOT regexp_matches(l, '\p{{Ll}}') AND regexp_matches(l, '\p{{Lu}}')
+            AND 2 * len(regexp_extract_all(l, '\p{{Lu}}')) > len(regexp_extract_all(l, '\p{{L}}')))
+        OR (length(l) >= {line_rules.LONG_LINE} AND NOT regexp_matches(l, '{ends}'))
         OR (length(l) <= {line_rules.SHORT_LINE} AND ({phrases})))"""
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),

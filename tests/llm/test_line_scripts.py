@@ -18,3 +18,22 @@ def test_clean_lines_of_all_scripts(spark):
     frame = spark.createDataFrame([(k, v) for k, v in {**LINES, **BAD}.items()], "name string, line string")
     failed = {r.name for r in frame.filter(line_rules.fails(frame["line"])).collect()}
     assert failed == set(BAD)
+
+
+def test_sql_and_code_agree_on_all_scripts(spark, tmp_path):
+    import duckdb
+
+    from tallygrid.llm.oracles import oracle_sql
+
+    texts = [line for line in {**LINES, **BAD}.values()]
+    texts += ["\n".join([*texts[:4], " ".join(f"w{i}" for i in range(80)) + "."]), "\n".join(texts[4:]) + " " + "wort " * 60 + "."]
+    texts += [f"{texts[0]}\n{BAD['loud']}\nUN NATO EU 유엔은 오늘 새로운 보고서를\n" + " ".join(f"v{i}" for i in range(70)) + "."]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(path)
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    columns = ["doc_id", "n_words", "word_chars", "lost_chars", "base_failed", "kept"]
+    expected = connection.execute(f"SELECT {', '.join(columns)} FROM ({oracle_sql()['op9_line_rules']})").fetchall()
+    found = line_rules.digest(spark.read.parquet(path)).select(*columns).collect()
+    assert sorted(tuple(r) for r in found) == sorted(expected)
+    assert {r.kept for r in found} == {True, False} and any(r.lost_chars for r in found)
