@@ -11,7 +11,7 @@ only one of its kind.
    so no hash, however frequent, is ever joined; all others of the document are repeated.
 3. Each repeated anchor is extended to the windows that hold it. The first place of each distinct window, a partial
    aggregate, goes back to the document that owns it, again one row each. What a document does not own, it loses.
-4. Windows taken out, merged to spans of words, are joined to the documents.
+4. The windows of a document that others own, merged to spans of words, are what it loses.
 
 Document order is that of ``doc_id``, nulls last; rows of equal id are in order of a digest of id and text. Rows are joined by
 id and digest, windows are told apart by 96 bits. A task holds one document and its lists, nothing of a group.
@@ -24,6 +24,7 @@ name. Texts have no length limit.
 from __future__ import annotations
 
 import sys
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +45,12 @@ WINDOW = 20
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 # Words of an anchor at the least, where the window allows it.
 LEAST_ANCHOR = 8
-# Bytes of text whose words are hashed at once.
-CHUNK = 1 << 20
-SPANS = "array<struct<first:int,after:int>>"
+# Bytes of text whose words are hashed at once, and texts that are put together at once.
+CHUNK, SLICE = 1 << 20, 500
+SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType())]))
+ARROW_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
+# What tells rows apart and puts them in order.
+PLACE = ("missing", "id", "key")
 
 
 def period_of(window: int) -> int:
@@ -127,6 +131,12 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[list[int], np.ndarray]]:
         yield [len(w) for w in held], word_hashes([w for words in held for w in words])
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _anchors(window: int):
     width = window - period_of(window) + 1
 
@@ -149,33 +159,28 @@ def _anchors(window: int):
 
 
 def _candidates(window: int):
-    """Of each row its removed spans where they are known, or its text and repeated anchors."""
+    """Of each row its removed spans where they are known, or else its repeated anchors."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, texts, repeated = [], [], []
-            for text, once, first in zip(batch.column("text"), batch.column("once"), batch.column("first")):
+        for batch in _sliced(batches):
+            spans, repeated = [], []
+            for text, once, first in zip(batch.column("row").field("text"), batch.column("once"), batch.column("first")):
                 n = len(words_of(text.as_py()))
                 places = anchor_places(n, window)
                 again = np.ones(len(places), bool)
                 if first.as_py() and once.is_valid:
                     again[once.values.to_numpy()] = False
-                left = places[again].tolist()
-                whole = n >= window and not first.as_py()
-                spans.append([{"first": 0, "after": n}] if whole else None)
-                texts.append(text.as_py() if left and not whole else None)
-                repeated.append(left if left and not whole else None)
+                open_ = bool(first.as_py() and again.any())
+                spans.append(None if open_ else [{"first": 0, "after": n}] if n >= window and not first.as_py() else [])
+                repeated.append(places[again] if open_ else None)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(name) for name in ("missing", "id", "key")],
-                 pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))),
-                 pa.array(texts, pa.string()), pa.array(repeated, pa.list_(pa.int32()))],
-                ["missing", "id", "key", "spans", "text", "repeated"])
+                [*[batch.column(name) for name in ("row", *PLACE)], pa.array(spans, ARROW_SPANS),
+                 pa.array(repeated, pa.list_(pa.int32()))], ["row", *PLACE, "spans", "repeated"])
 
     return made
 
 
 def _windows(window: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("missing", "id", "key")
         for batch in batches:
             held, rows = [], []
             for row in range(batch.num_rows):
@@ -190,8 +195,8 @@ def _windows(window: int):
                     again = pa.array(np.concatenate(rows))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(one.view(np.int64)), pa.array(other.astype(np.uint32).view(np.int32)),
-                         *[batch.column(name).take(again) for name in names], pa.array(starts.astype(np.int32))],
-                        ["one", "other", *names, "start"])
+                         *[batch.column(name).take(again) for name in PLACE], pa.array(starts.astype(np.int32))],
+                        ["one", "other", *PLACE, "start"])
                     held, rows = [], []
 
     return made
@@ -199,24 +204,19 @@ def _windows(window: int):
 
 def _lost(window: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found = []
-            for row in range(batch.num_rows):
-                n = len(words_of(batch.column("text")[row].as_py()))
-                starts = windows_at(batch.column("repeated")[row].values.to_numpy(), n, window)
-                owned = batch.column("owned")[row]
+            for text, repeated, owned in zip(batch.column("row").field("text"), batch.column("repeated"), batch.column("owned")):
+                starts = windows_at(repeated.values.to_numpy(), len(words_of(text.as_py())), window)
                 kept = owned.values.to_numpy() if owned.is_valid else np.zeros(0, np.int32)
                 found.append(spans_of(np.setdiff1d(starts, kept), window))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("key"),
-                 pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())])))],
-                ["id", "key", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, ARROW_SPANS)], ["row", "spans"])
 
     return made
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches):
         counts, lost, kept = [], [], []
         for text, spans in zip(batch.column("row").field("text"), batch.column("spans")):
             words, left, done = words_of(text.as_py()), [], 0
@@ -241,47 +241,55 @@ def _identity() -> dict[str, Column]:
         "key": F.conv(F.substring(digest, 1, 16), 16, -10).cast("long")}
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*[value.alias(name) for name, value in _identity().items()], "text")
+def _schema(rows: DataFrame, columns: list[str], **others: T.DataType) -> T.StructType:
+    return T.StructType([*[rows.schema[name] for name in columns], *[T.StructField(name, kind) for name, kind in others.items()]])
+
+
+def _stored(frame: DataFrame, name: str) -> DataFrame:
+    """The rows as a table. The shuffles that made them are no longer needed; Spark deletes their files when the driver's
+    garbage is collected, which may be long after. The first collection frees the plan, the next one its shuffles."""
+    table = written(frame, name)
+    for _ in range(2):
+        frame.sparkSession._jvm.System.gc()
+        time.sleep(0.5)
+    return table
+
 
+def with_lost_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(row, spans)``: ``row`` holds the columns of the input, ``spans`` are the words that the row loses.
 
-def lost_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(id, key, spans)``: the words that a row loses, ``id`` and ``key`` being those of ``_identity``; one row for each
-    that loses any."""
-    keyed = _keyed(docs)
-    place = F.min(F.struct("missing", "id", "key"))
-    firsts = keyed.groupBy(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).agg(place.alias("at"))
-    anchors = keyed.select("id", "key", "text").mapInArrow(_anchors(window), "id bigint, key bigint, anchors array<bigint>")
+    Texts are shuffled twice: to meet their own anchors, and, where some of these are repeated, to meet their own windows.
+    """
+    rows = docs.select(F.struct("*").alias("row"), *[value.alias(name) for name, value in _identity().items()])
+    text, place = F.col("row.text"), F.min(F.struct(*PLACE)).alias("at")
+    firsts = rows.groupBy(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).agg(place)
+    anchors = rows.select("id", "key", text.alias("text")).mapInArrow(
+        _anchors(window), "id bigint, key bigint, anchors array<bigint>")
     once = anchors.select("id", "key", F.posexplode("anchors").alias("at", "hash")).groupBy("hash").agg(
         F.count(F.lit(1)).alias("n"), *[F.min(name).alias(name) for name in ("id", "key", "at")]).filter("n = 1")
     known = once.select("id", "key", "at").union(firsts.select("at.id", "at.key", F.lit(None).cast("int"))).groupBy(
         "id", "key").agg(F.collect_list("at").alias("once"), (F.count("*") > F.count("at")).alias("first"))
-    judged = keyed.join(known, ["id", "key"], "left").select(
-        "missing", "id", "key", "text", "once", F.coalesce("first", F.lit(False)).alias("first")).mapInArrow(
-        _candidates(window), f"missing boolean, id bigint, key bigint, spans {SPANS}, text string, repeated array<int>")
-    judged = written(judged.filter("spans is not null or text is not null"), "passages")
-    open_ = judged.filter("text is not null")
-    owners = open_.mapInArrow(
+    known = _stored(known, "anchors")
+    judged = rows.join(known, ["id", "key"], "left").select(
+        "row", *PLACE, "once", F.coalesce("first", F.lit(False)).alias("first")).mapInArrow(
+        _candidates(window), _schema(rows, ["row", *PLACE], spans=SPANS, repeated=T.ArrayType(T.IntegerType())))
+    judged = _stored(judged, "passages")
+    open_ = judged.filter("repeated is not null")
+    owners = open_.select(*PLACE, "row.text", "repeated").mapInArrow(
         _windows(window), "one bigint, other int, missing boolean, id bigint, key bigint, start int").groupBy(
-        "one", "other").agg(F.min(F.struct("missing", "id", "key", "start")).alias("at"))
+        "one", "other").agg(F.min(F.struct(*PLACE, "start")).alias("at"))
     owned = owners.select("at.id", "at.key", "at.start").groupBy("id", "key").agg(F.collect_list("start").alias("owned"))
-    lost = open_.select("id", "key", "text", "repeated").join(owned, ["id", "key"], "left").mapInArrow(
-        _lost(window), f"id bigint, key bigint, spans {SPANS}").filter(F.size("spans") > 0)
-    # Rows alike in id and text have one key and the same spans.
-    return judged.filter("spans is not null").select("id", "key", "spans").union(lost).groupBy("id", "key").agg(
-        F.first("spans").alias("spans"))
+    lost = open_.select("row", "id", "key", "repeated").join(owned, ["id", "key"], "left").mapInArrow(
+        _lost(window), _schema(rows, ["row"], spans=SPANS))
+    return judged.filter("repeated is null").select("row", "spans").union(lost)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(row, spans, n_words, n_removed, kept)``: ``row`` holds the columns of the input, ``spans`` are the words lost and
     ``kept`` the words left, joined by single blanks."""
-    spans = lost_spans(docs, window)
-    rows = docs.select(F.struct("*").alias("row"), *[_identity()[name].alias(name) for name in ("id", "key")])
-    joined = rows.join(spans, ["id", "key"], "left").select("row", "spans")
-    kind = T.StructType([*joined.schema, *[
-        T.StructField(name, text) for name, text in (
-            ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()))]])
-    return joined.mapInArrow(_kept, kind)
+    found = with_lost_spans(docs, window)
+    return found.mapInArrow(_kept, _schema(
+        found, ["row", "spans"], n_words=T.LongType(), n_removed=T.LongType(), kept=T.StringType()))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
