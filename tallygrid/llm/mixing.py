@@ -1,27 +1,37 @@
 """Mixing sources to target weights: documents in a random order by source, cut where the source's budget ends.
 
-The order is that of a hash of the id. The leading digits of the hash cut each source into ``16 ** DIGITS`` ranges; sums by
-range give the words before a range, and a window within the range those before a document. So no task gets a whole
-source, however large, and a rerun finds the same order. Budgets above a source's words repeat the source: whole epochs
-first, then the part of one.
+The order is that of a hash of id and text. The place of the cut is looked for by the leading digits of the hash: sums by
+the first of them give the range in which a source's budget ends, sums within it by more of them a narrower one, and sums
+by the whole hash the key at the cut. Ranges hold sums, never documents, so no task gets a whole source or the rows of one id,
+and documents are not shuffled: their keys are only compared with that at the cut. A rerun finds the same order. Budgets above
+a source's words repeat the source: whole epochs first, then the part of one.
 
 Defined results: a null or empty text has size 0, is never taken and counts for its source; a null source is one source,
-the last; rows of equal id and source come in order of size, and rows alike in both are alike in the result; sources
-without words get budget 0; no rows give no rows; other columns of the input play no part.
+the last; rows alike in id, source and text are alike in the result, but where the cut falls among them: these are numbered,
+and the first of them are taken; sources without words get budget 0; no rows give no rows; other columns of the input play
+no part. Texts have no length limit.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, split_words
+from .common import SPACE, checkpointed, split_words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-DIGITS = 3
+# Leading digits of the key by which the cut is looked for: 4,096 ranges in each range before, then whole keys.
+WIDTHS = (3, 6, 32)
+# One row for each source, of about 100 bytes: up to so many sources are broadcast.
+FEW_SOURCES = 50_000
+# Parts of a source in a join by source where there are more.
+PART_DIGITS = 2
 SEED = "mix-1"
+DEALT = ("source_size", "target", "epochs")
 
 
 def size_of(text: Column) -> Column:
@@ -29,10 +39,10 @@ def size_of(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """``(row, doc_id, source, size, key, range)``."""
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    step = docs.select(F.struct("*").alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key"))
-    return step.withColumn("range", F.substring("key", 1, DIGITS))
+    """``(row, doc_id, source, size, key)``."""
+    key = F.md5(F.concat_ws(
+        "|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))
+    return docs.select(F.struct("*").alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key"))
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -63,30 +73,80 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     return step.select("source", "source_size", target.alias("target"))
 
 
+def _ended(sums: DataFrame) -> DataFrame:
+    """Of ``(source, prefix, words, rows)`` and the columns of cuts: the prefix at which each source's budget ends."""
+    reached = F.sum("words").over(
+        Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = sums.withColumn("reached", reached).filter(
+        (F.col("rest") < F.col("reached")) & (F.col("rest") >= F.col("reached") - F.col("words")))
+    rest = F.col("rest") - F.col("reached") + F.col("words")
+    return ends.select("source", *DEALT, rest.alias("rest"), "prefix", "rows")
+
+
+def _first_range(sizes: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``cuts`` with the range of a source in which its budget ends. At most ``16 ** WIDTHS[0]`` rows of a source are joined."""
+    sums = sizes.groupBy("source", F.substring("key", 1, WIDTHS[0]).alias("prefix")).agg(
+        F.sum("size").alias("words"), F.count("*").alias("rows"))
+    sums = sums.alias("a").join(cuts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
+    return _ended(sums.select("a.source", "prefix", "words", "rows", *DEALT, "rest"))
+
+
+def _narrower(sizes: DataFrame, cuts: DataFrame, before: int, width: int) -> DataFrame:
+    """The same for ranges within those of ``before`` digits. One row for each of them goes through the window."""
+    inside = sizes.alias("a").join(cuts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (
+        F.substring("a.key", 1, before) == F.col("b.prefix")))
+    sums = inside.groupBy(F.col("b.source"), F.substring("a.key", 1, width).alias("prefix")).agg(
+        F.sum("a.size").alias("words"), F.count("*").alias("rows"),
+        *[F.first(F.col(f"b.{c}")).alias(c) for c in (*DEALT, "rest")])
+    return _ended(sums)
+
+
+def cuts_of(sizes: DataFrame, **options) -> DataFrame:
+    """``(source, source_size, target, epochs, rest, prefix, rows)`` for each source of ``(source, key, size)``: documents
+    with a key below ``prefix`` are taken once more than ``epochs``, the ``rows`` with that key have ``rest`` words to
+    give. A source without words has no prefix."""
+    dealt = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), **options)
+    budget = F.floor("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0)).cast("long")
+    dealt = dealt.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
+    cuts = _first_range(sizes, dealt.filter("source_size > 0"))
+    for before, width in pairwise(WIDTHS):
+        cuts = _narrower(sizes, cuts, before, width)
+    silent = dealt.filter("source_size = 0").withColumns(
+        {"prefix": F.lit(None).cast("string"), "rows": F.lit(0).cast("long")})
+    return cuts.unionByName(silent)
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``(row, doc_id, size, source_size, target, taken)``: ``row`` holds the columns of the input, ``taken`` is how many
     words of the document the mix takes, repeats counted; the document at the cut gives its first words."""
     rows = keyed(docs)
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    dealt = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), **options)
-    # At most 16 ** DIGITS rows of a source.
-    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(
-        "source", "range", F.coalesce(F.sum("range_size").over(ahead), F.lit(0).cast("long")).alias("words_ahead"))
-    ranges = ranges.alias("r").join(dealt.alias("d"), F.col("r.source").eqNullSafe(F.col("d.source"))).select(
-        F.col("r.source").alias("source"), "range", "words_ahead", "source_size", "target")
-    step = rows.alias("a").join(ranges.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (
-        F.col("a.range") == F.col("b.range"))).select(
-        "row", "doc_id", "size", "key", "a.source", "a.range", "words_ahead", "source_size", "target")
-    within = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("words_ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    step = step.withColumn("before", before)
-    budget = F.floor("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(
-        F.lit(0)).cast("long")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("before")))
-    return step.select(
-        "row", "doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    cuts = checkpointed(cuts_of(checkpointed(rows.select("source", "key", "size")), **options))
+    told = cuts.agg(F.count("*").alias("sources"), F.coalesce(F.max("rows"), F.lit(0)).alias("alike")).first()
+    same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    if told["sources"] <= FEW_SOURCES:
+        step = rows.alias("a").join(F.broadcast(cuts).alias("b"), same)
+    else:
+        # Each source in 16 ** PART_DIGITS parts, so that a large one is not joined in one task.
+        digits = [f"{i:0{PART_DIGITS}x}" for i in range(16 ** PART_DIGITS)]
+        parts = cuts.withColumn("part", F.explode(F.array(*[F.lit(d) for d in digits])))
+        step = rows.alias("a").join(parts.alias("b"), same & (F.substring("a.key", 1, PART_DIGITS) == F.col("b.part")))
+    step = step.select("row", "doc_id", "size", "key", "b.source", "source_size", "target", "epochs", "rest", "prefix", "rows")
+
+    def taken(frame, before):
+        part = F.when(F.col("key") < F.col("prefix"), F.col("size")).when(
+            F.col("key") == F.col("prefix"), F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - before)))
+        part = F.coalesce(part, F.lit(0).cast("long"))
+        return frame.select(
+            "row", "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+
+    if told["alike"] <= 1:
+        return taken(step, F.lit(0).cast("long"))
+    cut_among_alike = F.coalesce((F.col("key") == F.col("prefix")) & (F.col("rows") > 1), F.lit(False))
+    numbered = Window.partitionBy("source").orderBy("key")
+    alike = step.filter(cut_among_alike).withColumn("place", F.row_number().over(numbered) - 1)
+    return taken(step.filter(~cut_among_alike), F.lit(0).cast("long")).unionByName(
+        taken(alike, F.col("place") * F.col("size")))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ def _mixing() -> str:
     weights = "[" + ", ".join(f"{w}::DOUBLE" for w in mixing.WEIGHTS) + "]"
     return rf"""
     WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                      md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+                      md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(text, '')) AS key
+               FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
     r AS (SELECT *, source_size * {mixing.MOST}::DOUBLE AS cap,
                  {weights}[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight,
