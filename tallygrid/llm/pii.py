@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, and words nearby adjust the score.
 
-Four base kinds stand as found. The method adds account numbers (IBAN, mod 97), card numbers that stand among other digits,
-social security numbers and access tokens, when their score with the words around them reaches ``LEAST_SCORE``. Each row
-is judged by itself; nothing is shuffled.
+Four base kinds stand as found. The method adds account numbers (IBAN, mod 97), social security numbers, access tokens,
+keys of known forms, and card numbers within longer runs of digits, as before a check number or a date, when their score
+with the words around them reaches ``LEAST_SCORE``. Card numbers within a run are taken at each group of digits that could
+begin one, so of two that overlap both are given. Each row is judged by itself; nothing is shuffled.
 
 Positions of matches come from the text between them: splitting by a pattern and extracting it give pieces and matches in
 turn. The patterns below find the same spans as their plain forms, but never look at a character again and again: where
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 # Kinds in the order of results.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn", "secret")
+ADDED = ("iban", "ssn", "secret", "key", "inner_card")
 KINDS = BASE + ADDED
+# Groups of digits on cards, by the first digits of their issuers.
+CARD_FORM = r"[3-6][0-9]{3}(?:[\x20-][0-9]{4}){3}|3[47][0-9]{2}[\x20-][0-9]{6}[\x20-][0-9]{5}|[3-6][0-9]{12,18}"
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -29,14 +32,20 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])",
+    "key": r"(?<![A-Za-z0-9_-])(?:gh[opsru]_[A-Za-z0-9]{36,}+|AKIA[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,}+"
+           r"|eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)(?![A-Za-z0-9_-])",
+    "inner_card": rf"(?<![0-9])(?=({CARD_FORM})(?![0-9]))(?:(?<=[0-9][\x20-])|(?=\1[\x20-][0-9]))",
 }
+# Kinds whose pattern matches a place, at which its first group says what stands there.
+PLACES = ("inner_card",)
 # A text without any of these characters or pairs has no span of the kind.
 NEEDS = {"email": "@", "phone": "+"}
 # Matches whose places are added up at once.
 BLOCK = 256
 SPANS = "array<struct<start:int,end:int,score:double,match:string>>"
 # Scores before and after checks, and words that adjust them.
-SCORE = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.5, "secret": 0.3}
+SCORE = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.5, "secret": 0.3, "key": 0.9,
+         "inner_card": 0.6}
 CONTEXT = {
     "email": r"mail|contact|write to",
     "ip": r"\bip\b|address|host|server",
@@ -44,6 +53,8 @@ CONTEXT = {
     "phone": r"phone|tel|call|fax|mobile",
     "iban": r"iban|account|konto|compte|cuenta",
     "ssn": r"ssn|social security|tax id",
+    "key": r"token|secret|key",
+    "inner_card": r"card|visa|mastercard|payment|credit",
     "secret": r"token|secret|api[ _-]?key|apikey|passw|bearer|credential",
 }
 AGAINST = r"isbn|issn|order no|invoice|part number|sha1|sha256|checksum|commit"
@@ -82,6 +93,8 @@ def _confirmed(kind: str, match: Column) -> Column:
     if kind == "card":
         digits = digits_of(match)
         return F.char_length(digits).between(12, 19) & luhn(digits)
+    if kind == "inner_card":
+        return luhn(digits_of(match))
     if kind == "phone":
         return F.char_length(digits_of(match)).between(9, 15)
     if kind == "iban":
@@ -102,7 +115,7 @@ def _scored(kind: str, before: Column, after: Column) -> Column:
 
 def _context(found: Column, gaps: Column, i: Column) -> tuple[Column, Column]:
     """At least ``NEAR`` characters before and after a match where the text has them. Each match has a character at least,
-    so no more than ``NEAR`` matches on either side are looked at."""
+    so no more than ``NEAR`` matches on either side are looked at; between two places there are characters too."""
     first = F.greatest(i - NEAR, F.lit(0))
     before = F.zip_with(
         F.slice(gaps, first + 1, i - first), F.slice(found, first + 1, i - first),
@@ -117,16 +130,27 @@ def _with_spans(frame: DataFrame, kind: str) -> DataFrame:
     """Add the column ``_<kind>``: structs of ``start``, ``end``, ``score`` and ``match``, by start."""
     pattern, kept = PATTERNS[kind], frame.columns
     needed = F.col("text").contains(NEEDS[kind]) if kind in NEEDS else F.col("text").rlike("[0-9]")
-    frame = frame.withColumn("_found", F.when(needed, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
-    frame = frame.withColumn("_gaps", F.when(F.size("_found") > 0, F.split("text", pattern, -1)))
+    place = kind in PLACES
+    frame = frame.withColumn("_found", F.when(needed, F.regexp_extract_all("text", F.lit(pattern), F.lit(int(place)))))
+    # A place at the very head would not split a text, so each text begins with a blank more there.
+    text = F.concat(F.lit(" "), "text") if place else F.col("text")
+    frame = frame.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(text, pattern, -1)))
+
+    def around(match, i):
+        if not place:
+            return _context(F.col("_found"), F.col("_gaps"), i)
+        # The gap after a place begins with its match.
+        before, after = _context(F.transform("_found", lambda _: F.lit("")), F.col("_gaps"), i)
+        return before, F.substr(after, F.char_length(match) + 1)
 
     def piece(match, i):
         gap = F.get("_gaps", i)
-        score = F.when(_confirmed(kind, match), _scored(kind, *_context(F.col("_found"), F.col("_gaps"), i)))
+        score = F.when(_confirmed(kind, match), _scored(kind, *around(match, i)))
         if kind in ADDED:
             score = F.when(score >= LEAST_SCORE, score)
+        before = F.char_length(gap) - F.when(i == 0, 1).otherwise(0) if place else F.char_length(gap)
         return F.struct(
-            F.char_length(gap).alias("gap"), F.char_length(match).alias("own"), score.alias("score"), match.alias("match"))
+            before.alias("gap"), F.char_length(match).alias("own"), score.alias("score"), match.alias("match"))
 
     def step(acc, piece):
         start = acc["at"] + piece["gap"]
@@ -134,7 +158,8 @@ def _with_spans(frame: DataFrame, kind: str) -> DataFrame:
             start.alias("start"), (start + piece["own"]).alias("end"), piece["score"].alias("score"),
             piece["match"].alias("match"))
         spans = F.when(piece["score"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span)))
-        return F.struct((start + piece["own"]).alias("at"), spans.alias("spans"))
+        # A place has no length of its own: what stands there is counted with the gap after it.
+        return F.struct((start if place else start + piece["own"]).alias("at"), spans.alias("spans"))
 
     # An array that grows by one is copied each time, so matches are taken in blocks, whose lengths are then added up.
     begun = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
