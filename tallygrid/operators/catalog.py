@@ -148,7 +148,9 @@ def _runs(model: Model, count: str | None, conditions: dict) -> DataFrame:
         runs = model.table(LAST_COVERAGE).select("cor_id", "cal_id").distinct()
     else:
         runs = newest_runs(model).select("cor_id", "cal_id")
-    return runs.join(broadcast_if(active.select("cal_id"), model.table("calibrados")), "cal_id", "left_semi")
+    runs = runs.join(broadcast_if(active.select("cal_id"), model.table("calibrados")), "cal_id", "left_semi")
+    # Newest runs are as few as calibrations, so the coverage is not moved to meet them.
+    return broadcast_if(runs, model.table("calibrados")) if count == "pronosticos" else runs
 
 
 def _covered(model: Model, kind: Kind, runs: DataFrame, conditions: dict, named: bool) -> DataFrame:

@@ -84,6 +84,17 @@ def test_stored_views_read_no_forecasts(spark, model_of, tmp_path):
     assert whole(catalog.calibrations(stored, {}, "pronosticos")) == whole(catalog.calibrations(model, {}, "pronosticos"))
 
 
+@pytest.mark.parametrize("stored", [True, False])
+def test_newest_runs_are_sent_to_the_coverage(spark, model_of, tmp_path, stored):
+    model = model_of(**TABLES, corridas=RUNS, pronosticos=FORECASTS)
+    store = CoverageStore(spark, str(tmp_path))
+    store.write(model, 4)
+    found = catalog.calibrations(store.model(model) if stored else model, {}, "pronosticos")
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftSemi, (cor_id" in line]
+    assert joins and all("rightHint=(strategy=broadcast)" in line for line in joins)
+    assert [row.id for row in found.collect()] == [1, 2, 3]
+
+
 def test_a_failed_refresh_leaves_the_set_whole(spark, model_of, tmp_path, monkeypatch):
     model = model_of(**TABLES, corridas=RUNS, pronosticos=FORECASTS)
     store = CoverageStore(spark, str(tmp_path))
