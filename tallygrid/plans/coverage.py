@@ -12,6 +12,7 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.sizing import broadcast_if
 from ..operators.forecasts import COVERAGE, LAST_COVERAGE, coverage
@@ -81,13 +82,19 @@ class CoverageStore:
         """Take over the forecasts of the given runs, a frame with ``cor_id``, as ``model`` has them now; runs that it no longer
         has go. Returns the buckets written anew."""
         after, buckets = self.versions.number(), self.buckets()
-        changed = broadcast_if(runs.select("cor_id").distinct(), runs)
-        # At most a row for each bucket.
-        touched = sorted(row[0] for row in changed.select(_bucket(buckets)).distinct().collect())
-        kept = self.coverage(touched).join(changed, "cor_id", "left_anti")
-        parts = self._written(coverage(model, runs=changed).unionByName(kept), buckets)
-        changes = {_name(buckets, i): parts.get(_name(buckets, i)) for i in touched}
-        changes[NEWEST] = self._written_newest(self._newest_after(model, changed))
+        # Computed once: the executors keep it until all that asks for it is written.
+        listed = runs.select("cor_id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            # At most a row for each bucket.
+            touched = sorted(row[0] for row in listed.select(_bucket(buckets)).distinct().collect())
+            # Its size is known now.
+            changed = broadcast_if(listed, listed)
+            kept = self.coverage(touched).join(changed, "cor_id", "left_anti")
+            parts = self._written(coverage(model, runs=changed).unionByName(kept), buckets)
+            changes = {_name(buckets, i): parts.get(_name(buckets, i)) for i in touched}
+            changes[NEWEST] = self._written_newest(self._newest_after(model, changed))
+        finally:
+            listed.unpersist()
         self.versions.publish(changes, after)
         return touched
 

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrid.operators import catalog, forecasts, matrices
 from tallygrid.plans import reports
@@ -84,6 +85,22 @@ def test_stored_views_read_no_forecasts(spark, model_of, tmp_path):
     assert whole(catalog.calibrations(stored, {}, "pronosticos")) == whole(catalog.calibrations(model, {}, "pronosticos"))
 
 
+def test_a_refresh_computes_the_given_runs_once(spark, model_of, nothing_fits, tmp_path):
+    model = model_of(**TABLES, corridas=RUNS, pronosticos=FORECASTS)
+    store = CoverageStore(spark, str(tmp_path))
+    store.write(model, 4)
+    seen, held = spark.sparkContext.accumulator(0), spark._jsc.getPersistentRDDs().size()
+
+    def counted(value):
+        seen.add(1)
+        return value
+
+    runs = spark.range(15, 20).select(F.udf(counted, "long").asNondeterministic()("id").alias("cor_id"))
+    store.refresh(model, runs)
+    assert seen.value == 5 and same(store, model)
+    assert spark._jsc.getPersistentRDDs().size() == held
+
+
 @pytest.mark.parametrize("stored", [True, False])
 def test_newest_runs_are_sent_to_the_coverage(spark, model_of, tmp_path, stored):
     model = model_of(**TABLES, corridas=RUNS, pronosticos=FORECASTS)
