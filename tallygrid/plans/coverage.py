@@ -114,7 +114,11 @@ class CoverageStore:
     def _written(self, rows: DataFrame, buckets: int) -> dict[str, str]:
         """The place of each bucket that has rows."""
         folder = self.versions.folder()
-        placed = rows.withColumn("bucket", F.concat(_bucket(buckets).cast("string"), F.lit(f"of{buckets}"))).repartition("bucket")
+        bucket = F.concat(_bucket(buckets).cast("string"), F.lit(f"of{buckets}"))
+        # Not a task for each bucket, however large: adaptive execution joins small pieces and cuts large ones.
+        pieces = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+        piece = F.pmod(F.xxhash64("series_table", "cor_id", "series_id"), F.lit(pieces))
+        placed = rows.withColumns({"bucket": bucket, "piece": piece}).hint("rebalance", "bucket", "piece").drop("piece")
         placed.sortWithinPartitions("bucket", "series_table", "cor_id", "series_id").write.partitionBy("bucket").parquet(
             f"{self.versions.directory}/{folder}")
         return {name: f"{folder}/{name}" for name in self.versions.partitions(folder)}

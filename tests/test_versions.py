@@ -1,6 +1,7 @@
 """Sets that are published as a whole, the stored coverage and published reports."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,24 @@ def test_stored_views_read_no_forecasts(spark, model_of, tmp_path):
     assert whole(catalog.calibrations(stored, {}, "pronosticos")) == whole(catalog.calibrations(model, {}, "pronosticos"))
 
 
+def test_a_bucket_is_written_by_many_tasks(spark, model_of, setting, tmp_path):
+    # One run has all the forecasts; without adaptive execution small pieces are not joined.
+    series = [(i, 5, 1, 1, 1) for i in range(60)]
+    model = model_of(**{**TABLES, "series": series}, corridas=RUNS, pronosticos=[(20, i, START) for i in range(60)])
+    store = CoverageStore(spark, str(tmp_path))
+
+    def files():
+        return {name: len(list(Path(path).glob("*.parquet"))) for name, path in store.versions.parts().items() if name != NEWEST}
+
+    with setting(spark__sql__adaptive__enabled="false"):
+        store.write(model, 1)
+        assert files()["bucket=0of1"] > 1 and same(store, model)
+        store.refresh(model, spark.createDataFrame([(20,)], "cor_id long"))
+        assert files()["bucket=0of1"] > 1 and same(store, model)
+    store.write(model, 1)
+    assert files() == {"bucket=0of1": 1} and same(store, model)
+
+
 def test_a_refresh_computes_the_given_runs_once(spark, model_of, nothing_fits, tmp_path):
     model = model_of(**TABLES, corridas=RUNS, pronosticos=FORECASTS)
     store = CoverageStore(spark, str(tmp_path))
